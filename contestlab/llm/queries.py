@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("quality",)
+MODULES = ("mixing", "packing", "quality")
 
 
 def queries() -> dict:
