@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("mixing", "packing", "quality")
+MODULES = ("language", "mixing", "packing", "quality")
 
 
 def queries() -> dict:
