@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("language", "mixing", "packing", "quality")
+MODULES = ("chat", "language", "mixing", "packing", "quality", "transport", "warc")
 
 
 def queries() -> dict:
