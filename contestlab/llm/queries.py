@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("chat", "language", "mixing", "packing", "pages", "quality", "transport", "warc")
+MODULES = ("chat", "language", "mixing", "packing", "pages", "pitman_yor", "quality", "transport", "warc")
 
 
 def queries() -> dict:
