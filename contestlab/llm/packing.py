@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,13 +21,31 @@ LENGTH = 2048
 SHARD = 60_000
 #: Sequences filled less than this are packed once more, across shards.
 REPACK_BELOW = 0.98
-#: Texts with white space outside the usual six characters are split by these six alone.
-ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-CACHED = 400_000
+#: Chunks whose ids a Python worker keeps; when there are more, it starts anew.
+CACHED = 1_000_000
+#: Documents whose new chunks are encoded in one call.
+GROUP = 256
+#: Texts in these characters are lower-cased as the tokenizer does it; a full stop or comma after a letter and before white
+#: space is a chunk of its own to the tokenizer too. All white space among them is white space to str.split().
+PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ]*")
+SIX = re.compile("[\\x20\\x09-\\x0D]+")
+POINT = re.compile("(?<=[a-zß-öø-ɏ])[.,](?=[ \n]|$)")
 
 PIECES = "piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+class Codes(dict):
+    """Numbers chunks in the order in which they are first asked for; `new` lists those not yet encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = k = len(self)
+        self.new.append(chunk)
+        return k
+
+
 class ChunkTokenizer:
     """Ids of a text as the concatenated ids of its chunks between white space, which the tokenizer drops and never
     reads across. Ids of chunks already seen come from a bounded cache."""
@@ -38,34 +59,46 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
-
-    def learn(self, new: list[str]) -> None:
-        for chunk, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.code)
-            if k == len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.code[chunk] = k
-
-    def ids(self, text: str) -> np.ndarray:
-        odd = not text.isascii() and any(c in text for c in ODD_SPACE) or any(c in text for c in "\x1c\x1d\x1e\x1f")
-        chunks = text.translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if odd else text.split()
-        if len(self.code) > CACHED:
+        self.codes, self.used = Codes(), 0
+        self.start, self.size, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16)
+
+    def learn(self) -> None:
+        new, self.codes.new = self.codes.new, []
+        first = len(self.codes) - len(new)
+        ids = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        if len(self.codes) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.codes)), np.resize(self.size, 2 * len(self.codes))
+        if self.used + len(flat) > len(self.flat) or (len(flat) and flat.max() > np.iinfo(self.flat.dtype).max):
+            kind = np.uint32 if len(flat) and flat.max() > 65_535 else self.flat.dtype
+            self.flat = np.resize(self.flat.astype(kind), 2 * (self.used + len(flat)))
+        self.size[first : len(self.codes)] = size
+        self.start[first : len(self.codes)] = self.used + size.cumsum() - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; chunks not seen before are encoded in one call for all texts."""
+        if len(self.codes) > CACHED:
             self.clear()
-        codes = list(map(self.code.get, chunks))
-        if None in codes:
-            self.learn(list(dict.fromkeys(c for c, k in zip(chunks, codes, strict=True) if k is None)))
-            codes = list(map(self.code.get, chunks))
-        codes = np.array(codes, np.int64)
-        size = self.size[codes]
-        ends = size.cumsum()
-        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        coded = []
+        for text in texts:
+            # elsewhere only the six characters that are white space beyond doubt part chunks
+            chunks = POINT.sub(r" \g<0>", text.lower()).split() if PLAIN.fullmatch(text) else SIX.split(text)
+            coded.append(np.fromiter(map(self.codes.__getitem__, chunks), np.int32, len(chunks)))
+        if self.codes.new:
+            self.learn()
+        for codes in coded:
+            size = self.size[codes]
+            ends = size.cumsum()
+            yield self.flat[np.repeat(self.start[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@functools.lru_cache(1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each Python worker, so that its cache lasts from task to task."""
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 0, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -78,14 +111,16 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 0, le
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "__text"] + [PIECES])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ChunkTokenizer(tokenizer)
+        encode = worker_tokenizer(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            for at, t in enumerate(b["__text"]):
-                ids = np.append(encode.ids(t or ""), np.uint32(end)).astype("<u4")
-                for k, s in enumerate(range(0, len(ids), length)):
-                    raw = ids[s : s + length].tobytes()
-                    rows.append((at, k, s, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
+            for first in range(0, len(b), GROUP):
+                texts = [t or "" for t in b["__text"].iloc[first : first + GROUP]]
+                for at, ids in enumerate(encode.ids(texts), first):
+                    ids = np.append(ids, ids.dtype.type(end)).astype("<u4")
+                    for k, s in enumerate(range(0, len(ids), length)):
+                        raw = ids[s : s + length].tobytes()
+                        rows.append((at, k, s, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
             out = b.drop(columns="__text").iloc[[r[0] for r in rows]].reset_index(drop=True)
             for i, c in enumerate(own, 1):
                 out[c] = [r[i] for r in rows]
