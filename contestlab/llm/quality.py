@@ -141,9 +141,13 @@ def score_quality(docs: DataFrame, text: str = "text", keep_from: float = KEEP_F
     return judge(measured(docs, text), keep_from)
 
 
+def base_failed() -> Column:
+    """Of the columns of measured(): too few words, or more than half of them in repeated 3-word windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def op8(spark, sf_dir):
-    n, rep = F.col("n_words"), F.col("n_repeat_words")
-    failed = (n < 50) | (100 * rep > 50 * n)
+    failed = base_failed()
     # the counts are small beside the texts: written once, the texts are read in one pass
     out = judge(materialise(measured(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "op8"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), F.round("quality", 6).alias("quality"))

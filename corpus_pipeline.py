@@ -1,8 +1,55 @@
-"""The corpus pipeline; its stages follow as their operators are written."""
+"""The corpus pipeline: from documents to packed training sequences.
 
-STAGES = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all rows of docs and returns a
+DataFrame, which is written as Parquet and read again as the next stage's docs. Every stage but the last returns the
+columns of documents; what a stage drops doesn't come back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contestlab.llm import jaccard, language, mixing, packing, quality
+from contestlab.llm.common import new_path, read
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is sure enough; the model learns from a bounded sample of the labelled ones."""
+    model = language.fit(language.training_part(docs))
+    return language.identify(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose posterior quality is high enough."""
+    return quality.score_quality(docs).where(~quality.base_failed() & F.col("kept")).select(docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the smallest doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    taken = mixing.documents_mix(docs).where("repeats > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece of each document with its place in a sequence."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("source_mix", source_mix), ("best_fit_packing", best_fit_packing)]
+
+#: Seeded selection, learned models and packing can't be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
