@@ -1,9 +1,12 @@
 """Registered queries of the library."""
 
+from contestlab.plans import core  # noqa: F401  (registers its queries)
+from contestlab.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
