@@ -369,8 +369,8 @@ def coverage_by_reason(spark, sf):
     return A.coverage(table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("reason")), ["year", "reason"])
 
 
-@query("""with f as (select l_suppkey g, l_partkey % 40 c, l_orderkey from lineitem), c0 as (select g, c, count(*) n from f group by all), """ + ", ".join(f"c{i + 1} as (select g, c, n from (select *, sum(n) over (partition by g) t, count(*) over (partition by g) k from c{i} where n >= 16) where t >= 500 and k >= 25)" for i in range(6)) + """ select g, count(*) n from f join c6 using (g, c) group by 1""")
+@query("""with f as (select l_suppkey g, l_partkey % 40 c, l_orderkey from lineitem), c0 as (select g, c, count(*) n from f group by all), """ + ", ".join(f"c{i + 1} as (select g, c, n from (select *, sum(n) over (partition by g) t, count(*) over (partition by g) k from c{i} where n >= 12) where t >= 400 and k >= 25)" for i in range(6)) + """ select g, count(*) n from f join c6 using (g, c) group by 1""")
 def sparse_filter(spark, sf):
     """FL6."""
     f = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("c"))
-    return J.sparse_filter(f, "g", "c", 500, 16, 25).groupBy("g").agg(F.count("*").alias("n"))
+    return J.sparse_filter(f, "g", "c", 400, 12, 25).groupBy("g").agg(F.count("*").alias("n"))
