@@ -59,11 +59,15 @@ def history_arrays(entries: DataFrame, history: DataFrame, row: Sequence[str], k
     return out.withColumns({f"{v}_history": pad(v) for v in values} | {"history_mask": F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), k - n))}).drop("__h")
 
 
+def _field(name: str):
+    return lambda x: x[name].cast("double")
+
+
 def contest_batches(df: DataFrame, contest: str, order: str, values: Sequence[str], width: int) -> DataFrame:
     """One row per contest: values in entry order, padded to width, and the mask."""
     g = df.groupBy(contest).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("__b"))
     n = F.least(F.size("__b"), F.lit(width))
-    return g.select(contest, *[F.concat(F.transform(F.slice("__b", 1, width), lambda x, v=v: x[v].cast("double")), F.array_repeat(F.lit(0.0), width - n)).alias(v) for v in values], F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), width - n)).alias("mask"))
+    return g.select(contest, *[F.concat(F.transform(F.slice("__b", 1, width), _field(v)), F.array_repeat(F.lit(0.0), width - n)).alias(v) for v in values], F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), width - n)).alias("mask"))
 
 
 def expanding_folds(df: DataFrame, date: str, start, months: int, folds: int) -> DataFrame:

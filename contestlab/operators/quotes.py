@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ class QuotePolicy:
 
 
 def age(published: Column, cutoff: Column) -> Column:
-    return cutoff.cast("double") - published.cast("double")
+    return cutoff.cast("timestamp").cast("double") - published.cast("timestamp").cast("double")
 
 
 def market_status(prices: Sequence[str], max_age: float, published: str = "published_at", cutoff: str = "cutoff_at") -> Column:
@@ -60,7 +62,7 @@ def select_quotes(entries: DataFrame, quotes: DataFrame, keys: Sequence[str], pr
         wrong = wrong.when(F.col("available_at").isNull() & (F.col("published_at") <= F.col("cutoff_at")), "availability_missing")
     violations = source.withColumn("violation", wrong).where("violation is not null")
     rest = [c for c in quotes.columns if c not in keys]
-    newest = source.where(early).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("published_at", F.coalesce(F.col("available_at").cast("double"), F.lit(float("-inf"))))).alias("__q"))
+    newest = source.where(early).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("published_at", F.coalesce(F.col("available_at").cast("timestamp").cast("double"), F.lit(float("-inf"))))).alias("__q"))
     out = target.join(newest, list(keys), "left").select(*target.columns, *[F.col("__q")[c].alias(c) for c in rest])
     return out.withColumn("quote_id", F.when(F.col("published_at").isNotNull(), row_hash([*keys, *rest]))), violations
 
@@ -160,27 +162,34 @@ def delta_stats(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def pair_probabilities(df: DataFrame, group: str, order: str, prob: str, rounds: int = 200) -> DataFrame:
     """Probabilities of pairs (i, j) whose marginals are the entries' probabilities scaled to sum 2, by iterative
-    proportional fitting in each contest; contests are small and fitted in parallel."""
-    import numpy as np
-    import pandas as pd
-
-    def fit(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order)
-        n, p = len(b), b[prob].to_numpy(float)
-        if n < 2 or not p.sum() > 0:
-            return pd.DataFrame({group: [], "i": [], "j": [], "p_pair": []})
-        goal = np.minimum(2 * p / p.sum(), 1 - 1e-9)
-        q = np.outer(goal, goal)
-        np.fill_diagonal(q, 0)
+    proportional fitting. A contest is one row of two short arrays; a task fits all contests of one size of a batch at
+    once."""
+    kind = dict(df.dtypes)[order]
+    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(prob).cast("double").alias("p")))).alias("a")).where(F.size("a") > 1)
+
+    def fit(p: np.ndarray) -> np.ndarray:
+        goal = np.minimum(2 * p / np.maximum(p.sum(1, keepdims=True), 1e-300), 1 - 1e-9)
+        q = goal[:, :, None] * goal[:, None, :] * (1 - np.eye(p.shape[1]))
         for _ in range(rounds):
-            f = np.sqrt(goal / np.maximum(q.sum(1), 1e-300))
-            q *= np.outer(f, f)
-        i, j = np.triu_indices(n, 1)
-        names = b[order].to_numpy()
-        return pd.DataFrame({group: b[group].iloc[0], "i": names[i], "j": names[j], "p_pair": q[i, j]})
-
-    kinds = dict(df.dtypes)
-    return df.select(group, order, prob).groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, i {kinds[order]}, j {kinds[order]}, p_pair double")
+            f = np.sqrt(goal / np.maximum(q.sum(2), 1e-300))
+            q *= f[:, :, None] * f[:, None, :]
+        i, j = np.triu_indices(p.shape[1], 1)
+        return q[:, i, j]
+
+    @F.pandas_udf("array<double>")
+    def fitted(arrays: pd.Series) -> pd.Series:
+        sizes = arrays.map(len).to_numpy()
+        out: list = [None] * len(arrays)
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            for k, v in zip(at, fit(np.stack([arrays.iloc[x] for x in at])), strict=True):
+                out[k] = v
+        return pd.Series(out)
+
+    numbered = F.transform("a", lambda x, k: F.struct(x["o"].alias("o"), k.alias("k")))
+    names = F.flatten(F.transform(numbered, lambda x: F.transform(F.filter(numbered, lambda y: y["k"] > x["k"]), lambda y: F.struct(x["o"].alias("i"), y["o"].alias("j")))))
+    both = rows.where(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["p"]) > 0).select(group, names.alias("n"), fitted(F.transform("a", lambda x: x["p"])).alias("q"))
+    return both.select(group, F.explode(F.arrays_zip("n", "q")).alias("x")).select(group, F.col("x.n.i").cast(kind).alias("i"), F.col("x.n.j").cast(kind).alias("j"), F.col("x.q").alias("p_pair"))
 
 
 def excess_vs_market(df: DataFrame, bucket: str, label: str) -> DataFrame:
