@@ -26,7 +26,9 @@ from contestlab.llm.pitman_yor import planes, unplanes
 #: Bits of a token that are sent about: two of the sets' tokens agree by chance once in 2 ** BITS pairs.
 BITS = 44
 #: Tokens that a task gathers before it deals them out.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
+#: Prefix tokens before a place that are kept with it, to tell that a pair was made at one of them.
+EARLIER = 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW = -(1 << 62)
 
@@ -45,7 +47,7 @@ class Hasher:
 
     def words(self, text: str | None) -> np.ndarray:
         tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
-        if len(self.known) > 500_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         got = list(map(self.known.get, tokens))
         if None in got:
@@ -252,13 +254,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     Rows that repeat a key: each gives a row. A null key: null component of its own unless linked. Empty table: empty
     result. Other columns are ignored. Sets are told apart by 64-bit hashes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("id"), F.col(text).alias("text"))
-    buckets = buckets or max(8, input_partitions(rows))
+    buckets = buckets or 2 * max(8, input_partitions(rows))
     dealt = rows.mapInPandas(_dealt(buckets, width), PARTS).repartition(buckets, "part")
     by_set = dealt.mapInPandas(_shared(buckets, buckets), PARTS).repartition(buckets, "part")
     found = materialise(by_set.mapInPandas(_survivors(num, den), SETS), "jaccard-sets")
     members, sets = found.where("kind = 0").select("id", "sid", "n"), found.where("kind = 1")
     small = sets.select("sid", "n", "s", "first")
-    lists = materialise(small.select("sid", "n", "s", F.explode("first").alias("token")), "jaccard-lists")
+    # with each place in a prefix: the set's tokens from there on in the order, and the few prefix tokens before it
+    placed = small.select("sid", "n", "s", "first", F.posexplode("first").alias("at", "token"))
+    before = F.slice("first", F.greatest(F.lit(1), F.col("at") - EARLIER + 1), F.least(F.col("at"), F.lit(EARLIER)))
+    lists = materialise(placed.select("sid", "n", "s", "token", (F.col("s") - F.col("at")).alias("rest"), before.alias("before")), "jaccard-lists")
 
     core = lists.groupBy("token").agg(F.min(F.struct((1 - F.col("s") / F.col("n")).alias("alone"), "sid", "n", "s")).alias("c"), F.count("*").alias("m")).where("m > 1")
     stars = lists.join(core, "token").where((F.col("c.sid") != F.col("sid")) & _possible(F.col("c.n"), F.col("c.s"), F.col("n"), F.col("s"), num, den))
@@ -266,11 +271,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     edges = materialise(verified(stars, sets, num, den), "jaccard-edges")
     labels = components(edges)
 
-    labelled = lists.join(labels, lists["sid"] == labels["node"], "left").select("token", "sid", "n", "s", F.coalesce("label", "sid").alias("label"))
+    labelled = lists.join(labels, lists["sid"] == labels["node"], "left").select("token", "sid", "n", "s", "rest", "before", F.coalesce("label", "sid").alias("label"))
     of_lists = labelled.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("token", "largest")
     apart = materialise(labelled.join(of_lists, "token"), "jaccard-apart")
-    out = apart.where("label <> largest").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("s").alias("xs"), F.col("label").alias("xl"))
-    cross = out.join(apart, "token").where((F.col("xl") != F.col("label")) & _possible(F.col("xn"), F.col("xs"), F.col("n"), F.col("s"), num, den))
+    out = apart.where("label <> largest").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xs"), F.col("before").alias("xb"), F.col("label").alias("xl"))
+    # a pair is made at the first token that it shares: what both hold from there on must allow the threshold, and places
+    # where they share a token just before are not the first
+    cross = out.join(apart, "token").where((F.col("xl") != F.col("label")) & _possible(F.col("xn"), F.col("xs"), F.col("n"), F.col("rest"), num, den) & ~F.arrays_overlap("xb", "before"))
     cross = cross.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b")).distinct()
     more = materialise(verified(cross, sets, num, den), "jaccard-more")
     if more.limit(1).count():

@@ -96,9 +96,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, labels: np.ndarray, langs: list[str]) -> Model:
-    """counts: rows x BUCKETS subword counts; labels: index of the language."""
+    """counts: rows x BUCKETS subword counts (normalised in place); labels: index of the language."""
     rng = np.random.default_rng(SEED)
-    x = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+    x = counts.astype(np.float32, copy=False)
+    x /= np.maximum(x.sum(1, keepdims=True), 1)
     held = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1 if len(x) >= 20 * CALIBRATE else np.zeros(len(x), bool)
     own = np.flatnonzero(~held)
     e, w, b = rng.normal(0, 0.1, (x.shape[1], WIDTH)).astype(np.float32), np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
