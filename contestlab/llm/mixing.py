@@ -57,21 +57,21 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int = CAP) -> dict
         room = {p: copies * n - sum(flow[p].values()) for p, n in patterns.items()}
         while True:
             came: dict = {p: None for p in patterns if room[p] > 1e-6}
-            todo, end = deque(came), None
-            while todo and end is None:
+            todo, found, end = deque(came), False, None  # a source may be None
+            while todo and not found:
                 p = todo.popleft()
                 for s in p:
-                    if s in came or ("s", s) in came:
+                    if ("s", s) in came:
                         continue
                     came["s", s] = p
                     if need.get(s, 0.0) > 1e-6:
-                        end = s
+                        found, end = True, s
                         break
                     for q in members[s]:
                         if q not in came and flow[q][s] > 1e-6:
                             came[q] = ("s", s)
                             todo.append(q)
-            if end is None:
+            if not found:
                 break
             path, node = [], ("s", end)
             while node is not None:
