@@ -143,11 +143,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
         if s == 0 or s == capacity:
             fresh, gap = True, capacity
         else:
-            change = np.where(n[s:capacity] > 0, n[: capacity - s] - n[s:capacity] + 1, far)  # half the change; n[0] stays 0
+            # of the sum of squares: one bin fewer with the old gap and one more with the new; n[0] stays 0
+            change = np.where(n[s:capacity] > 0, 2 * (n[: capacity - s] - n[s:capacity] + 1), far)
             if n[s]:
-                change[0] = -n[s]  # the bin closes: (n - 1)^2 - n^2, halved and rounded down
-            gap = s + int(change.argmin()) if len(change) else capacity
-            fresh = not len(change) or change[gap - s] > n[capacity - s]
+                change[0] = 1 - 2 * n[s]  # the bin is full then and counts no more
+            gap = s + int(change.argmin())
+            fresh = change[gap - s] > 2 * n[capacity - s] + 1
         if fresh:
             gap, b = capacity, made
             made += 1
