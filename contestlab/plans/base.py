@@ -47,7 +47,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("contest_id"), F.col("o_orderdate").cast("date").alias("held_date"), F.col("l_partkey").alias("runner"), F.col("l_suppkey").alias("rider"), F.col("o_custkey").alias("trainer"),
         F.col("l_returnflag").alias("surface"), F.col("l_linestatus").alias("turn"), F.col("o_orderpriority").alias("klass"), "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     )
-    e = e.withColumns({"entry_no": F.row_number().over(w.orderBy("runner", "rider", "l_linenumber", "price")), "field_size": F.count("*").over(w), "finish": F.rank().over(w.orderBy(F.desc("price")))})
+    e = e.withColumns({"entry_no": F.row_number().over(w.orderBy("runner", "rider", "l_linenumber", "price")).cast("long"), "field_size": F.count("*").over(w), "finish": F.rank().over(w.orderBy(F.desc("price"))).cast("long")})
     return e.withColumns({"is_win": (F.col("finish") == 1).cast("int"), "is_place": place_label("finish", "field_size")}).drop("l_linenumber")
 
 
