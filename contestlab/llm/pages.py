@@ -175,20 +175,32 @@ COPY_SHARE = 0.9
 
 
 def template_lines(own: np.ndarray, article: np.ndarray, others: list[np.ndarray | None]) -> np.ndarray:
-    """Flags of the lines to delete. Lines that the page shares with a neighbour go, unless they lie in the page's own
-    article element: there a shared line is a quotation or a copy. A neighbour that is a copy is not looked at."""
-    gone = np.zeros(len(own), bool)
+    """Flags of the lines to delete. Lines that the page shares with a neighbour go. Inside the page's own article element
+    a line goes if both neighbours share it: what one alone shares is a quotation. A neighbour that is a copy is not
+    looked at."""
+    found = []
     for o in others:
         if o is not None and len(o) and len(own):
             same = common_lines(own, o)
             if same.sum() < COPY_SHARE * len(own) or same.sum() < COPY_SHARE * len(o):
-                gone |= same
-    return gone & ~article
+                found.append(same)
+    gone = np.logical_or.reduce(found) if found else np.zeros(len(own), bool)
+    both = np.logical_and.reduce(found) if len(found) > 1 else np.zeros(len(own), bool)
+    return np.where(article, both, gone)
+
+
+def main_text(lines: list[tuple[str, bool]], gone: np.ndarray) -> str:
+    """The lines left, joined by one space; only those of article elements where these hold at least half of the
+    characters left, so that a small box named like an article does not hide the text."""
+    left = [x for i, x in enumerate(lines) if not (i < len(gone) and gone[i])]
+    inside = sum(len(t) for t, a in left if a)
+    main = inside and inside * 2 >= sum(len(t) for t, _ in left)
+    return " ".join(t for t, a in left if a or not main)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """pages with text: the lines that differencing leaves, in page order, joined by one space. Where the page has an
-    article element only its lines are main text; else all lines left.
+    """pages with text: the lines that differencing leaves, in page order, joined by one space. Where article elements hold
+    at least half of what is left, only their lines are main text; else all lines left.
 
     Pages are sorted by (host, path) over the whole cluster, so a host of any size is dealt over many tasks; line hashes
     alone take part in this. Null url: host and path are empty; null or empty html: empty text. Repeated rows and equal
@@ -224,13 +236,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     @F.pandas_udf("string")
     def keep(pages_: pd.Series, flags: pd.Series) -> pd.Series:
-        out = []
-        for x, f in zip(pages_, flags, strict=True):
-            lines = blocks(x)
-            away = np.unpackbits(np.frombuffer(f or b"", np.uint8))
-            main = any(a for _, a in lines)
-            out.append(" ".join(t for i, (t, a) in enumerate(lines) if (a or not main) and not (i < len(away) and away[i])))
-        return pd.Series(out)
+        return pd.Series([main_text(blocks(x), np.unpackbits(np.frombuffer(f or b"", np.uint8))) for x, f in zip(pages_, flags, strict=True)])
 
     return own.join(gone, "__row", "left").withColumn("text", keep(F.col(html), F.col("__gone"))).drop("__row", "__gone")
 

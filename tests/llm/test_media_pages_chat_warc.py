@@ -107,6 +107,18 @@ def test_copies_keep_their_article(spark):
     assert {r.text for r in pages.extract(df).collect()} == {"The same story. Told twice."}
 
 
+def test_differencing_inside_the_article(spark):
+    quote = "<p>Quoted by two pages.</p>"
+    bodies = [f"<p>Menu</p><article><p>Story {i} begins</p><p>Join our letter today</p>{quote if i in (4, 5) else ''}<p>Story {i} ends</p></article>" for i in range(8)]
+    boxes = [f"<div class='story'><p>Top {i}</p></div><div><p>The long text of page {i} stands outside of the small box</p><p>Imprint</p></div>" for i in range(4)]
+    rows = [(i, f"http://a.example/{i}", b) for i, b in enumerate(bodies)] + [(20 + i, f"http://b.example/{i}", b) for i, b in enumerate(boxes)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(1, 7):
+        assert got[i] == f"Story {i} begins {'Quoted by two pages. ' if i in (4, 5) else ''}Story {i} ends"
+    for i in range(4):
+        assert got[20 + i] == f"Top {i} The long text of page {i} stands outside of the small box"
+
+
 # chat
 
 
