@@ -8,7 +8,8 @@ candidates are verified exactly on the shared tokens and the sets' sizes.
 
 Only one bucket's tokens, packed into few bytes each, meet in a task; no list of a token's sets is paired with itself.
 First each list is linked to the set nearest to its core; then, lists whose sets lie in several components pair the sets
-outside of the largest component with the rest, so that no link is lost that could join two components."""
+outside of the largest component with the rest, so that no link is lost that could join two components. All links then lie
+inside of components: to count them, blocks of a component's sets meet, and every pair of two blocks is verified."""
 
 from __future__ import annotations
 
@@ -29,6 +30,9 @@ BITS = 44
 CHUNK = 1_500_000
 #: Prefix tokens before a place that are kept with it, to tell that a pair was made at one of them.
 EARLIER = 4
+#: Sets and tokens of one block of a component, and pairs of sets that hold a token from which on they are counted by
+#: matrix product.
+BLOCK_SETS, BLOCK_TOKENS, DENSE = 512, 400_000, 1024
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW = -(1 << 62)
 
@@ -246,8 +250,85 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100, buckets: int | None = None) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key that links reach, the document itself included) of every row.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of tokens that each of x shares with each of y (arrays of distinct tokens)."""
+    n, m = len(x), len(y)
+    ox, oy = np.repeat(np.arange(n), [len(t) for t in x]), np.repeat(np.arange(m), [len(t) for t in y])
+    names, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    tx, ty = at[: len(ox)], at[len(ox) :]
+    dx, dy = np.bincount(tx, minlength=len(names)), np.bincount(ty, minlength=len(names))
+    dense = np.flatnonzero(dx * dy >= DENSE)
+    out = np.zeros((n, m), np.int64)
+    column = np.full(len(names), -1)
+    for k in range(0, len(dense), 4096):
+        column[:] = -1
+        column[dense[k : k + 4096]] = np.arange(len(dense[k : k + 4096]))
+        a, b = np.zeros((n, 4096), np.float32), np.zeros((m, 4096), np.float32)
+        for matrix, owner, token in ((a, ox, tx), (b, oy, ty)):
+            here = column[token] >= 0
+            matrix[owner[here], column[token[here]]] = 1
+        out += (a @ b.T).astype(np.int64)
+    rare = (dx * dy > 0) & (dx * dy < DENSE)
+    order = np.argsort(ty, kind="stable")
+    first = np.r_[0, dy.cumsum()]
+    ox, tx = ox[rare[tx]], tx[rare[tx]]
+    times = dy[tx]
+    place = np.repeat(first[tx] - np.r_[0, times.cumsum()][:-1], times) + np.arange(times.sum())
+    return out + np.bincount(np.repeat(ox, times) * m + oy[order[place]], minlength=n * m).reshape(n, m)
+
+
+def _linked(num: int, den: int):
+    """Rows sorted by (label, i, j) to sid, links: documents of the other sets that each set links with in this pair of
+    blocks."""
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        where = None
+
+        def out() -> pd.DataFrame:
+            i, j = where[1:]
+            x, y = [r for r in held if r.block == i], [r for r in held if r.block == j]
+            if not x or not y:
+                return pd.DataFrame({"sid": [], "links": []}, dtype=np.int64)
+            nx, ny = np.array([r.n for r in x])[:, None], np.array([r.n for r in y])[None, :]
+            shared = overlaps([r.tokens for r in x], [r.tokens for r in y])
+            link = shared * den >= (nx + ny - shared) * num
+            if i == j:
+                np.fill_diagonal(link, False)
+                y = []
+            to_x = link @ np.array([r.docs for r in (y or x)])
+            to_y = np.array([r.docs for r in x]) @ link if y else []
+            return pd.DataFrame({"sid": [r.sid for r in x + y], "links": np.r_[to_x, to_y].astype(np.int64)})
+
+        for b in batches:
+            for r in b.itertuples():
+                if (r.label, r.i, r.j) != where:
+                    if held:
+                        yield out()
+                    held, where = [], (r.label, r.i, r.j)
+                held.append(r)
+        if held:
+            yield out()
+
+    return linked
+
+
+def link_counts(sets: DataFrame, labels: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """sid, links: documents with other sets that each set in a component of several sets links with. A component's sets are
+    dealt into blocks, and every two blocks meet in one place, so that only sets are sent about, not pairs."""
+    docs = members.where("n > 0").groupBy("sid").agg(F.count("*").alias("docs"))
+    own = sets.select("sid", "s").join(labels, F.col("sid") == F.col("node")).select("sid", "s", "label")
+    parts = own.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("s") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    dealt = materialise(own.join(parts, "label").join(docs, "sid").select("sid", "label", "docs", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block")), "jaccard-dealt")
+    rows = sets.select("sid", "n", "tokens").join(dealt, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sid", "n", "tokens", "docs", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInPandas(_linked(num, den), "sid long, links long")
+    return materialise(found.groupBy("sid").agg(F.sum("links").alias("links")), "jaccard-links")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100, buckets: int | None = None, links: bool = False) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key that links reach, the document itself included) of every row; with
+    `links` also n_links, the number of other documents (rows) that it links with.
     Two documents link when den * intersection >= num * union of their sets of distinct `width`-word shingles; a text of
     fewer words is one shingle; an empty or null one links with nothing.
 
@@ -287,9 +368,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     classes = of_sets.join(labels, of_sets["sid"] == labels["node"], "left").select("sid", "low", F.coalesce("label", "sid").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component"))
     classes = materialise(classes.join(lowest, "label").select("sid", "component"), "jaccard-classes")
-    out = members.join(classes, "sid", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    out = members.join(classes, "sid", "left").select("sid", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
     real = lambda c: F.when(F.col(c) != LOW, F.col(c))
-    return out.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    columns = [real("id").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id")]
+    if not links:
+        return out.select(*columns)
+    copies = members.where("n > 0").groupBy("sid").agg((F.count("*") - 1).alias("copies"))
+    counts = materialise(copies.join(link_counts(sets, labels, members, num, den), "sid", "left").select("sid", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-counts")
+    return out.join(counts, "sid", "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -301,7 +387,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
 
 def op3(spark, sf_dir):
-    return near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, num=85, den=100)
+    return near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, num=85, den=100, links=True)
 
 
 QUERIES = {"op3_jaccard_join": op3}

@@ -159,6 +159,30 @@ def test_jaccard_against_all_pairs(spark, width, num):
     assert got == brute_classes(rows, width, num, 100)
 
 
+@pytest.mark.parametrize(("width", "num", "block"), [(4, 85, 512), (5, 80, 4), (1, 50, 7)])
+def test_jaccard_counts_all_links(spark, width, num, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = chains() + [(i + 1000, t) for i, t, *_ in some_docs(40)]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    want = {i: sum(j != k and bool(a) and len(a & b) * 100 >= len(a | b) * num for k, b in enumerate(sets)) for j, ((i, _), a) in enumerate(zip(rows, sets, strict=True))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.near_classes(df, width=width, num=num, buckets=6, links=True).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 5
+    assert jaccard.near_classes(df.limit(0), links=True).count() == 0
+
+
+def test_overlaps_by_product_and_by_index(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = ([np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(n)] for n in (30, 17))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    for least in (1, 80, 10**9):
+        monkeypatch.setattr(jaccard, "DENSE", least)
+        assert jaccard.overlaps(x, y).tolist() == want
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (3, "A b c d e"), (3, "a b c d e"), (9, ""), (8, None), (7, "a b"), (2, "a b"), (None, "zz yy xx ww vv")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.near_classes(df.selectExpr("*", "'x' as sid"), width=4).collect())
