@@ -4,12 +4,14 @@ pages of its host are sorted by URL path; lines that a longest common subsequenc
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,23 +171,54 @@ def url_parts(url: str | None) -> tuple[str, str]:
     return host.removeprefix("www."), path
 
 
-#: Share of a page's lines which, if all the same in its neighbour, makes the two copies of each other rather than two
-#: pages of one template: copies tell nothing.
-COPY_SHARE = 0.9
-
-
-def template_lines(own: np.ndarray, article: np.ndarray, others: list[np.ndarray | None]) -> np.ndarray:
-    """Flags of the lines to delete. Lines that the page shares with a neighbour go. Inside the page's own article element
-    a line goes if both neighbours share it: what one alone shares is a quotation. A neighbour that is a copy is not
-    looked at."""
-    found = []
-    for o in others:
-        if o is not None and len(o) and len(own):
-            same = common_lines(own, o)
-            if same.sum() < COPY_SHARE * len(own) or same.sum() < COPY_SHARE * len(o):
-                found.append(same)
-    gone = np.logical_or.reduce(found) if found else np.zeros(len(own), bool)
-    both = np.logical_and.reduce(found) if len(found) > 1 else np.zeros(len(own), bool)
+#: Pages and bytes of line hashes of one chunk of the sorted pages.
+CHUNK_PAGES, CHUNK_BYTES = 20_000, 1 << 24
+#: A page in a chunk: host, hash of its main part, line hashes, article flags, row.
+Page = tuple[str, int, bytes, bytes, int]
+
+
+def last_runs(pages: list[Page], n: int = 3) -> list[Page]:
+    """The last page of each of the last n runs of copies (pages of one host with equal main parts that follow one another)
+    of the last host, in order."""
+    out: list[Page] = []
+    for p in reversed(pages):
+        if out and p[0] != out[-1][0]:
+            break
+        if not out or p[1] != out[-1][1]:
+            out.append(p)
+            if len(out) == n:
+                break
+    return out[::-1]
+
+
+def first_runs(pages: list[Page], n: int = 3) -> list[Page]:
+    return last_runs(pages[::-1], n)[::-1]
+
+
+def neighbours(before: list[Page], pages: list[Page], after: list[Page]) -> Iterator[tuple[Page, list[Page], list[Page]]]:
+    """Each page with the pages of its host that stand beside its run of copies (two, or one at the host's ends), and with
+    the two that decide inside an article: the same, or at the host's ends the next one further on; none if the host has
+    no two."""
+    everything = before + pages + after
+    starts = [i for i, p in enumerate(everything) if not i or p[:2] != everything[i - 1][:2]]
+    ends = [*starts[1:], len(everything)]
+    host = lambda r: everything[starts[r]][0] if 0 <= r < len(starts) else None
+    for r, (a, z) in enumerate(zip(starts, ends, strict=True)):
+        left, right = ([everything[ends[k] - 1] if k < r else everything[starts[k]] for k in ks if host(k) == host(r)] for ks in ((r - 1, r - 2), (r + 1, r + 2)))
+        two = (left[:1] + right[:1]) if left and right else (left or right)
+        for i in range(max(a, len(before)), min(z, len(before) + len(pages))):
+            yield everything[i], left[:1] + right[:1], two if len(two) == 2 else []
+
+
+def template_lines(own: np.ndarray, article: np.ndarray, beside: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Flags of the lines to delete. Lines that the page shares with a page beside it go. Inside the page's own article
+    element a line goes if it is shared with both pages of `two`: what one alone shares is a quotation."""
+    gone, both = np.zeros(len(own), bool), np.full(len(own), len(two) == 2)
+    shared = {id(o): common_lines(own, o) for o in (*beside, *two)}
+    for o in beside:
+        gone |= shared[id(o)]
+    for o in two:
+        both &= shared[id(o)]
     return np.where(article, both, gone)
 
 
@@ -203,36 +236,59 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     at least half of what is left, only their lines are main text; else all lines left.
 
     Pages are sorted by (host, path) over the whole cluster, so a host of any size is dealt over many tasks; line hashes
-    alone take part in this. Null url: host and path are empty; null or empty html: empty text. Repeated rows and equal
+    alone take part in this. Pages that follow one another with equal main parts (article lines, or all lines where there is
+    no article element) are copies: each is compared with the nearest other pages of its host on both sides. Null url: host and path are empty; null or empty html: empty text. Repeated rows and equal
     urls: compared like others, each row has its own text. Empty table: empty result. A column text is replaced."""
-    spark = pages.sparkSession
     own = pages.drop("text").withColumn("__row", F.xxhash64(F.col(url), F.col(html)))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [blocks(x) for x in b["html"]]
-            parts = [url_parts(x) for x in b["url"]]
-            yield pd.DataFrame({"row": b["row"], "host": [p[0] for p in parts], "path": [p[1] for p in parts], "lines": [line_hashes(g).tobytes() for g in got], "article": [bytes(a for _, a in g) for g in got]})
-
-    signed = own.select(F.col("__row").alias("row"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(signatures, "row long, host string, path string, lines binary, article binary")
-    # places in the order of (host, path): number of the sorted partition and of the row in it
-    ordered = materialise(signed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("at", F.monotonically_increasing_id()), "pages-sorted")
-    per = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()
-    starts, total = {}, 0
-    for r in sorted(per, key=lambda r: r["part"]):
-        starts[r["part"]], total = total, total + r["n"]
-    first = spark.createDataFrame([(int(k), int(v)) for k, v in starts.items()], "part long, first long")
-    placed = ordered.join(first, F.shiftright("at", 33) == F.col("part")).withColumn("pos", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "first", "at")
-    near = placed.select("host", F.explode(F.array(F.struct((F.col("pos") - 1).alias("pos"), F.lit(1).alias("side"), "lines"), F.struct((F.col("pos") + 1).alias("pos"), F.lit(-1).alias("side"), "lines"))).alias("n")).select(F.col("host"), "n.*")
-    near = near.groupBy("host", "pos").agg(F.max(F.when(F.col("side") == 1, F.col("lines"))).alias("after"), F.max(F.when(F.col("side") == -1, F.col("lines"))).alias("before"))
+            parts, hashes, article = [url_parts(x) for x in b["url"]], [line_hashes(g) for g in got], [np.array([a for _, a in g], bool) for g in got]
+            main = [int(np.uint64(xxhash.xxh3_64_intdigest((h[a] if a.any() else h).tobytes())).view(np.int64)) for h, a in zip(hashes, article, strict=True)]
+            yield pd.DataFrame({"row": b["row"], "host": [p[0] for p in parts], "path": [p[1] for p in parts], "main": main, "lines": [h.tobytes() for h in hashes], "article": [a.tobytes() for a in article]})
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"part": [part], "no": [no], "ends": [pickle.dumps((first_runs(held), last_runs(held)))], "body": [pickle.dumps(held)]})
 
-    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asarray = lambda x: None if x is None else np.frombuffer(x, np.uint64)
         for b in batches:
-            out = [np.packbits(template_lines(asarray(o), np.frombuffer(a, np.uint8) != 0, [asarray(p), asarray(q)])).tobytes() for o, a, p, q in zip(b["lines"], b["article"], b["before"], b["after"], strict=True)]
-            yield pd.DataFrame({"__row": b["row"], "__gone": out})
+            for p in zip(b["host"], b["main"].tolist(), b["lines"], b["article"], b["row"].tolist(), strict=True):
+                held.append(p)
+                size += len(p[2])
+                if len(held) >= CHUNK_PAGES or size >= CHUNK_BYTES:
+                    yield out()
+                    no, held, size = no + 1, [], 0
+        if held:
+            yield out()
+
+    # a page without lines tells nothing about its neighbours
+    signed = own.select(F.col("__row").alias("row"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(signatures, "row long, host string, path string, main long, lines binary, article binary").where("length(lines) > 0")
+    ordered = materialise(signed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").select("host", "main", "lines", "article", "row").mapInPandas(chunks, "part int, no int, ends binary, body binary"), "pages-sorted")
+    # what stands before and after each chunk: at most three pages a side
+    ends = {(r["part"], r["no"]): pickle.loads(r["ends"]) for r in ordered.select("part", "no", "ends").collect()}
+    before, after, held = {}, {}, []
+    for k in sorted(ends):
+        before[k], held = held, last_runs(held + ends[k][1])
+    held = []
+    for k in sorted(ends, reverse=True):
+        after[k], held = held, first_runs(ends[k][0] + held)
 
-    gone = placed.join(near, ["host", "pos"], "left").select("row", "lines", "article", "before", "after").mapInPandas(differ, "__row long, __gone binary")
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in zip(b["part"].tolist(), b["no"].tolist(), b["body"], strict=True):
+                rows, flags, seen = [], [], {}
+                for page, beside, two in neighbours(before[k[:2]], pickle.loads(k[2]), after[k[:2]]):
+                    # only pages near by are looked at again
+                    seen = {id(p): seen[id(p)] if id(p) in seen else np.frombuffer(p[2], np.uint64) for p in (*beside, *two)}
+                    gone = template_lines(np.frombuffer(page[2], np.uint64), np.frombuffer(page[3], bool), [seen[id(p)] for p in beside], [seen[id(p)] for p in two])
+                    rows.append(page[4])
+                    flags.append(np.packbits(gone).tobytes())
+                yield pd.DataFrame({"__row": rows, "__gone": flags})
+
+    gone = ordered.select("part", "no", "body").mapInPandas(differ, "__row long, __gone binary")
 
     @F.pandas_udf("string")
     def keep(pages_: pd.Series, flags: pd.Series) -> pd.Series:

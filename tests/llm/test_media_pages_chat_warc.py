@@ -119,6 +119,18 @@ def test_differencing_inside_the_article(spark):
         assert got[20 + i] == f"Top {i} The long text of page {i} stands outside of the small box"
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5, 20_000])
+def test_copies_have_neighbours_too(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pages, "CHUNK_PAGES", chunk)
+    menu = "".join(f"<p>Menu {k}</p>" for k in range(18))
+    texts = ["Own a", "Own b", "Own c", "Own c", "Own c", "Own c", "Own d", "Own e"]
+    rows = [(i, f"http://a.example/{i}", f"<div>{menu}<p>{t}</p><p>Also {t}</p></div>") for i, t in enumerate(texts)]
+    rows += [(20 + i, f"http://b.example/{i}", f"<article><p>Notice</p><p>Tale {i}</p></article>") for i in range(4)] + [(30, "http://a.example/3x", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert got == {i: f"{t} Also {t}" for i, t in enumerate(texts)} | {20 + i: f"Tale {i}" for i in range(4)} | {30: ""}
+
+
 # chat
 
 
