@@ -379,11 +379,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose key is their component's smallest; where rows repeat a key, one of them."""
-    classes = near_classes(docs, key, text, width, num, den)
-    kept = materialise(classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("__n")), "jaccard-kept")
-    out = docs.join(kept.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return out.dropDuplicates([key]) if kept.where("__n > 1").limit(1).count() else out
+    """One row of docs for each component: the one with the smallest key (a null key is the largest; then the smallest hash
+    of key and text); of rows equal in both, one. A text without shingles has no copies: each such row stays.
+
+    A row is known by the 64-bit hash of its key and text, so null keys and keys that repeat are rows like others."""
+    own = docs.withColumn("__row", F.xxhash64(key, text))
+    classes = materialise(near_classes(own.select("__row", text), "__row", text, width, num, den).groupBy("__row", "component_id").agg(F.max("n_shingles").alias("__n"), F.count("*").alias("__m")), "jaccard-rows")
+    keys = own.select("__row", F.col(key).alias("__key")).distinct()
+    first = F.min(F.struct(F.col("__key").isNull().alias("null"), "__key", "__row", "__m"))
+    best = classes.where("__n > 0").join(keys, "__row").groupBy("component_id").agg(first.alias("f")).select("f.__row", F.lit(False).alias("__empty"), "f.__m")
+    kept = materialise(best.unionByName(classes.where("__n = 0").select("__row", F.lit(True).alias("__empty"), "__m")), "jaccard-kept")
+    if not kept.where("__m > 1 and not __empty").limit(1).count():
+        return own.join(kept.select("__row"), "__row", "left_semi").select(docs.columns)
+    out = own.join(kept.select("__row", "__empty"), "__row").withColumn("__no", F.when(F.col("__empty"), F.monotonically_increasing_id()))
+    return out.dropDuplicates(["__row", "__no"]).select(docs.columns)
 
 
 def op3(spark, sf_dir):

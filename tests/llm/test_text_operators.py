@@ -192,6 +192,15 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 8, 9]
 
 
+def test_keep_one_goes_by_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, far = long + " end", " ".join(f"v{k}" for k in range(60))
+    rows = [(None, "one clean text of its own"), (None, "another clean text here now"), (None, ""), (None, None), (None, None), (4, "some text that is four"), (4, "quite another one with four"), (4, "some text that is four"), (1, long), (9, near), (9, far), (None, far + " x")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(r for k, r in enumerate(rows) if k not in (7, 9, 11))
+    assert got[0].asDict().keys() == {"doc_id", "text"}
+
+
 # mixing
 
 
