@@ -35,11 +35,14 @@ def cell_table(df: DataFrame, entity: str, cond: str, prob: str, label: str) ->
     return df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"), F.sum(p).alias("expected"))
 
 
-def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int = 50, newton: int = 8) -> DataFrame:
+def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = 50, newton: int = 8) -> DataFrame:
     """Shift of the log-odds of each cell over the offset prob, with a normal prior whose width tau is the one of the grid
-    with the largest Laplace marginal likelihood. Offsets are counted by cell and one of `bins` logit steps, so every
-    Newton step is a native fold over a bounded array."""
-    z = F.round(F.least(F.greatest(logit_clip(prob), F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)
+    with the largest Laplace marginal likelihood. Offsets are counted by cell and, with `bins` None, by their exact value,
+    so that every Newton step is a native fold over an array of the cell's distinct offsets; else by one of `bins` logit
+    steps, which bounds the array and rounds the offsets."""
+    z = logit_clip(prob)
+    if bins is not None:
+        z = F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)
     cells = df.groupBy(entity, cond, z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
     cells = cells.groupBy(entity, cond).agg(F.collect_list(F.struct("z", "n", "k")).alias("a"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
 

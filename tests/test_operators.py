@@ -171,6 +171,25 @@ def test_cell_effects_against_newton(spark):
         assert r.effect == pytest.approx(b, abs=1e-6)
 
 
+def test_cell_effects_of_exact_offsets(spark, monkeypatch):
+    from contestlab.plans import decisions as D
+
+    rng = random.Random(4)
+    rows = [(i % 5, i % 2, rng.choice([0.2, 0.31, 0.0001]), int(rng.random() < 0.3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "runner int, surface int, prob double, is_place int")
+    monkeypatch.setattr(D, "bets", lambda *_: df)
+    out = D.cell_effects(spark, "").collect()
+    assert len(out) == 10
+    for r in out:
+        cell = [(math.log(p / (1 - p)), y) for e, c, p, y in rows if (e, c) == (r.runner, r.surface)]
+        b, prec = 0.0, 1 / r.tau**2
+        for _ in range(50):
+            q = [1 / (1 + math.exp(-(z + b))) for z, _ in cell]
+            b += (sum(y for _, y in cell) - sum(q) - b * prec) / (sum(x * (1 - x) for x in q) + prec)
+        assert r.effect == pytest.approx(b, abs=2e-6)
+        assert r.expected == pytest.approx(sum(p for e, c, p, _ in rows if (e, c) == (r.runner, r.surface)), abs=2e-6)
+
+
 def test_bootstrap_is_seeded_and_covers(spark):
     df = spark.createDataFrame([(f"w{i % 30}", -0.2 + 0.1 * math.sin(i)) for i in range(600)], "w string, v double")
     a, b = (X.block_bootstrap(df.repartition(k), "v", "w", 300, 5).first() for k in (1, 4))
