@@ -388,14 +388,27 @@ def sampled_entries(spark, sf):
 
 @query()
 def boosted_metrics(spark, sf):
-    """Boosted trees by year folds, calibrated, with metrics by year."""
-    e = entries(spark, sf).withColumns({"year": F.year("held_date"), "odds": 1 + F.col("quantity") / 5.0}).where("year between 1999 and 2001")
+    """Boosted trees by year folds over all years, calibrated, with metrics by year."""
+    e = entries(spark, sf).withColumns({"year": F.year("held_date"), "odds": 1 + F.col("quantity") / 5.0})
     oof = E.oof_predictions(e, "year", "contest_id", ["quantity", "discount", "tax", "field_size"], "is_place")
     oof = oof.withColumns({"z": C.logit_clip("p"), "ln_odds": F.ln("odds")})
     a, b, c = E.platt_fit(oof, "z", "ln_odds", "is_place")
     return E.binary_metrics(oof.withColumn("p_cal", C.platt_apply("p", "odds", a, b, c)), "is_place", "p_cal", ["year"])
 
 
+@query()
+def feature_importance(spark, sf):
+    """Gain of each feature in boosted trees over all entries."""
+    features = ["quantity", "discount", "tax", "field_size"]
+    return E.importance_table(E.train_binary(entries(spark, sf), features, "is_place"), features, spark)
+
+
+@query()
+def condition_split(spark, sf):
+    """By surface, a model of all entries against one of the surface's entries, tried on the contests from 1999 on."""
+    return E.condition_split(entries(spark, sf), "surface", ["quantity", "discount", "tax", "field_size"], "is_place", F.col("held_date") < "1999-01-01")
+
+
 @query()
 def effect_summary(spark, sf):
     """E24."""

@@ -190,6 +190,24 @@ def test_cell_effects_of_exact_offsets(spark, monkeypatch):
         assert r.expected == pytest.approx(sum(p for e, c, p, _ in rows if (e, c) == (r.runner, r.surface)), abs=2e-6)
 
 
+def test_boosted_queries_cover_all_years(spark, monkeypatch):
+    from contestlab.plans import decisions as D
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(1400):
+        quantity = float(rng.randrange(1, 50))
+        rows.append((i // 2, dt.date(1995 + i // 200, 5, 1), "RAN"[i % 3] if i % 50 else "X", quantity, rng.randrange(10) / 100, 0.01, 2, int(quantity + rng.randrange(20) > 35)))
+    df = spark.createDataFrame(rows, "contest_id int, held_date date, surface string, quantity double, discount double, tax double, field_size int, is_place int")
+    monkeypatch.setattr(D, "entries", lambda *_: df)
+    got = {r.year: (r.n, r.auc) for r in D.boosted_metrics(spark, "").collect()}
+    assert got.keys() == set(range(1996, 2002)) and all(n == 200 and auc > 0.7 for n, auc in got.values())
+    assert [r.feature for r in D.feature_importance(spark, "").collect()][0] == "quantity"
+    split = {r.surface: r for r in D.condition_split(spark, "").collect()}
+    assert split["X"].skip_reason == "too_few_rows" and split["X"].auc_local is None
+    assert all(split[c].skip_reason is None and split[c].auc_base > 0.7 and split[c].auc_local > 0.7 for c in "RAN")
+
+
 def test_bootstrap_is_seeded_and_covers(spark):
     df = spark.createDataFrame([(f"w{i % 30}", -0.2 + 0.1 * math.sin(i)) for i in range(600)], "w string, v double")
     a, b = (X.block_bootstrap(df.repartition(k), "v", "w", 300, 5).first() for k in (1, 4))
