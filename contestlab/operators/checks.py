@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contestlab.operators.joins import last_before
+
 
 def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -59,8 +61,8 @@ def broken_sequence(df: DataFrame, key: str, number: str, date: str) -> DataFram
 
 def broken_pointer(entries: DataFrame, history: DataFrame, key: str, date: str, end: str, number: str, then: str) -> DataFrame:
     """Entries whose end number is not the number of history rows strictly before their date."""
-    past = entries.select(key, date).distinct().join(history.select(key, F.col(number).alias("__n"), F.col(then).alias("__then")), key).where(F.col("__then") < F.col(date)).groupBy(key, date).agg(F.max("__n").alias("last_no"))
-    return entries.join(past, [key, date], "left").where(F.col(end) != F.coalesce("last_no", F.lit(0)))
+    past = last_before(entries, history, key, date, then, number, [number])
+    return past.where(F.col(end) != F.coalesce(f"last_{number}", F.lit(0))).withColumnRenamed(f"last_{number}", "last_no")
 
 
 def rows_differ(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

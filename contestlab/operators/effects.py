@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import cut_bands, logit_clip
+from contestlab.sources.tables import settled
 
 
 def block_bootstrap(df: DataFrame, value: str, block: str, reps: int, seed: int) -> DataFrame:
@@ -35,38 +38,59 @@ def cell_table(df: DataFrame, entity: str, cond: str, prob: str, label: str) ->
     return df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"), F.sum(p).alias("expected"))
 
 
-def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = 50, newton: int = 8) -> DataFrame:
+def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = None, newton: int = 8) -> DataFrame:
     """Shift of the log-odds of each cell over the offset prob, with a normal prior whose width tau is the one of the grid
-    with the largest Laplace marginal likelihood. Offsets are counted by cell and, with `bins` None, by their exact value,
-    so that every Newton step is a native fold over an array of the cell's distinct offsets; else by one of `bins` logit
-    steps, which bounds the array and rounds the offsets."""
+    with the largest Laplace marginal likelihood. Rows are counted by cell and offset first; then each cell is one row with
+    its distinct offsets, and the Newton steps run side by side over a batch of cells and all widths. Offsets that hardly
+    repeat make long rows: `bins` rounds them to so many logit steps, which bounds the rows and moves the effects."""
     z = logit_clip(prob)
     if bins is not None:
         z = F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)
-    cells = df.groupBy(entity, cond, z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
-    cells = cells.groupBy(entity, cond).agg(F.collect_list(F.struct("z", "n", "k")).alias("a"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
-
-    def fit(tau: float) -> Column:
-        prec = 1 / (tau * tau)
-        grad = lambda b: F.aggregate("a", -b * prec, lambda s, x: s + x["k"] - x["n"] / (1 + F.exp(-(x["z"] + b))))
-        hess = lambda b: F.aggregate("a", F.lit(prec), lambda s, x: s + x["n"] / (1 + F.exp(-(x["z"] + b))) / (1 + F.exp(x["z"] + b)))
-        like = lambda b: F.aggregate("a", F.lit(0.0), lambda s, x: s + x["k"] * (x["z"] + b) - x["n"] * F.ln(1 + F.exp(x["z"] + b)))
-        b = F.aggregate(F.sequence(F.lit(1), F.lit(newton)), F.lit(0.0), lambda s, _: s + grad(s) / hess(s))
-        one = F.transform(F.array(b), lambda s: F.struct(F.lit(tau).alias("tau"), s.alias("effect"), (1 / F.sqrt(hess(s))).alias("se"), (like(s) - like(F.lit(0.0)) - s * s * prec / 2 - F.ln(hess(s) / prec) / 2).alias("marginal")))
-        return one[0]
-
-    long = cells.select(entity, cond, "n", "k", "expected", F.explode(F.array(*[fit(t) for t in taus])).alias("f")).select(entity, cond, "n", "k", "expected", "f.*")
+    offsets = df.groupBy(entity, cond, z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
+    a = F.collect_list(F.struct("z", F.col("n").cast("double").alias("m"), F.coalesce("k", F.lit(0.0)).alias("y"))).alias("a")
+    cells = offsets.groupBy(entity, cond).agg(a, F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
+    cells = cells.select(entity, cond, "n", "k", "expected", *[F.transform("a", _part(c)).alias(f"__{c}") for c in "zmy"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields[:5]) + ", tau double, effect double, se double, marginal double"
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            starts = np.r_[0, b["__z"].str.len().cumsum().to_numpy()[:-1]].astype(int) if len(b) else np.zeros(0, int)
+            if not len(b):
+                continue
+            z, m, y = (np.concatenate(b[f"__{c}"].to_numpy()) for c in "zmy")
+            size = np.diff(np.r_[starts, len(z)])
+            for tau in taus:
+                prec, effect = 1 / (tau * tau), np.zeros(len(b))
+
+                def sums(e: np.ndarray, prec: float = prec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    at = z + np.repeat(e, size)
+                    p = 1 / (1 + np.exp(-at))
+                    add = lambda x: np.add.reduceat(x, starts)
+                    return add(y - m * p) - e * prec, add(m * p * (1 - p)) + prec, add(y * at - m * np.logaddexp(0, at))
+
+                for _ in range(newton):
+                    grad, hess, _ = sums(effect)
+                    effect = effect + grad / hess
+                _, hess, like = sums(effect)
+                marginal = like - sums(np.zeros(len(b)))[2] - effect * effect * prec / 2 - np.log(hess / prec) / 2
+                yield b.iloc[:, :5].assign(tau=tau, effect=effect, se=1 / np.sqrt(hess), marginal=marginal)
+
+    long = settled(cells.mapInPandas(fit, schema))
     best = long.groupBy("tau").agg(F.sum("marginal").alias("m")).orderBy(F.desc("m"), "tau").limit(1).select("tau")
     return long.join(F.broadcast(best), "tau")
 
 
+def _part(name: str):
+    return lambda x: x[name]
+
+
 def main_effects(df: DataFrame, entity: str, cond: str, label: str, strength: float = 10.0, rounds: int = 10) -> DataFrame:
     """Cells with an offset of entity and condition effects on the log-odds, both shrunk: alternating Newton steps over
     the table of cell counts, which is all that is read again."""
     cells = df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
     rate = cells.agg(F.sum("k") / F.sum("n")).first()[0] or 0.5
     base = logit_clip(F.lit(float(rate)))
-    cells = cells.withColumns({"e": F.lit(0.0), "c": F.lit(0.0)}).cache()
+    cells = cells.withColumns({"e": F.lit(0.0), "c": F.lit(0.0)})
     for i in range(rounds):
         for key, name in ((entity, "e"), (cond, "c")):
             p = 1 / (1 + F.exp(-(base + F.col("e") + F.col("c"))))
@@ -74,8 +98,7 @@ def main_effects(df: DataFrame, entity: str, cond: str, label: str, strength: fl
             step = (F.sum(F.col("k") - F.col("n") * p).over(w) - strength * F.col(name)) / (F.sum(F.col("n") * p * (1 - p)).over(w) + strength)
             cells = cells.withColumn(name, F.col(name) + step)
         if i % 3 == 2:
-            cells = cells.cache()
-            cells.count()
+            cells = settled(cells)
     return cells.withColumn("offset_p", 1 / (1 + F.exp(-(base + F.col("e") + F.col("c")))))
 
 
@@ -149,7 +172,10 @@ def judge_metrics(auc: Column, logloss: Column) -> Column:
 
 def decide_scenarios(metrics: DataFrame, baseline: str, review: str | None = None) -> DataFrame:
     """Deltas against the baseline scenario, their judgement and the recommendation; a review that is not `fine` turns
-    adoption into a hold."""
+    adoption into a hold. There must be one baseline row."""
+    found = metrics.where(F.col("scenario") == baseline).limit(2).count()
+    if found != 1:
+        raise ValueError(f"{found} baseline rows, but there must be one")
     base = metrics.where(F.col("scenario") == baseline).select(*[F.col(c).alias(f"__{c}") for c in ("auc", "logloss", "brier")])
     out = metrics.join(F.broadcast(base)).withColumns({f"delta_{c}": F.col(c) - F.col(f"__{c}") for c in ("auc", "logloss", "brier")})
     j = judge_metrics(F.col("delta_auc"), F.col("delta_logloss"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import wilson
+from contestlab.sources.tables import settled
 
 
 def year_split(df: DataFrame, year: str, start: int, end: int) -> dict[str, DataFrame]:
@@ -49,9 +50,12 @@ def apply_preprocess(df: DataFrame, stats: dict, vocabulary: DataFrame, categori
 
 def history_arrays(entries: DataFrame, history: DataFrame, row: Sequence[str], key: str, number: str, end: str, values: Sequence[str], k: int) -> DataFrame:
     """Entries with the last k history rows up to their end number, oldest first, padded on the right with zeros, and the
-    mask of real places. History is cut by the entry's window before it is gathered, so no array exceeds k."""
-    h = history.select(key, number, *values)
-    near = entries.select(*row, key, end).join(h, key).where((F.col(number) <= F.col(end)) & (F.col(number) > F.col(end) - k))
+    mask of real places. They meet by key and by cells of k numbers, of which an entry looks into two, so no row meets all
+    others of its key and no array exceeds k."""
+    cell = lambda c: F.floor(c / k)
+    h = history.select(key, number, *values, cell(F.col(number)).alias("__cell"))
+    looking = entries.select(*row, key, end, F.explode(F.array_distinct(F.array(cell(F.col(end) - k + 1), cell(F.col(end))))).alias("__cell"))
+    near = looking.join(h, [key, "__cell"]).where((F.col(number) <= F.col(end)) & (F.col(number) > F.col(end) - k))
     got = near.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(number, *values))).alias("__h"))
     out = entries.join(got, list(row), "left").withColumn("__h", F.coalesce("__h", F.array().cast(got.schema["__h"].dataType)))
     n = F.size("__h")
@@ -63,11 +67,11 @@ def _field(name: str):
     return lambda x: x[name].cast("double")
 
 
-def contest_batches(df: DataFrame, contest: str, order: str, values: Sequence[str], width: int) -> DataFrame:
-    """One row per contest: values in entry order, padded to width, and the mask."""
-    g = df.groupBy(contest).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("__b"))
-    n = F.least(F.size("__b"), F.lit(width))
-    return g.select(contest, *[F.concat(F.transform(F.slice("__b", 1, width), _field(v)), F.array_repeat(F.lit(0.0), width - n)).alias(v) for v in values], F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), width - n)).alias("mask"))
+def contest_batches(df: DataFrame, contest: str, order: str, values: Sequence[str]) -> DataFrame:
+    """One row per contest: values in entry order, padded to the size of the largest contest, and the mask."""
+    g = settled(df.groupBy(contest).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("__b")))
+    width, n = g.agg(F.max(F.size("__b"))).first()[0] or 0, F.size("__b")
+    return g.select(contest, *[F.concat(F.transform("__b", _field(v)), F.array_repeat(F.lit(0.0), width - n)).alias(v) for v in values], F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), width - n)).alias("mask"))
 
 
 def expanding_folds(df: DataFrame, date: str, start, months: int, folds: int) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestlab.functions.columns import null_key
+from contestlab.sources.tables import settled
 
 
 def restrict_to(df: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,41 +24,66 @@ def complete_grid(df: DataFrame, keys: Sequence[str], name: str, values: Sequenc
     return df.select(*keys).distinct().withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
-def sparse_filter(df: DataFrame, group: str, cond: str, min_group: int, min_cell: int, min_levels: int, most: int = 50) -> DataFrame:
+def sparse_filter(df: DataFrame, group: str, cond: str, min_group: int, min_cell: int, min_levels: int) -> DataFrame:
     """Drop small groups, small cells and groups with few conditions until nothing changes. Only the table of cell counts
-    is iterated; the rows are read once more at the end."""
+    is iterated; the rows are read once more at the end. Each round but the last drops cells, so the rounds come to an end."""
     cells = df.groupBy(group, cond).agg(F.count("*").alias("n"))
     over, last = Window.partitionBy(group), -1
-    for _ in range(most):
-        cells = cells.where(F.col("n") >= min_cell).withColumns({"__t": F.sum("n").over(over), "__k": F.count("*").over(over)}).where((F.col("__t") >= min_group) & (F.col("__k") >= min_levels)).drop("__t", "__k").cache()
+    while True:
+        cells = settled(cells.where(F.col("n") >= min_cell).withColumns({"__t": F.sum("n").over(over), "__k": F.count("*").over(over)}).where((F.col("__t") >= min_group) & (F.col("__k") >= min_levels)).drop("__t", "__k"))
         if (now := cells.count()) == last:
-            break
+            return df.join(cells.select(group, cond), [group, cond], "left_semi")
         last = now
-    return df.join(cells.select(group, cond), [group, cond], "left_semi")
 
 
 def daily(df: DataFrame, keys: Sequence[str], date: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, date).agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values])
 
 
-def decayed_history(days: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], half_life: float, years: int | None = 3) -> DataFrame:
-    """For each key and date the values of strictly earlier dates (within some years), each halved every half_life days.
-    Null keys equal each other; keys without history have null sums."""
-    k = [f"__k{i}" for i in range(len(keys))]
-    now = days.select(*keys, date, *[null_key(c).alias(x) for c, x in zip(keys, k, strict=True)])
-    then = days.select(*[null_key(c).alias(x) for c, x in zip(keys, k, strict=True)], F.col(date).alias("__then"), *[F.col(v).alias(f"__{v}") for v in values])
-    near = (F.col("__then") < F.col(date)) & ((F.col("__then") >= F.add_months(F.col(date), -12 * years)) if years else F.lit(True))
-    weight = F.pow(F.lit(0.5), F.datediff(F.col(date), F.col("__then")) / float(half_life))
-    past = now.join(then, k).where(near).groupBy(*k, date).agg(*[F.sum(F.col(f"__{v}") * weight).alias(f"{v}_decayed") for v in values])
-    return now.join(past, [*k, date], "left").drop(*k)
+#: Half-lives from which on a weight (below 1e-150) counts as nothing.
+FORGOTTEN = 500
+
+
+def decayed_history(days: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], half_life: float, years: int = 3) -> DataFrame:
+    """For each key and date the values of strictly earlier dates within some years, each halved every half_life days.
+    Null keys equal each other; keys without history have null sums.
+
+    A window whose frame goes back by the calendar, so no row meets all others of its key. Keys are cut into spans no
+    shorter than the frame, and a row also stands in the span after its own for the rows there to look back at: a key of any
+    length is dealt out, and weights, which grow from its first day in two spans, stay finite."""
+    reach = min(366 * years + 1, FORGOTTEN * half_life)
+    whole = reach > 366 * years
+    day = F.unix_date(date)
+    span = F.floor(day / reach)
+    rows = days.withColumn("__span", F.explode(F.array(span, span + 1)))
+    rows = rows.withColumns({"__now": F.col("__span") == span, "__a": (day - F.min(day).over(Window.partitionBy(*keys, "__span"))) / float(half_life)})
+    rows = rows.withColumns({f"__{v}": F.col(v) * F.pow(F.lit(2.0), F.col("__a")) for v in values})
+    over = Window.partitionBy(*keys, "__span").orderBy(day)
+    shortest, longest = (365 * years + max(0, years // 4 - 1), 365 * years + years // 4 + 1) if whole else (int(reach), int(reach))
+    back = F.datediff(F.col(date), F.add_months(F.col(date), -12 * years))
+
+    def past(v: str) -> Column:
+        """Over the days that every such span of years has, and one by one over those that only some have."""
+        sums = [F.sum(f"__{v}").over(over.rangeBetween(-shortest, -1)), *[F.when(back >= k, F.sum(f"__{v}").over(over.rangeBetween(-k, -k))) for k in range(shortest + 1, longest + 1)]]
+        return F.when(F.coalesce(*sums).isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in sums[1:]), F.coalesce(sums[0], F.lit(0.0))))
+
+    sums = rows.withColumns({f"{v}_decayed": past(v) * F.pow(F.lit(0.5), F.col("__a")) for v in values})
+    return sums.where("__now").select(*keys, date, *[f"{v}_decayed" for v in values])
 
 
 def decayed_window(days: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], half_life: float) -> DataFrame:
-    """The unbounded decayed history in one window pass: growing weights relative to the key's first day, scaled back."""
-    by = Window.partitionBy(*keys)
-    past = by.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    age = F.datediff(F.col(date), F.min(date).over(by)) / float(half_life)
-    return days.withColumn("__a", age).withColumns({f"{v}_decayed": F.sum(F.col(v) * F.pow(F.lit(2.0), F.col("__a"))).over(past) * F.pow(F.lit(0.5), F.col("__a")) for v in values}).drop("__a")
+    """The unbounded decayed history in window passes: growing weights relative to the start of a span of FORGOTTEN
+    half-lives, scaled back; what the span before leaves at its end is carried over, older ones count as nothing."""
+    reach = FORGOTTEN * float(half_life)
+    day = F.unix_date(date)
+    rows = days.withColumn("__span", F.floor(day / reach)).withColumn("__a", (day - F.col("__span") * reach) / float(half_life))
+    past = Window.partitionBy(*keys, "__span").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    left = rows.groupBy(*keys, (F.col("__span") + 1).alias("__span")).agg(*[F.sum(F.col(v) * F.pow(F.lit(2.0), F.col("__a") - FORGOTTEN)).alias(f"__{v}") for v in values])
+    on = [rows[k].eqNullSafe(left[k]) for k in [*keys, "__span"]]
+    out = rows.join(left, on, "left").select(rows["*"], *[left[f"__{v}"] for v in values])
+    own = {v: F.sum(F.col(v) * F.pow(F.lit(2.0), F.col("__a"))).over(past) for v in values}
+    both = {f"{v}_decayed": F.when(own[v].isNotNull() | F.col(f"__{v}").isNotNull(), (F.coalesce(own[v], F.lit(0.0)) + F.coalesce(f"__{v}", F.lit(0.0))) * F.pow(F.lit(0.5), F.col("__a"))) for v in values}
+    return out.withColumns(both).drop("__a", "__span", *[f"__{v}" for v in values])
 
 
 def band_history(rows: DataFrame, keys: Sequence[str], period: str, band: str, width: float, years: int, values: Sequence[str]) -> DataFrame:
@@ -74,18 +99,27 @@ def band_history(rows: DataFrame, keys: Sequence[str], period: str, band: str, w
 
 
 def best_in_window(entries: DataFrame, events: DataFrame, key: str, day: str, event_day: str, low: int, high: int, order: Sequence[Column], values: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Entries, all kept, with the best event that lies low to high days before them."""
+    """Entries, all kept, with the best event that lies low to high days before them. They meet by key and by cells of
+    time as wide as the window, of which an entry looks into two."""
+    width = high - low + 1
+    cell = lambda d: F.floor(d / width)
+    now = F.unix_date(day)
+    looking = entries.select(*row, key, day, F.explode(F.array_distinct(F.array(cell(now - high), cell(now - low)))).alias("__cell"))
     near = F.datediff(F.col(day), F.col(event_day)).between(low, high)
-    found = entries.select(*row, key, day).join(events.select(key, event_day, *values), key).where(near)
+    found = looking.join(events.select(key, event_day, *values, cell(F.unix_date(event_day)).alias("__cell")), [key, "__cell"]).where(near)
     best = found.withColumn("__r", F.row_number().over(Window.partitionBy(*row).orderBy(*order))).where("__r = 1")
     return entries.join(best.select(*row, event_day, *values), list(row), "left")
 
 
-def last_before(entries: DataFrame, history: DataFrame, key: str, day: str, then: str, tie: str, values: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Entries with the last history row of a strictly earlier date."""
-    h = history.select(F.col(key).alias("__k"), F.col(then).alias("__then"), F.col(tie).alias("__tie"), F.struct(*values).alias("__v"))
-    found = entries.join(h, F.col(key) == F.col("__k")).where(F.col("__then") < F.col(day)).groupBy(*row).agg(F.max_by("__v", F.struct("__then", "__tie")).alias("__v"))
-    return entries.join(found, list(row), "left").select(*entries.columns, *[F.col("__v")[v].alias(f"last_{v}") for v in values])
+def last_before(entries: DataFrame, history: DataFrame, key: str, day: str, then: str, tie: str, values: Sequence[str]) -> DataFrame:
+    """Entries with the last history row of a strictly earlier date. History shrinks to the last row of each key and date,
+    and one window over both finds the last before each entry: nothing is paired. A null key has no history."""
+    last = history.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(then).alias("__d")).agg(F.max_by(F.struct(*values), tie).alias("__v"))
+    own = entries.select(F.struct("*").alias("__e"), F.col(key).alias("__k"), F.col(day).alias("__d"), F.lit(None).cast(last.schema["__v"].dataType).alias("__v"))
+    both = own.unionByName(last.withColumn("__e", F.lit(None).cast(own.schema["__e"].dataType)))
+    before = Window.partitionBy("__k").orderBy(F.unix_date("__d")).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(before)).where("__e is not null")
+    return found.select("__e.*", *[F.col("__v")[v].alias(f"last_{v}") for v in values])
 
 
 def unpivot_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:

@@ -117,7 +117,7 @@ def asof_last_before(spark, sf):
     """JN11."""
     e = entries(spark, sf).withColumn("tie", F.col("contest_id") * 100 + F.col("entry_no"))
     a = e.select("contest_id", "entry_no", "runner", "held_date")
-    return J.last_before(a, e, "runner", "held_date", "held_date", "tie", ["contest_id", "price"], ["contest_id", "entry_no"])
+    return J.last_before(a, e, "runner", "held_date", "held_date", "tie", ["contest_id", "price"])
 
 
 LAGS = ", ".join(f"lag(price, {i}) over w price_lag{i}" for i in range(1, 6))

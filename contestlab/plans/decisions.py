@@ -281,12 +281,12 @@ def block_bootstrap(spark, sf):
 @query()
 def cell_effects(spark, sf):
     """Shrunk entity-by-condition effects; tests hold them against per-cell Newton in numpy."""
-    return r6(X.cell_effects(bets(spark, sf), "runner", "surface", "prob", "is_place", bins=None).drop("a"))
+    return r6(X.cell_effects(bets(spark, sf), "runner", "surface", "prob", "is_place"))
 
 
 @query()
 def screened_pair(spark, sf):
-    return r6(X.screen_pairs(X.cell_effects(bets(spark, sf), "runner", "surface", "prob", "is_place", bins=None), 5, 0.5, 0.01))
+    return r6(X.screen_pairs(X.cell_effects(bets(spark, sf), "runner", "surface", "prob", "is_place"), 5, 0.5, 0.01))
 
 
 @query()
@@ -377,7 +377,7 @@ def history_arrays(spark, sf):
 @query()
 def contest_batches(spark, sf):
     """E6."""
-    return E.contest_batches(entries(spark, sf), "contest_id", "entry_no", ["price", "discount"], 18)
+    return E.contest_batches(entries(spark, sf), "contest_id", "entry_no", ["price", "discount"])
 
 
 @query()

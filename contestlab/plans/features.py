@@ -13,7 +13,7 @@ from contestlab.operators import windows as W
 from contestlab.plans.base import ENTRY, entries, query, r6, table
 from contestlab.plans.decisions import MAX_AGE, TARGETS, selected
 from contestlab.operators import quotes as Q
-from contestlab.streaming.quotes import latest_quotes
+from contestlab.streaming.quotes import latest_quotes, prestart_quotes
 
 PRIORITY = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3, "4-NOT SPECIFIED": 2, "5-LOW": 1}
 
@@ -85,7 +85,7 @@ def run_record_pointer(spark, sf):
     """W17, W18, JN11: numbered runs without nonstarters, and how far back an entry may look."""
     e = entries(spark, sf)
     runs = W.number_runs(e.where("not (entry_no = 2 and contest_id % 4 = 0)").select("contest_id", "entry_no", "runner", "held_date"), "runner", ["held_date", "contest_id", "entry_no"])
-    out = J.last_before(e.select("contest_id", "entry_no", "runner", "held_date", "field_size"), runs, "runner", "held_date", "held_date", "run_no", ["run_no"], ["contest_id", "entry_no"])
+    out = J.last_before(e.select("contest_id", "entry_no", "runner", "held_date", "field_size"), runs, "runner", "held_date", "held_date", "run_no", ["run_no"])
     return out.select("contest_id", "entry_no", F.coalesce("last_run_no", F.lit(0)).cast("long").alias("end_no"), "field_size")
 
 
@@ -128,10 +128,10 @@ def inference_contract(spark, sf):
     return s.select("user_id", "day", F.when(F.col("status") == "available", F.col("win_odds")).alias("win_price"), F.bool_or(F.col("status") == "available").over(Window.partitionBy("day")).alias("any_price"))
 
 
-@query("""select l_orderkey, l_partkey, p_brand, p_type, s_name, n_name, r_name from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA'""")
+@query("""select l_orderkey, l_partkey, p_brand, p_type, s_name, n_name, r_name from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def wide_view(spark, sf):
     """D28, JN1, JN2, JN6: a readable row; nation and region have 25 and 5 rows by definition, so they are broadcast."""
-    place = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region").where("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     s = table(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
     li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "part", "p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_partkey", "p_brand", "p_type", "s_name", "n_name", "r_name")
@@ -219,3 +219,12 @@ def dq_bundle(spark, sf):
 def latest_quotes_batch(spark, sf):
     """ST1's batch twin."""
     return latest_quotes(table(spark, sf, "events"), ["user_id"], "ts", "event_id", ["value"])
+
+
+@query("""with q as (select user_id, ts, event_id, value from events), c as (select user_id, max(ts) - interval 1 day cutoff from q group by 1), r as (select q.*, cutoff, row_number() over (partition by user_id, cutoff order by ts desc, event_id desc) r from q join c using (user_id) where ts <= cutoff)
+select user_id, cutoff, ts, event_id, value from r where r = 1""")
+def prestart_batch(spark, sf):
+    """ST2's batch twin: each user's newest event up to a day before their last."""
+    q = table(spark, sf, "events", "user_id", "ts", "event_id", "value")
+    c = q.groupBy("user_id").agg((F.max("ts") - F.expr("interval 1 day")).alias("cutoff"))
+    return prestart_quotes(q, c, ["user_id"], "ts", "cutoff", "event_id", ["value"])

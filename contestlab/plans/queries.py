@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from contestlab.plans import core, decisions, features  # noqa: F401  (they register their queries)
+from contestlab.plans import core, decisions, features, marts  # noqa: F401  (they register their queries)
 from contestlab.plans.base import ORACLES, QUERIES
 
 

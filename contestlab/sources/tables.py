@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read again: what follows does not work it out anew, whichever executors are
+    lost. The folder is spark.checkpoint.dir or the one set on the context; only a local session gets one of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            place = tempfile.mkdtemp(prefix="contestlab-")
+        sc.setCheckpointDir(place)
+    return df.checkpoint()
+
+
 def where_expr(conditions: Mapping[str, object] | None) -> Column:
     """Conjunction of column__operator: eq (also without operator), neq, gt, gte, lt, lte, in, like, isnull. An empty
     list for in is false."""

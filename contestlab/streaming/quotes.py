@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from contestlab.sources.tables import upsert
+from contestlab.sources.tables import settled, upsert
 
 
 def latest_quotes(quotes: DataFrame, keys: Sequence[str], published: str, tie: str, values: Sequence[str]) -> DataFrame:
@@ -17,26 +20,62 @@ def latest_quotes(quotes: DataFrame, keys: Sequence[str], published: str, tie: s
     return newest.select(*keys, "__q.*")
 
 
-def latest_quotes_stream(stream: DataFrame, keys: Sequence[str], published: str, tie: str, values: Sequence[str], target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps target, a folder of numbered Parquet versions, up to date with the newest quote per key. Each batch writes
-    version n from version n - 1, so a batch that is run again after a failure replaces its own output."""
-    spark = stream.sparkSession
+def latest_quotes_stream(stream: DataFrame, keys: Sequence[str], published: str, tie: str, values: Sequence[str], target: str, checkpoint: str, buckets: int = 32) -> StreamingQuery:
+    """Keeps target, a Parquet folder with a partition for each hash bucket of the keys, up to date with the newest quote
+    per key. A batch rewrites the buckets that it touches and no others; as rows replace rows by key, a batch that is run
+    again after a failure comes to the same."""
+    spark, fields = stream.sparkSession, [*keys, published, tie, *[v for v in values if v not in (published, tie)]]
 
-    def put(batch: DataFrame, n: int) -> None:
-        if n:
-            old = spark.read.parquet(f"{target}/version={n - 1}")
-            batch = upsert(old, batch, keys)
-        batch.write.mode("overwrite").parquet(f"{target}/version={n}")
+    def put(batch: DataFrame, _: int) -> None:
+        batch = settled(batch.select(*fields, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")))
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
+        try:
+            old = spark.read.schema(batch.schema).parquet(target).where(F.col("bucket").isin(touched))
+        except AnalysisException as e:  # nothing was written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = batch.limit(0)
+        new = settled(upsert(old, batch, keys).repartition("bucket"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return latest_quotes(stream, keys, published, tie, values).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def prestart_quotes(quotes: DataFrame, contests: DataFrame, keys: Sequence[str], published: str, cutoff: str, tie: str, values: Sequence[str]) -> DataFrame:
+    """The newest quote published by each contest's cutoff; contests without one have no row. The stream's batch twin."""
+    near = quotes.join(contests, list(keys)).where(F.col(published) <= F.col(cutoff))
+    newest = near.groupBy(*keys, cutoff).agg(F.max_by(F.struct(published, tie, *values), F.struct(published, tie)).alias("__q"))
+    return newest.select(*keys, cutoff, "__q.*")
+
+
 def prestart_stream(stream: DataFrame, contests: DataFrame, keys: Sequence[str], published: str, cutoff: str, tie: str, values: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """The newest quote by each contest's cutoff, final once the watermark has passed it; quotes later than the watermark
-    are dropped. A contest's cutoff falls in an hour window, by which its state is closed."""
+    """The newest quote by each contest's cutoff, once for each contest: when the watermark (the newest publication seen,
+    less `late`) has passed the cutoff, the state closes and the row is final. Quotes older than the watermark are dropped.
+
+    The state is the best quote so far, as JSON, and what orders it; tie must be an integer (null: least)."""
+    order = [F.unix_micros(published).alias("__at"), F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))).alias("__tie")]
+    whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     near = stream.withWatermark(published, late).join(contests, list(keys)).where(F.col(published) <= F.col(cutoff))
-    newest = near.groupBy(*keys, cutoff, F.window(published, "1 day")).agg(F.max_by(F.struct(published, tie, *values), F.struct(published, tie)).alias("__q"))
-    return newest.select(*keys, cutoff, F.col("window.start").alias("window_start"), "__q.*")
+    row = F.struct(*keys, cutoff, published, tie, *values)
+    kind = near.select(row.alias("r")).schema["r"].dataType
+    packed = near.select(published, F.to_json(F.struct(*keys, cutoff)).alias("__key"), F.unix_millis(cutoff).alias("__end"), *order, F.to_json(row, whole).alias("__row"))
+
+    def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            best = state.get
+            state.remove()
+            yield pd.DataFrame({"__row": [best[2]]})
+            return
+        best = state.get if state.exists else None
+        for b in batches:
+            at = b.sort_values(["__at", "__tie"]).iloc[-1]
+            one = (int(at["__at"]), int(at["__tie"]), at["__row"])
+            best = one if best is None or one[:2] > tuple(best[:2]) else best
+        state.update(best)
+        state.setTimeoutTimestamp(max(key[1], state.getCurrentWatermarkMs() + 1))
+
+    out = packed.groupBy("__key", "__end").applyInPandasWithState(newest, "__row string", "at long, tie long, row string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.from_json("__row", kind, whole).alias("r")).select("r.*")
 
 
 def run_to_table(out: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -107,11 +107,53 @@ def history(spark, n=300, seed=1):
     return spark.createDataFrame([(i, rng.randrange(12), day + dt.timedelta(days=rng.randrange(900)), rng.choice("AB"), float(rng.randrange(1, 60)), rng.randrange(2)) for i in range(n)], "id int, who int, day date, cond string, x double, y int")
 
 
-def test_decayed_window_equals_self_join(spark):
-    d = J.daily(history(spark), ["who"], "day", ["y"])
-    a = {(r.who, r.day): r.y_decayed for r in J.decayed_history(d, ["who"], "day", ["y"], 90, None).collect()}
-    for r in J.decayed_window(d, ["who"], "day", ["y"], 90).collect():
-        assert r.y_decayed == pytest.approx(a[r.who, r.day]) if a[r.who, r.day] is not None else r.y_decayed is None
+@pytest.mark.parametrize(("half", "years"), [(90, 1), (90, 3), (0.7, 3), (0.5, 1)])
+def test_decayed_history_against_all_pairs(spark, half, years):
+    """Also with half-lives so short that a key's history is thousands of them long."""
+    d = J.daily(history(spark), ["who"], "day", ["y", "x"])
+    rows = d.collect()
+    back = {r.day: r.day.replace(year=r.day.year - years) if (r.day.month, r.day.day) != (2, 29) else dt.date(r.day.year - years, 2, 28) for r in rows}
+    want = lambda r, v, low: sum(p[v] * 0.5 ** ((r.day - p.day).days / half) for p in rows if p.who == r.who and low <= p.day < r.day)
+    for out, low in ((J.decayed_history(d, ["who"], "day", ["y", "x"], half, years), back), (J.decayed_window(d, ["who"], "day", ["y", "x"], half), {})):
+        got = {(r.who, r.day): r for r in out.collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            for v in ("y", "x"):
+                w, g = want(r, v, low.get(r.day, dt.date.min)), got[r.who, r.day][f"{v}_decayed"]
+                assert (g or 0.0) == pytest.approx(w, rel=1e-9, abs=1e-100) and not math.isnan(g or 0.0)
+
+
+def test_look_back_joins_against_all_pairs(spark):
+    rows = history(spark, 200).collect()
+    h = history(spark, 200)
+    best = J.best_in_window(h.select("id", "who", "day"), h.select("who", F.col("day").alias("then"), "x", F.col("id").alias("other")), "who", "day", "then", 3, 40, [F.desc("x"), F.asc("other")], ["x", "other"], ["id"])
+    got = {r.id: r.other for r in best.collect()}
+    last = {r.id: r.last_id for r in J.last_before(h.select("id", "who", "day"), h, "who", "day", "day", "id", ["id"]).collect()}
+    assert len(got) == len(last) == 200
+    for r in rows:
+        near = [p for p in rows if p.who == r.who and 3 <= (r.day - p.day).days <= 40]
+        assert got[r.id] == (min(near, key=lambda p: (-p.x, p.id)).id if near else None)
+        before = [p for p in rows if p.who == r.who and p.day < r.day]
+        assert last[r.id] == (max(before, key=lambda p: (p.day, p.id)).id if before else None)
+    runs = W.number_runs(h, "who", ["day", "id"]).withColumn("end", F.col("run_no") - 1)
+    own = {(r.who, r.run_no): r.x for r in runs.collect()}
+    for r in E.history_arrays(runs.select("id", "who", "end"), runs, ["id"], "who", "run_no", "end", ["x"], 4).collect():
+        past = [own[r.who, k] for k in range(max(1, r.end - 3), r.end + 1)]
+        assert r.x_history == past + [0.0] * (4 - len(past)) and r.history_mask == [True] * len(past) + [False] * (4 - len(past))
+
+
+def test_batches_hold_every_entrant(spark):
+    rows = [(c, e, float(10 * c + e)) for c, n in ((1, 25), (2, 3)) for e in range(n)]
+    got = {r.c: r for r in E.contest_batches(spark.createDataFrame(rows, "c int, e int, x double"), "c", "e", ["x"]).collect()}
+    assert got[1].x == [10.0 + e for e in range(25)] and got[1].mask == [True] * 25
+    assert got[2].x == [20.0, 21.0, 22.0] + [0.0] * 22 and got[2].mask == [True] * 3 + [False] * 22
+
+
+def test_sparse_filter_is_stable(spark):
+    small = spark.createDataFrame([("a", "x", 1)] * 5 + [("a", "y", 1)] + [("b", "x", 1)] * 5 + [("b", "y", 1)] * 4, "g string, c string, x int")
+    kept = J.sparse_filter(small, "g", "c", 6, 2, 2)
+    assert sorted({(r.g, r.c) for r in kept.collect()}) == [("b", "x"), ("b", "y")]
+    assert J.sparse_filter(kept, "g", "c", 6, 2, 2).count() == kept.count() == 9
 
 
 def test_null_keys_have_history(spark):
@@ -129,7 +171,7 @@ def test_no_leakage(spark):
         r = W.rolling_rate(df, ["who"], "day", "y", 35, "month", 0.3, 20).where(F.col("period") <= F.trunc(F.lit(cut), "month"))
         d = J.decayed_history(J.daily(df, ["who"], "day", ["y"]), ["who"], "day", ["y"], 90).where(F.col("day") <= cut)
         e = W.expanding_stats(df, "who", ["day", "id"], "x").where(F.col("day") < cut).select("id", "x_past_mean")
-        b = J.last_before(df.select("id", "who", "day"), df, "who", "day", "day", "id", ["x"], ["id"]).where(F.col("day") <= cut)
+        b = J.last_before(df.select("id", "who", "day"), df, "who", "day", "day", "id", ["x"]).where(F.col("day") <= cut)
         return [sorted(str([round(v, 9) if isinstance(v, float) else v for v in x]) for x in q.collect()) for q in (r, d, e, b)]
 
     assert features(h) == features(changed)
@@ -139,7 +181,7 @@ def test_run_numbers_and_pointer(spark):
     rows = [(1, 10, dt.date(2026, 5, 1)), (1, 20, dt.date(2026, 6, 12)), (1, 30, dt.date(2026, 6, 13)), (1, 40, dt.date(2026, 6, 20))]
     runs = W.number_runs(spark.createDataFrame(rows, "who int, race int, day date"), "who", ["day", "race"])
     entries = spark.createDataFrame([(1, 99, dt.date(2026, 6, 13)), (2, 99, dt.date(2026, 6, 13))], "who int, e int, held date")
-    got = {r.who: (r.last_run_no, r.last_race) for r in J.last_before(entries, runs, "who", "held", "day", "run_no", ["run_no", "race"], ["who", "e"]).collect()}
+    got = {r.who: (r.last_run_no, r.last_race) for r in J.last_before(entries, runs, "who", "held", "day", "run_no", ["run_no", "race"]).collect()}
     assert got == {1: (2, 20), 2: (None, None)}
     assert K.broken_sequence(runs, "who", "run_no", "day").count() == 0 and K.broken_sequence(runs.where("run_no <> 2"), "who", "run_no", "day").count() == 1
     pointed = entries.withColumn("end_no", F.when(F.col("who") == 1, 2).otherwise(0))
@@ -164,7 +206,7 @@ def test_cell_effects_against_newton(spark):
     out = X.cell_effects(spark.createDataFrame(rows, "e int, c int, p double, y int"), "e", "c", "p", "y", [0.4])
     for r in out.collect():
         ys = [y for e, c, _, y in rows if (e, c) == (r.e, r.c)]
-        b, z = 0.0, round(math.log(0.25) * 50 / 16) * 16 / 50
+        b, z = 0.0, math.log(0.25)
         for _ in range(30):
             q = 1 / (1 + math.exp(-(z + b)))
             b += (sum(ys) - len(ys) * q - b / 0.16) / (len(ys) * q * (1 - q) + 1 / 0.16)
@@ -244,17 +286,27 @@ def test_streams_equal_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "k int, at timestamp, id int, v double")
     df.repartitionByRange(4, "at").write.parquet(str(tmp_path / "in"))
     feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    Z.latest_quotes_stream(feed, ["k"], "at", "id", ["v"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    assert {tuple(r) for r in spark.read.parquet(str(last)).collect()} == {tuple(r) for r in Z.latest_quotes(df, ["k"], "at", "id", ["v"]).collect()}
+    Z.latest_quotes_stream(feed, ["k"], "at", "id", ["v"], str(tmp_path / "out"), str(tmp_path / "cp"), 3).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out")).select("k", "at", "id", "v")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, Z.latest_quotes(df, ["k"], "at", "id", ["v"]).collect()))
 
-    contests = spark.createDataFrame([(k, dt.datetime(2024, 1, 1, 2)) for k in range(5)], "k int, cutoff timestamp")
+
+def test_prestart_stream_equals_its_twin(spark, tmp_path):
+    """Quotes over several days, ties, a contest without quotes in time, and one whose cutoff the watermark never passes."""
+    from contestlab.streaming import quotes as Z
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(6), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * (i // 2), microseconds=i // 2), i, float(i) if i % 7 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, at timestamp, id int, v double")
+    df.repartitionByRange(5, "at").write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    contests = spark.createDataFrame([(0, day(1, 2)), (1, day(3, 5)), (1, day(2, 5)), (2, day(4)), (3, dt.datetime(2023, 12, 31)), (4, day(9)), (5, day(4, 1))], "k int, cutoff timestamp")
     got = []
-    s = Z.prestart_stream(feed, contests, ["k"], "at", "cutoff", "id", ["v"], "0 seconds")
-    Z.run_to_table(s, lambda b, n: got.extend(b.collect()), str(tmp_path / "cp2"), "update").awaitTermination()
-    final = {r.k: r.v for r in got}
-    want = {r.k: r.v for r in Z.latest_quotes(df.join(contests, "k").where("at <= cutoff"), ["k"], "at", "id", ["v"]).collect()}
-    assert final == want
+    s = Z.prestart_stream(feed, contests, ["k"], "at", "cutoff", "id", ["v"], "1 hour")
+    Z.run_to_table(s, lambda b, n: got.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
+    want = Z.prestart_quotes(df, contests, ["k"], "at", "cutoff", "id", ["v"]).where(F.col("cutoff") < F.lit(max(r[1] for r in rows) - dt.timedelta(hours=1)))
+    assert sorted(got) == sorted(map(tuple, want.collect())) and len(got) == 5 and s.columns == want.columns
 
 
 def test_registered_queries_have_twins():
