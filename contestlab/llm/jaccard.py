@@ -21,13 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestlab.llm.common import LOWER_BYTES, input_partitions, materialise, read
-from contestlab.llm.pitman_yor import planes, unplanes
+from contestlab.llm.common import LOWER_BYTES, Listing, by_listing, free_name, input_partitions, materialise, planes, read, salted_join, tidy, unplanes
 
-#: Bits of a token that are sent about: two of the sets' tokens agree by chance once in 2 ** BITS pairs.
-BITS = 44
 #: Tokens that a task gathers before it deals them out.
-CHUNK = 1_500_000
+CHUNK = 1_200_000
 #: Prefix tokens before a place that are kept with it, to tell that a pair was made at one of them.
 EARLIER = 4
 #: Sets and tokens of one block of a component, and pairs of sets that hold a token from which on they are counted by
@@ -76,6 +73,11 @@ class Hasher:
         return np.unique(h)
 
 
+def starts_of(buckets: int) -> np.ndarray:
+    """The first token of each bucket: tokens are dealt out by their size, evenly, as they are hashes."""
+    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+
+
 PARTS = "part int, kind int, ids binary, sids binary, sizes binary, counts binary, tokens binary, sets binary"
 NAMES = [f.split()[0] for f in PARTS.split(", ")]
 
@@ -95,14 +97,12 @@ def _dealt(buckets: int, width: int):
             rows = [_row(sids[0] % buckets, 0, ids=np.array(ids, np.int64), sids=np.array(sids, np.uint64), sizes=np.array(sizes, np.uint32))]
             if sets:
                 own, lengths = np.array(list(sets), np.uint64), np.array([len(x) for x in sets.values()])
-                tokens = np.concatenate(list(sets.values())) & np.uint64((1 << BITS) - 1)
-                bucket, token = tokens % np.uint64(buckets), tokens // np.uint64(buckets)
-                owner = np.repeat(np.arange(len(own), dtype=np.uint32), lengths)
-                order = np.argsort(bucket << np.uint64(BITS) | token, kind="stable")
-                token, owner = token[order], owner[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+                token = np.concatenate(list(sets.values()))
+                order = np.argsort(token, kind="stable")
+                token, owner = token[order], np.repeat(np.arange(len(own), dtype=np.uint32), lengths)[order]
+                cuts = np.searchsorted(token, starts_of(buckets))
                 for k in range(buckets):
-                    a, z = cuts[k], cuts[k + 1]
+                    a, z = cuts[k], cuts[k + 1] if k + 1 < buckets else len(token)
                     if z > a:
                         here = np.unique(owner[a:z])
                         at = np.searchsorted(here, owner[a:z]).astype(np.uint32)
@@ -158,7 +158,7 @@ def _shared(groups: int, buckets: int):
             runs = np.flatnonzero(np.r_[True, np.diff(token) != 0][: len(token)])
             df = np.repeat(np.diff(np.r_[runs, len(token)]), np.diff(np.r_[runs, len(token)]))
             keep = df > 1
-            token, sid, size, df = token[keep] * np.uint64(buckets) + np.uint64(bucket), sid[keep], size[keep], df[keep].astype(np.uint32)
+            token, sid, size, df = token[keep], sid[keep], size[keep], df[keep].astype(np.uint32)
             order = np.lexsort((token, sid, sid % np.uint64(groups)))
             token, sid, size, df = token[order], sid[order], size[order], df[order]
             first = np.flatnonzero(np.r_[True, np.diff(sid) != 0][: len(sid)])
@@ -227,12 +227,17 @@ def _possible(na: Column, sa: Column, nb: Column, sb: Column, num: int, den: int
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of the pairs that share prefix tokens under all three orders and reach the threshold."""
-    x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("second").alias("pa"), F.col("third").alias("qa"))
-    y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("second").alias("pb"), F.col("third").alias("qb"))
-    both = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("pa", "pb") & F.arrays_overlap("qa", "qb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", "na", "nb", shared.cast("long").alias("shared")).where((F.col("shared") * den) >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
+    """a, b of the pairs that share prefix tokens under all three orders and reach the threshold. Prefixes are looked at
+    first; only the pairs that pass meet their sets' tokens."""
+    for order in ("second", "third"):
+        x = sets.select(F.col("sid").alias("a"), F.col(order).alias("pa"))
+        y = sets.select(F.col("sid").alias("b"), F.col(order).alias("pb"))
+        pairs = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
+    x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb")).cast("long")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", shared.alias("shared"))
+    return both.where((F.col("shared") * den) >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,13 +324,23 @@ def link_counts(sets: DataFrame, labels: DataFrame, members: DataFrame, num: int
     docs = members.where("n > 0").groupBy("sid").agg(F.count("*").alias("docs"))
     own = sets.select("sid", "s").join(labels, F.col("sid") == F.col("node")).select("sid", "s", "label")
     parts = own.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("s") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    dealt = materialise(own.join(parts, "label").join(docs, "sid").select("sid", "label", "docs", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block")), "jaccard-dealt")
+    dealt = materialise(salted_join(own, parts, "label", "sid").join(docs, "sid").select("sid", "label", "docs", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block")), "jaccard-dealt")
     rows = sets.select("sid", "n", "tokens").join(dealt, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sid", "n", "tokens", "docs", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInPandas(_linked(num, den), "sid long, links long")
+    found = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInPandas(tidy(_linked(num, den)), "sid long, links long")
     return materialise(found.groupBy("sid").agg(F.sum("links").alias("links")), "jaccard-links")
 
 
+#: Rows of a key (sets on a token's list, documents of a set) from which on they are dealt over several tasks.
+MANY = 256
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str, hot: Listing) -> DataFrame:
+    """The inner join of rows with what is known of each key; the rows of keys that `hot` lists are dealt out by spread."""
+    (many, few), (of_many, of_few) = hot.split(rows, key), hot.split(per_key, key)
+    return few.join(of_few, key).unionByName(salted_join(many, of_many, key, spread))
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100, buckets: int | None = None, links: bool = False) -> DataFrame:
     """key, n_shingles and component_id (the smallest key that links reach, the document itself included) of every row; with
     `links` also n_links, the number of other documents (rows) that it links with.
@@ -336,9 +351,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     result. Other columns are ignored. Sets are told apart by 64-bit hashes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("id"), F.col(text).alias("text"))
     buckets = buckets or 2 * max(8, input_partitions(rows))
-    dealt = rows.mapInPandas(_dealt(buckets, width), PARTS).repartition(buckets, "part")
-    by_set = dealt.mapInPandas(_shared(buckets, buckets), PARTS).repartition(buckets, "part")
-    found = materialise(by_set.mapInPandas(_survivors(num, den), SETS), "jaccard-sets")
+    dealt = rows.mapInPandas(tidy(_dealt(buckets, width)), PARTS).repartitionById(buckets, "part")
+    by_set = dealt.mapInPandas(tidy(_shared(buckets, buckets)), PARTS).repartitionById(buckets, "part")
+    found = materialise(by_set.mapInPandas(tidy(_survivors(num, den)), SETS), "jaccard-sets")
     members, sets = found.where("kind = 0").select("id", "sid", "n"), found.where("kind = 1")
     small = sets.select("sid", "n", "s", "first")
     # with each place in a prefix: the set's tokens from there on in the order, and the few prefix tokens before it
@@ -347,14 +362,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     lists = materialise(placed.select("sid", "n", "s", "token", (F.col("s") - F.col("at")).alias("rest"), before.alias("before")), "jaccard-lists")
 
     core = lists.groupBy("token").agg(F.min(F.struct((1 - F.col("s") / F.col("n")).alias("alone"), "sid", "n", "s")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    stars = lists.join(core, "token").where((F.col("c.sid") != F.col("sid")) & _possible(F.col("c.n"), F.col("c.s"), F.col("n"), F.col("s"), num, den))
+    core = materialise(core, "jaccard-core")
+    long_lists = Listing(core.where(F.col("m") > MANY), "token")
+    stars = spread_join(lists, core, "token", "sid", long_lists).where((F.col("c.sid") != F.col("sid")) & _possible(F.col("c.n"), F.col("c.s"), F.col("n"), F.col("s"), num, den))
     stars = stars.select(F.least("c.sid", "sid").alias("a"), F.greatest("c.sid", "sid").alias("b")).distinct()
     edges = materialise(verified(stars, sets, num, den), "jaccard-edges")
     labels = components(edges)
 
     labelled = lists.join(labels, lists["sid"] == labels["node"], "left").select("token", "sid", "n", "s", "rest", "before", F.coalesce("label", "sid").alias("label"))
     of_lists = labelled.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("token", "largest")
-    apart = materialise(labelled.join(of_lists, "token"), "jaccard-apart")
+    apart = materialise(spread_join(labelled, of_lists, "token", "sid", long_lists), "jaccard-apart")
     out = apart.where("label <> largest").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xs"), F.col("before").alias("xb"), F.col("label").alias("xl"))
     # a pair is made at the first token that it shares: what both hold from there on must allow the threshold, and places
     # where they share a token just before are not the first
@@ -364,35 +381,53 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
-    of_sets = members.where("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
-    classes = of_sets.join(labels, of_sets["sid"] == labels["node"], "left").select("sid", "low", F.coalesce("label", "sid").alias("label"))
-    lowest = classes.groupBy("label").agg(F.min("low").alias("component"))
-    classes = materialise(classes.join(lowest, "label").select("sid", "component"), "jaccard-classes")
-    out = members.join(classes, "sid", "left").select("sid", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    of_sets = members.where("n > 0").groupBy("sid").agg(F.min("id").alias("low"), F.count("*").alias("docs"))
+    classes = materialise(of_sets.join(labels, of_sets["sid"] == labels["node"], "left").select("sid", "low", "docs", "label"), "jaccard-low")
+    linked = classes.where("label is not null")
+    lowest = linked.groupBy("label").agg(F.min("low").alias("component"))
+    alone = classes.where("label is null").select("sid", "docs", F.col("low").alias("component"))
+    classes = salted_join(linked, lowest, "label", "sid").select("sid", "docs", "component").unionByName(alone)
+    hot = Listing(of_sets.where(F.col("docs") > MANY), "sid")
+    if links:
+        found = link_counts(sets, labels, members, num, den)
+        classes = classes.join(found, "sid", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0))).drop("links")
+    classes = materialise(classes.drop("docs"), "jaccard-classes")
     real = lambda c: F.when(F.col(c) != LOW, F.col(c))
-    columns = [real("id").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id")]
-    if not links:
-        return out.select(*columns)
-    copies = members.where("n > 0").groupBy("sid").agg((F.count("*") - 1).alias("copies"))
-    counts = materialise(copies.join(link_counts(sets, labels, members, num, den), "sid", "left").select("sid", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-counts")
-    return out.join(counts, "sid", "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    columns = [real("id").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id"), *([F.col("n_links")] if links else [])]
+    out = spread_join(members.where("n > 0"), classes, "sid", "id", hot).select(*columns)
+    none = members.where("n = 0").withColumns({"component": F.col("id"), "n_links": F.lit(0).cast("long")})
+    return out.unionByName(none.select(*columns))
+
+
+def without_marked(own: DataFrame, marks: DataFrame, row: str, once: str) -> DataFrame:
+    """own without the rows that marks lists, of those with a true `once` one stays. A filter of bounded size tells rows
+    that are surely not listed: these pass where they are read, and only the others are shuffled to be looked up."""
+    hits, rest = by_listing(own, marks, row)
+    if hits is None:
+        return own
+    hits = hits.join(marks, row, "left").where(F.coalesce(once, F.lit(True)))
+    number = once + "_no"
+    hits = hits.withColumn(number, F.when(F.col(once).isNull(), F.monotonically_increasing_id())).dropDuplicates([row, number])
+    return rest.unionByName(hits.drop(once, number))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of docs for each component: the one with the smallest key (a null key is the largest; then the smallest hash
     of key and text); of rows equal in both, one. A text without shingles has no copies: each such row stays.
 
-    A row is known by the 64-bit hash of its key and text, so null keys and keys that repeat are rows like others."""
-    own = docs.withColumn("__row", F.xxhash64(key, text))
-    classes = materialise(near_classes(own.select("__row", text), "__row", text, width, num, den).groupBy("__row", "component_id").agg(F.max("n_shingles").alias("__n"), F.count("*").alias("__m")), "jaccard-rows")
-    keys = own.select("__row", F.col(key).alias("__key")).distinct()
+    A row is known by the 64-bit hash of its key and text, so null keys and keys that repeat are rows like others. Texts of
+    rows that stay are not shuffled, but for the few that the filter of rows to drop cannot tell apart. Empty table: empty
+    result. All columns of docs stay, whatever their names."""
+    row = free_name(docs, "__row")
+    own = docs.withColumn(row, F.xxhash64(key, text))
+    classes = materialise(near_classes(own.select(F.col(row).alias("__row"), F.col(text).alias("__text")), "__row", "__text", width, num, den).groupBy("__row", "component_id").agg(F.max("n_shingles").alias("__n"), F.count("*").alias("__m")), "jaccard-rows").where("__n > 0")
+    keys = own.select(F.col(row).alias("__row"), F.col(key).alias("__key")).distinct()
     first = F.min(F.struct(F.col("__key").isNull().alias("null"), "__key", "__row", "__m"))
-    best = classes.where("__n > 0").join(keys, "__row").groupBy("component_id").agg(first.alias("f")).select("f.__row", F.lit(False).alias("__empty"), "f.__m")
-    kept = materialise(best.unionByName(classes.where("__n = 0").select("__row", F.lit(True).alias("__empty"), "__m")), "jaccard-kept")
-    if not kept.where("__m > 1 and not __empty").limit(1).count():
-        return own.join(kept.select("__row"), "__row", "left_semi").select(docs.columns)
-    out = own.join(kept.select("__row", "__empty"), "__row").withColumn("__no", F.when(F.col("__empty"), F.monotonically_increasing_id()))
-    return out.dropDuplicates(["__row", "__no"]).select(docs.columns)
+    best = materialise(classes.join(keys, "__row").groupBy("component_id").agg(first.alias("f")).select("f.__row", "f.__m"), "jaccard-best")
+    gone = classes.join(best, "__row", "left_anti").select("__row", F.lit(False).alias("__once"))
+    marks = materialise(gone.unionByName(best.where("__m > 1").select("__row", F.lit(True).alias("__once"))), "jaccard-marks")
+    once = free_name(docs, "__once")
+    return without_marked(own, marks.select(F.col("__row").alias(row), F.col("__once").alias(once)), row, once).select(docs.columns)
 
 
 def op3(spark, sf_dir):

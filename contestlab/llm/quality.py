@@ -146,6 +146,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def keep_good(docs: DataFrame, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of docs that pass the base rules and whose posterior quality is high enough. Counts are worked out once and
+    written with their rows, as the rules' accuracies must be known before the first row can be judged."""
+    held = materialise(measured(docs.select(F.struct("*").alias("__own"), F.col(text).alias("text"))).drop("text"), "quality")
+    return judge(held, keep_from).where(~base_failed() & F.col("kept")).select("__own.*")
+
+
 def op8(spark, sf_dir):
     failed = base_failed()
     # the counts are small beside the texts: written once, the texts are read in one pass
