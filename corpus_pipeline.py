@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestlab.llm import jaccard, language, mixing, packing, quality
-from contestlab.llm.common import new_path, read
+from contestlab.llm.common import drop_path, new_path, read
+
+
+def aside(docs: DataFrame, *columns: str) -> DataFrame:
+    """All columns of docs as one, out of the way of names that a stage makes, and the columns that it works on."""
+    return docs.select(F.struct("*").alias("__own"), *columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure enough; the model learns from a bounded sample of the labelled ones."""
+    """Documents whose language is sure enough; the model learns from a bounded sample of the labelled ones. Null and
+    letterless texts are rejected; repeated rows are judged alike; where nothing is labelled, nothing can be told and all go."""
     model = language.fit(language.training_part(docs))
-    return language.identify(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
+    return language.identify(aside(docs, "text"), model).where(~F.col("lang_rejected")).select("__own.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose posterior quality is high enough."""
-    return quality.score_quality(docs).where(~quality.base_failed() & F.col("kept")).select(docs.columns)
+    """Documents that pass the base rules and whose posterior quality is high enough. Null and empty texts fail the base
+    rules; repeated rows, null keys and extra columns stay as they are."""
+    return quality.keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +37,15 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.documents_mix(docs).where("repeats > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(docs.columns)
+    """Documents as often as the mix takes them: not at all, once or twice. A null source is a source; empty texts have no
+    words to take and go; repeated rows are taken alike."""
+    taken = mixing.documents_mix(aside(docs, "doc_id", "source", "text")).where("repeats > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("__own.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document with its place in a sequence."""
+    """Each piece of each document with its place in a sequence. A null text is one piece of one id; repeated rows and null
+    keys have places of their own; extra columns are left out."""
     return packing.packed_documents(docs)
 
 
@@ -47,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages; what a stage wrote is deleted as soon as the next one has read it."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
