@@ -72,7 +72,7 @@ def prestart_stream(stream: DataFrame, contests: DataFrame, keys: Sequence[str],
             one = (int(at["__at"]), int(at["__tie"]), at["__row"])
             best = one if best is None or one[:2] > tuple(best[:2]) else best
         state.update(best)
-        state.setTimeoutTimestamp(max(key[1], state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(key[1]), state.getCurrentWatermarkMs() + 1))
 
     out = packed.groupBy("__key", "__end").applyInPandasWithState(newest, "__row string", "at long, tie long, row string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(F.from_json("__row", kind, whole).alias("r")).select("r.*")

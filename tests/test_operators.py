@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
@@ -299,6 +300,8 @@ def test_prestart_stream_equals_its_twin(spark, tmp_path):
     rows = [(rng.randrange(6), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * (i // 2), microseconds=i // 2), i, float(i) if i % 7 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, at timestamp, id int, v double")
     df.repartitionByRange(5, "at").write.parquet(str(tmp_path / "in"))
+    for i, f in enumerate(sorted((tmp_path / "in").glob("part-*"))):  # the source takes files by age
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     contests = spark.createDataFrame([(0, day(1, 2)), (1, day(3, 5)), (1, day(2, 5)), (2, day(4)), (3, dt.datetime(2023, 12, 31)), (4, day(9)), (5, day(4, 1))], "k int, cutoff timestamp")
