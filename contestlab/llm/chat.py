@@ -81,6 +81,8 @@ def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[st
 USER, ASSISTANT, OTHER_ROLE = ("<s>[INST] ", " [/INST]"), (" ", " </s>"), ("<<ROLE:", ">>", "<</ROLE>>")
 #: Control strings of the template, as regular expressions, and the escape character.
 CONTROL = re.compile(r"\\|<(?=s>|/s>|<ROLE:|</ROLE>>)|\[(?=/?INST\])|>(?=>)|(?<=<)<(?=ROLE:)")
+#: In a role's marker every one of these is escaped, as the marker's own end must stay apart from the role's.
+ROLE_CONTROL = re.compile(r"[\\<>\[]")
 ESCAPED = re.compile(r"\\([\\<>\[])")
 TURN = re.compile(r"<s>\[INST\] ((?:\\.|[^\\])*?) \[/INST\]| ((?:\\.|[^\\])*?) </s>|<<ROLE:((?:\\.|[^\\])*?)>>((?:\\.|[^\\])*?)<</ROLE>>", re.S)
 
@@ -89,6 +91,10 @@ def escape(text: str) -> str:
     return CONTROL.sub(lambda m: "\\" + m[0], text)
 
 
+def escape_role(role: str) -> str:
+    return ROLE_CONTROL.sub(lambda m: "\\" + m[0], role)
+
+
 def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
@@ -97,7 +103,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted text and the loss mask: spans of code points with the assistant's (escaped) texts."""
     out, mask, at = [], [], 0
     for role, text in turns:
-        before, after = USER if role == "user" else ASSISTANT if role == "assistant" else (OTHER_ROLE[0] + escape(role) + OTHER_ROLE[1], OTHER_ROLE[2])
+        before, after = USER if role == "user" else ASSISTANT if role == "assistant" else (OTHER_ROLE[0] + escape_role(role) + OTHER_ROLE[1], OTHER_ROLE[2])
         body = escape(text)
         if role == "assistant":
             mask.append((at + len(before), at + len(before) + len(body)))
