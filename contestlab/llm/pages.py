@@ -4,8 +4,10 @@ pages of its host are sorted by URL path; lines that a longest common subsequenc
 from __future__ import annotations
 
 import html as entities
+import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,34 +17,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contestlab.llm.common import materialise, read
+from contestlab.llm.common import by_listing, free_name, materialise, read
 
 #: Elements whose text is never content; those that are void; those that start and end a block of text.
 DROPPED = frozenset("script style noscript template iframe object svg math canvas nav header footer aside form button select option textarea input label fieldset dialog menu head title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words in class, id or role that mark furniture, and those that mark the article itself.
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|notices|notification|outbrain|pagination|paywall|popup|promo\w*|related|recommend\w*|repl(?:y|ies)|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe\w*|subscription|taboola|toolbar|widget\w*|alert|complementary|contentinfo|search|login|signup|responses?|feedback|discussion)(?:$|[\s_-])", re.I)
+#: Whole names (of class, id or role) of furniture, which may differ from page to page so that differencing cannot see it.
+FURNITURE = frozenset("""
+ad ads ad-slot ad-container advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments comment-list comments-area complementary consent contentinfo cookie cookies
+cookie-banner cookie-notice cookie-consent discussion disqus feedback footer header login main-nav masthead menu modal nav navbar navigation nav-bar newsletter notice notices notification outbrain page-footer
+page-header pagination paywall popup promo promoted reader-comments recommended related related-posts replies reply respond responses search share share-buttons sharing sidebar side-bar signup site-footer
+site-header site-nav skip skip-link social social-share sponsor sponsored sponsors subscribe subscription taboola toolbar widget widgets
+""".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|article-body|post-body|entry-content|post-content|main-content|story|main)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ARTICLE = frozenset("article article-body article-content post-body post-content entry-content main-content story main".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)", re.S)
+#: From the first tag on whose quotes don't close, quotes mean nothing.
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|([^<]++|<)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.S)
+ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 SPACES = re.compile(r"\s+")
 #: An element of one of these tags ends a paragraph that was left open.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
+    return {k: m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw) if (k := m[1].lower()) in ATTRIBUTES}
+
+
+class _Stack:
+    """Open elements, each with what held before it; how many of each tag are open, and where paragraphs and those elements
+    are that keep a paragraph from being ended."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, bool]] = []
+        self.count: Counter[str] = Counter()
+        self.p: list[int] = []
+        self.walls: list[int] = []
+
+    def push(self, tag: str, dropped: bool, article: bool) -> None:
+        if tag == "p":
+            self.p.append(len(self.open))
+        elif tag == "div" or tag in ARTICLE_TAGS:
+            self.walls.append(len(self.open))
+        self.count[tag] += 1
+        self.open.append((tag, dropped, article))
+
+    def close(self, tag: str) -> tuple[bool, bool]:
+        """End the innermost `tag`, which must be open, and all in it; what held before it."""
+        while True:
+            last, dropped, article = self.open.pop()
+            self.count[last] -= 1
+            for places in (self.p, self.walls):
+                if places and places[-1] == len(self.open):
+                    places.pop()
+            if last == tag:
+                return dropped, article
+
+    def paragraph_ends(self) -> bool:
+        return bool(self.p) and not (self.walls and self.walls[-1] > self.p[-1])
 
 
 def blocks(page: str | None) -> list[tuple[str, bool]]:
     """The page's lines (blocks of text, white space turned into one space, character references decoded) outside of
     elements that never hold content, and whether each lies in an article element. Unclosed elements end with their
-    parent; an end tag without start is ignored. Null: none."""
+    parent; an end tag without start is ignored. Null: none. Time grows with the page's length, however broken it is."""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+    stack = _Stack()
     dropped = article = False
     text: list[str] = []
 
@@ -53,8 +97,17 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                 out.append((line, article))
             text.clear()
 
-    page, at = page or "", 0
-    while m := TOKEN.match(page, at):
+    page, at, token = page or "", 0, TOKEN
+    last = page.rfind(">")
+    while at < len(page):
+        if at > last:  # no tag ends any more
+            if not dropped:
+                text.append(page[at:])
+            break
+        m = token.match(page, at)
+        if m[0] == "<" and token is TOKEN and re.match(r"</?[a-zA-Z]", page[at : at + 3]):
+            token = UNQUOTED
+            continue
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -65,32 +118,25 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            if any(s[0] == tag for s in stack):
-                while stack:
-                    last, dropped, article = stack.pop()
-                    if last == tag:
-                        break
+            if stack.count[tag]:
+                dropped, article = stack.close(tag)
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or SELF_CLOSED.search(m[3]):
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in ENDS_P and any(s[0] == "p" for s in stack) and not any(s[0] in ARTICLE_TAGS or s[0] == "div" for s in stack[max(i for i, s in enumerate(stack) if s[0] == "p") :]):
-            while stack:
-                last, dropped, article = stack.pop()
-                if last == "p":
-                    break
+        if tag in ENDS_P and stack.paragraph_ends():
+            dropped, article = stack.close("p")
         a = _attributes(m[3]) if m[3] else {}
-        names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
+        names = {n for k in ("class", "id", "role") for n in a.get(k, "").lower().split()}
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        stack.append((tag, dropped, article))
-        own_article = tag in ARTICLE_TAGS or bool(ARTICLE.search(names))
-        furniture = names.strip() and FURNITURE.search(names) and not (tag in ARTICLE_TAGS and not article) and tag not in ("body", "html")
-        if tag in DROPPED or hidden or furniture:
+        furniture = names & FURNITURE
+        stack.push(tag, dropped, article)
+        if tag in DROPPED or hidden or (furniture and tag not in ARTICLE_TAGS and tag not in ("body", "html")):
             dropped = True
-        if own_article:
+        if tag in ARTICLE_TAGS or names & ARTICLE:
             article = True
     flush()
     return out
@@ -102,14 +148,14 @@ def line_hashes(lines: list[tuple[str, bool]]) -> np.ndarray:
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Flags of a's lines in a longest common subsequence of a and b (the earliest in a). Common starts and ends are taken
-    off first; the rest is solved over the lines that occur in both, row by row with one bit a cell."""
+    off first; the rest is solved over the lines that occur in both. Of the table of lengths only every so many-th row is
+    kept, and the rows between are worked out again where the way goes through: memory grows with the root of its size."""
     keep = np.zeros(len(a), bool)
-    lo, n = 0, min(len(a), len(b))
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
-        hi += 1
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    lo = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n + lo :][::-1] != b[len(b) - n + lo :][::-1])
+    hi = int(differ[0]) if len(differ) else n - lo
     keep[:lo] = True
     if hi:
         keep[-hi:] = True
@@ -118,51 +164,37 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(i):
         return keep
     x, y = x[i], y[j]
-    # rows of the length table for suffixes; a row is a running maximum, so its steps fit one bit each
-    rows = np.zeros((len(x) + 1, len(y) + 1), np.int32) if len(x) * len(y) <= 4_000_000 else None
-    if rows is None:  # very long pages: lines that are unique in both, in the order of a, by patience
-        return _unique_common(a, b, keep, lo + i, lo + j)
-    for r in range(len(x) - 1, -1, -1):
-        best = np.where(y == x[r], rows[r + 1, 1:] + 1, rows[r + 1, :-1])
-        rows[r, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+
+    def above(row: np.ndarray, line: np.uint64) -> np.ndarray:
+        """Lengths for the suffixes of y with one more line of x before."""
+        best = np.where(y == line, row[1:] + 1, row[:-1])
+        return np.r_[np.maximum.accumulate(best[::-1])[::-1], np.int32(0)]
+
+    step = math.isqrt(len(x)) + 1
+    row, kept = np.zeros(len(y) + 1, np.int32), {}
+    for r in range(len(x), -1, -1):
+        if r < len(x):
+            row = above(row, x[r])
+        if r % step == 0 or r == len(x):
+            kept[r] = row
     r = c = 0
+    rows: dict[int, np.ndarray] = {}
     while r < len(x) and c < len(y):
+        if r + 1 not in rows:
+            end = min(len(x), (r // step + 1) * step)
+            rows = {end: kept[end]}
+            for k in range(end - 1, r - 1, -1):
+                rows[k] = above(rows[k + 1], x[k])
         if x[r] == y[c]:
             keep[lo + i[r]] = True
             r, c = r + 1, c + 1
-        elif rows[r + 1, c] >= rows[r, c + 1]:
+        elif rows[r + 1][c] >= rows[r][c + 1]:
             r += 1
         else:
             c += 1
     return keep
 
 
-def _unique_common(a: np.ndarray, b: np.ndarray, keep: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Hunt-Szymanski over all matching positions: memory grows with the matches of rare lines, not with the product."""
-    from bisect import bisect_left
-
-    places: dict[int, list[int]] = {}
-    for p in j:
-        places.setdefault(int(b[p]), []).append(int(p))
-    tails: list[int] = []
-    last: list[tuple] = []
-    for p in i:
-        for q in reversed(places[int(a[p])]):
-            k = bisect_left(tails, q)
-            node = (int(p), last[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(q)
-                last.append(node)
-            else:
-                tails[k] = q
-                last[k] = node
-    node = last[-1] if last else None
-    while node:
-        keep[node[0]] = True
-        node = node[1]
-    return keep
-
-
 def url_parts(url: str | None) -> tuple[str, str]:
     """Host (lower case, without user, port and leading www.) and path with query, without fragment. Null: empty."""
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^#]*)", url or "")
@@ -237,9 +269,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Pages are sorted by (host, path) over the whole cluster, so a host of any size is dealt over many tasks; line hashes
     alone take part in this. Pages that follow one another with equal main parts (article lines, or all lines where there is
-    no article element) are copies: each is compared with the nearest other pages of its host on both sides. Null url: host and path are empty; null or empty html: empty text. Repeated rows and equal
-    urls: compared like others, each row has its own text. Empty table: empty result. A column text is replaced."""
-    own = pages.drop("text").withColumn("__row", F.xxhash64(F.col(url), F.col(html)))
+    no article element) are copies: each is compared with the nearest other pages of its host on both sides. Only pages that lose lines are
+    shuffled with their html. Null url: host and path are empty; null or empty html: empty text. Repeated rows and equal
+    urls: compared like others, each row has its own text. Empty table: empty result. A column text is replaced; all others
+    stay, whatever their names."""
+    row_, gone_ = free_name(pages, "__row"), free_name(pages, "__gone")
+    own = pages.drop("text").withColumn(row_, F.xxhash64(F.col(url), F.col(html)))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -265,7 +300,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield out()
 
     # a page without lines tells nothing about its neighbours
-    signed = own.select(F.col("__row").alias("row"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(signatures, "row long, host string, path string, main long, lines binary, article binary").where("length(lines) > 0")
+    signed = own.select(F.col(row_).alias("row"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(signatures, "row long, host string, path string, main long, lines binary, article binary").where("length(lines) > 0")
     ordered = materialise(signed.dropDuplicates(["row"]).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").select("host", "main", "lines", "article", "row").mapInPandas(chunks, "part int, no int, ends binary, body binary"), "pages-sorted")
     # what stands before and after each chunk: at most three pages a side
     ends = {(r["part"], r["no"]): pickle.loads(r["ends"]) for r in ordered.select("part", "no", "ends").collect()}
@@ -284,17 +319,22 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     # only pages near by are looked at again
                     seen = {id(p): seen[id(p)] if id(p) in seen else np.frombuffer(p[2], np.uint64) for p in (*beside, *two)}
                     gone = template_lines(np.frombuffer(page[2], np.uint64), np.frombuffer(page[3], bool), [seen[id(p)] for p in beside], [seen[id(p)] for p in two])
-                    rows.append(page[4])
-                    flags.append(np.packbits(gone).tobytes())
-                yield pd.DataFrame({"__row": rows, "__gone": flags})
+                    if gone.any():
+                        rows.append(page[4])
+                        flags.append(np.packbits(gone).tobytes())
+                yield pd.DataFrame({"row": rows, "gone": flags})
 
-    gone = ordered.select("part", "no", "body").mapInPandas(differ, "__row long, __gone binary")
+    gone = materialise(ordered.select("part", "no", "body").mapInPandas(differ, "row long, gone binary"), "pages-gone").select(F.col("row").alias(row_), F.col("gone").alias(gone_))
 
     @F.pandas_udf("string")
     def keep(pages_: pd.Series, flags: pd.Series) -> pd.Series:
         return pd.Series([main_text(blocks(x), np.unpackbits(np.frombuffer(f or b"", np.uint8))) for x, f in zip(pages_, flags, strict=True)])
 
-    return own.join(gone, "__row", "left").withColumn("text", keep(F.col(html), F.col("__gone"))).drop("__row", "__gone")
+    hits, rest = by_listing(own, gone, row_)
+    out = rest.withColumn(gone_, F.lit(None).cast("binary"))
+    if hits is not None:
+        out = out.unionByName(hits.join(gone, row_, "left"))
+    return out.withColumn("text", keep(F.col(html), F.col(gone_))).drop(row_, gone_)
 
 
 def op5(spark, sf_dir):
