@@ -11,18 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contestlab.llm.common import materialise, read
+from contestlab.llm.common import materialise, read, tidy
 
 LENGTH = 2048
 #: Pieces that one task packs; each shard may leave a few sequences unfilled, so it should be large.
 SHARD = 60_000
 #: Sequences filled less than this are packed once more, across shards.
 REPACK_BELOW = 0.98
-#: Chunks whose ids a Python worker keeps; when there are more, it starts anew.
-CACHED = 1_000_000
+#: Chunks whose ids a Python worker keeps at most; when there are more, it goes on with those that it met first, among which
+#: the frequent ones are.
+CACHED, KEPT = 300_000, 100_000
 #: Documents whose new chunks are encoded in one call.
 GROUP = 256
 #: Texts in these characters are lower-cased as the tokenizer does it; a full stop or comma after a letter and before white
@@ -55,17 +57,28 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # control strings in a text are ordinary text
+        added = self.model.get_added_tokens_decoder()
+        #: Control strings: the tokenizer looks for them in the text as it stands, and each gives one id.
+        self.control = {t.content: i for i, t in added.items()}
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.control, key=len, reverse=True)) or "(?!)")
+        self.model.encode_special_tokens = not self.whole  # what is between them is ordinary text
         self.clear()
 
     def clear(self) -> None:
         self.codes, self.used = Codes(), 0
         self.start, self.size, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16)
 
+    def shrink(self) -> None:
+        kept = Codes()
+        kept.update(zip(itertools.islice(self.codes, KEPT), range(KEPT)))
+        self.codes, self.used = kept, int(self.start[KEPT])
+
     def learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         first = len(self.codes) - len(new)
         ids = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [[self.control[c[1:]]] if c[:1] == " " else x for c, x in zip(new, ids, strict=True)]
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
         if len(self.codes) > len(self.start):
@@ -78,14 +91,25 @@ class ChunkTokenizer:
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
+    def chunks(self, text: str) -> list[str]:
+        """Pieces of the text whose ids, one after another, are the text's; a control string has a space before it."""
+        marks = self.cut.findall(text)
+        if marks:
+            parts = self.cut.split(text)
+            return [c for part, mark in zip(parts, [*marks, ""], strict=True) for c in (*self.chunks(part), *([" " + mark] if mark else ()))]
+        # elsewhere only the six characters that are white space beyond doubt part chunks
+        return POINT.sub(r" \g<0>", text.lower()).split() if PLAIN.fullmatch(text) else SIX.split(text)
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; chunks not seen before are encoded in one call for all texts."""
+        if self.whole:
+            yield from (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False))
+            return
         if len(self.codes) > CACHED:
-            self.clear()
+            self.shrink()
         coded = []
         for text in texts:
-            # elsewhere only the six characters that are white space beyond doubt part chunks
-            chunks = POINT.sub(r" \g<0>", text.lower()).split() if PLAIN.fullmatch(text) else SIX.split(text)
+            chunks = self.chunks(text)
             coded.append(np.fromiter(map(self.codes.__getitem__, chunks), np.int32, len(chunks)))
         if self.codes.new:
             self.learn()
@@ -110,23 +134,23 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 0, le
     rest = docs.select(*[c for c in docs.columns if c != text and c not in own], F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "__text"] + [PIECES])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_tokenizer(tokenizer)
         for b in batches:
             rows: list[tuple] = []
             for first in range(0, len(b), GROUP):
-                texts = [t or "" for t in b["__text"].iloc[first : first + GROUP]]
+                texts = [t or "" for t in b["__text"].slice(first, GROUP).to_pylist()]
                 for at, ids in enumerate(encode.ids(texts), first):
                     ids = np.append(ids, ids.dtype.type(end)).astype("<u4")
                     for k, s in enumerate(range(0, len(ids), length)):
                         raw = ids[s : s + length].tobytes()
                         rows.append((at, k, s, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
-            out = b.drop(columns="__text").iloc[[r[0] for r in rows]].reset_index(drop=True)
-            for i, c in enumerate(own, 1):
-                out[c] = [r[i] for r in rows]
-            yield out
+            at, *made = zip(*rows, strict=True) if rows else [()] * 6
+            kept = [c for c in b.schema.names if c != "__text"]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(at, pa.int32())) for c in kept], *map(pa.array, made, kinds)], names=kept + own)
 
-    out = rest.mapInPandas(cut, schema)
+    out = rest.mapInArrow(tidy(cut), schema)
     return out if with_ids else out.drop("ids")
 
 
@@ -178,7 +202,8 @@ def pack(items: DataFrame, length: str = "length", capacity: int = LENGTH) -> Da
     """items (each of 0 < length <= capacity) with sequence_id and offset. Shards are packed on their own; what they
     leave in sequences filled less than REPACK_BELOW is packed as whole blocks once more, in fewer shards.
 
-    Only lengths and keys are shuffled. Repeated rows and ties: each row has its own place. Empty table: empty result.
+    Only lengths and keys are shuffled. Both rounds are written before they are read, so that all of a sequence comes from
+    one run of its shard. Repeated rows and ties: each row has its own place. Empty table: empty result.
     Columns named sequence_id or offset are replaced."""
     items = items.drop("sequence_id", "offset")
     if not (count := items.count()):
@@ -196,7 +221,8 @@ def _repacked(loose: DataFrame, capacity: int) -> DataFrame:
     """bin, new_bin, shift: where each loosely filled sequence goes as one block."""
     blocks = loose.select(F.col("bin").alias("old"), "fill")
     packed = _packed(blocks, "fill", blocks.count(), capacity, 1)
-    return packed.select(F.col("old").alias("bin"), F.col("bin").alias("new_bin"), F.col("place").alias("shift"))
+    # written, as ties fall by the order of arrival: a shard worked out anew may place its blocks otherwise
+    return materialise(packed.select(F.col("old").alias("bin"), F.col("bin").alias("new_bin"), F.col("place").alias("shift")), "repacked")
 
 
 def public_tokenizer() -> str:
