@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -29,6 +30,8 @@ def test_damaged_streams():
     media = transport.mux(random.Random(1).randbytes(30000))
     lost = media[: 188 * 20] + media[188 * 21 :]
     assert transport.demux(lost)["continuity_errors"] == 1
+    assert [u[6] for u in transport.demux(lost)["units"]].count(False) == 1 and all(u[6] for u in transport.demux(media)["units"])
+    assert not transport.demux(media[:-188])["units"][-1][6]
     twice = media[: 188 * 20] + media[188 * 19 : 188 * 20] + media[188 * 20 :]
     d = transport.demux(twice)
     assert (d["duplicates"], d["continuity_errors"]) == (1, 0) and sum(len(u[5]) for u in d["units"]) == 30000
@@ -70,9 +73,33 @@ def test_common_lines_are_longest():
         keep = pages.common_lines(a, b)
         assert keep.sum() == lcs(list(a), list(b))
         assert lcs(list(a[keep]), list(b)) == keep.sum()
-        i, j = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-        if len(i):
-            assert pages._unique_common(a, b, np.zeros(len(a), bool), i, j).sum() == keep.sum()
+    a, b = (np.array([rng.randrange(50) for _ in range(700)], np.uint64) for _ in range(2))
+    keep = pages.common_lines(a, b)
+    assert keep.sum() == lcs(list(a), list(b)) == lcs(list(a[keep]), list(b))
+
+
+@pytest.mark.parametrize("part", ['<a title="x ', "<p><b><div ", "<div><p>x</span>", "<!x", """<a b='"'""", "<p>a<", "<script>"])
+def test_broken_pages_take_time_by_length(part):
+    took = []
+    for n in (3000, 12000):
+        start = time.time()
+        pages.blocks(part * n + "<p>end</p>")
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0] + 0.3
+
+
+def test_names_count_as_a_whole():
+    page = '<div class="share">out</div><article><p>a</p><div class="share-of-market"><p>kept</p></div><section id="related-work">too</section><div class="shared noticed">own</div><ol class="comments">no</ol></article>'
+    assert [t for t, _ in pages.blocks(page)] == ["a", "kept", "too", "own"]
+    assert pages.blocks("<a href=/x/>link</a> after<p/>next") == [("link after", False), ("next", False)]
+
+
+def test_article_lines_fall_to_differencing(spark):
+    """Without differencing the lines that all pages of the host share would stay."""
+    rows = [(i, f"http://a.example/{i}", f"<article><p>Story {i}</p><div><p>Sign up for our letter</p></div><p>End {i}</p></article>", i, i) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __row int, __gone int")
+    got = {r.page_id: (r.text, r["__row"], r["__gone"]) for r in pages.extract(df).collect()}
+    assert got == {i: (f"Story {i} End {i}", i, i) for i in range(6)}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav>
@@ -138,7 +165,7 @@ def test_template_is_reversible():
     rng = random.Random(1)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", " ", "\\", "<", ">", "[", "]", "<<ROLE:", ">>", "<</ROLE>>", "a", "\n", "é", "/"]
     for _ in range(4000):
-        turns = [(rng.choice(["user", "assistant", "system", "", "x>>y", "a<<ROLE:"]), "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for _ in range(rng.randrange(5))]
+        turns = [(rng.choice(["user", "assistant", "system", "", "x>>y", "a<<ROLE:", "tool>", "".join(rng.choice(bits) for _ in range(3))]), "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for _ in range(rng.randrange(5))]
         text, mask = chat.render(turns)
         assert chat.parse(text) == turns
         assert [chat.unescape(text[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
@@ -171,7 +198,8 @@ def test_conversations_round_trip(spark):
 # WARC
 
 
-def test_archives_round_trip(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("split", [211, 1 << 20])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, split):
     same = "<p>" + "same page " * 20
     inner = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nbroken"
     rows = [(5, "http://a/", same), (3, "http://b/\r\nX: y", same), (9, None, same), (1, "http://c/", "short"), (2, "http://d/", "short"), (4, "http://e/", None), (6, "http://f/", inner), (7, "http://g/", "é" * 60), (8, "http://h/", "")]
@@ -179,8 +207,21 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     path = str(tmp_path / "w")
     warc.write(df, path)
-    got = {int(r.page): r for r in warc.read_archives(spark, path).collect()}
-    assert set(got) == {r[0] for r in rows}
+    warc.write(df, path + "-gz", compression="gzip")
+    packed = {int(r.page): (r.digest, r.refers_to) for r in warc.read_archives(spark, path + "-gz").collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)  # splits inside of files, also inside of records and of the magic
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = warc.chained(spark, path)[0]
+        records = warc.read_archives(spark, path).collect()
+        assert split > 1000 or warc.scan(spark, path).select("file", "split").distinct().count() > 5
+        assert warc.broken(found).count() == 0
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{k}", v)
+    got = {int(r.page): r for r in records}
+    assert set(got) == {r[0] for r in rows} and len(records) == len(rows) and packed == {i: (r.digest, r.refers_to) for i, r in got.items()}
     for i, _, h in rows:
         raw = (h or "").encode()
         assert (got[i].payload_bytes, got[i].digest) == (len(raw), hashlib.sha256(raw).hexdigest())
@@ -209,3 +250,22 @@ def test_truncated_archive(tmp_path, spark):
     d.mkdir()
     (d / "part-0.gz").write_bytes(gzip.compress(record + record.replace(b":1>", b":2>")[:-6]))
     assert [r.page for r in warc.read_archives(spark, str(d)).collect()] == ["1"]
+    plain = tmp_path / "p"
+    plain.mkdir()
+    (plain / "a.warc").write_bytes(record + b"junk" + record.replace(b":1>", b":2>"))
+    assert [r.page for r in warc.read_archives(spark, str(plain)).collect()] == ["1"]
+    assert [r["at"] for r in warc.broken(warc.chained(spark, str(plain))[0]).collect()] == [0]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.warc").write_bytes(b"")
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_repeated_and_null_keys(spark, tmp_path):
+    rows = [(1, "u", "<p>" + "x" * 200), (1, "u", "<p>" + "x" * 200), (None, None, "<p>" + "x" * 200), (None, "v", None), (2, "w", "y" * 100_000)]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
+    warc.write(df.drop("digest"), str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page or "", r.payload_bytes) for r in got) == [("", 0), ("", 203), ("1", 203), ("1", 203), ("2", 100_000)]
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {"1"} and sum(r.record_type == "revisit" for r in got) == 1
+    warc.write(df.limit(0).drop("digest"), str(tmp_path / "e"))
+    assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
