@@ -13,6 +13,7 @@ from contestlab.operators import windows as W
 from contestlab.plans.base import ENTRY, entries, query, r6, table
 from contestlab.plans.decisions import MAX_AGE, TARGETS, selected
 from contestlab.operators import quotes as Q
+from contestlab.sources.tables import settled
 from contestlab.streaming.quotes import latest_quotes, prestart_quotes
 
 PRIORITY = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3, "4-NOT SPECIFIED": 2, "5-LOW": 1}
@@ -115,7 +116,7 @@ round((coalesce(a * 0.5::double, 0) + coalesce(b * 0.3::double, 0) + coalesce(c
 from m join r on m.rider = r.rider and date_trunc('month', m.held_date)::date = r.month join rs on m.rider = rs.rider and m.surface = rs.surface and date_trunc('month', m.held_date)::date = rs.month join h on m.runner = h.runner and m.held_date = h.held_date""")
 def feature_matrix(spark, sf):
     """D23 to D26."""
-    f = feature_matrix_of(entries(spark, sf))
+    f = feature_matrix_of(settled(entries(spark, sf)))
     return r6(f.withColumn("quantity_z", F.round("quantity_z", 5)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -382,14 +383,14 @@ def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
 @query(f"with {ENTRY}, {CONTEXT}, {PRE_RACE} select {PRE_SELECT} from pre")
 def pre_race_features(spark, sf):
     """The row that training and prediction share, for stored and live contexts."""
-    e = entries(spark, sf)
+    e = S.settled(entries(spark, sf))
     return rounded(pre_race_rows(spark, sf, e, contexts(e, last_date(e))), PRE_COLUMNS)
 
 
 @query(f"with {ENTRY}, {CONTEXT}, {PRE_RACE} select {PRE_SELECT} from pre where context = 'live'")
 def live_pre_race_features(spark, sf):
     """D23, FL2: the live rows from sources that hold only the entities that run: the same values."""
-    e = entries(spark, sf)
+    e = S.settled(entries(spark, sf))
     return rounded(pre_race_rows(spark, sf, e, contexts(e, last_date(e), stored=False), live=True), PRE_COLUMNS)
 
 
@@ -405,7 +406,7 @@ z as (select pre.*, soft_rate, (rider_rate - avg(rider_rate) over w) rider_gap,
 select {PRE_SELECT}, round(soft_rate, 5) soft_rate, case when rider_sd > 1e-9 then round(rider_gap / rider_sd, 3) end rider_rate_z, case when runner_sd > 1e-9 then round(runner_gap / runner_sd, 3) end runner_rate_z from z""")
 def entry_feature_matrix(spark, sf):
     """The shared row with soft lookups and its place within the contest."""
-    e = entries(spark, sf)
+    e = S.settled(entries(spark, sf))
     pre = pre_race_rows(spark, sf, e, c := contexts(e, last_date(e)))
     rates = e.groupBy("surface", F.least(F.floor(F.col("quantity") / 50 * 4), F.lit(4)).cast("int").alias("b")).agg(F.avg("is_place").alias("v"))
     x = c.withColumn("x", F.least(F.greatest(F.col("quantity") / 50, F.lit(0.0)), F.lit(1.0))).select("contest_id", "entry_no", "surface", F.posexplode(C.soft_bin_weights("x", (0.0, 0.25, 0.5, 0.75, 1.0), 0.25)).alias("b", "w")).where("w > 0")
@@ -435,7 +436,7 @@ def train_past5(spark, sf):
 select {PRE_SELECT}, round(ln(win_odds), 6) ln_odds, is_win, is_place from pre join o using (contest_id, entry_no) where context = 'stored'""")
 def train_entry_features(spark, sf):
     """The shared row with prices and outcomes, for contests that are over."""
-    e = entries(spark, sf)
+    e = S.settled(entries(spark, sf))
     pre = pre_race_rows(spark, sf, e, contexts(e, last_date(e), live=False))
     odds = W.prefer_source(odds_sources(e), ["contest_id", "entry_no"]).select("contest_id", "entry_no", F.round(F.ln("win_odds"), 6).alias("ln_odds"))
     out = pre.join(odds, ["contest_id", "entry_no"]).join(e.select("contest_id", "entry_no", "is_win", "is_place"), ["contest_id", "entry_no"])
@@ -446,7 +447,7 @@ def train_entry_features(spark, sf):
 select {PRE_SELECT}, round(win_odds, 6) win_odds, win_odds is not null has_odds from pre left join o using (contest_id, entry_no) where context = 'live'""")
 def predict_entry_features(spark, sf):
     """The live rows with the newest prices where there are any."""
-    e = entries(spark, sf)
+    e = S.settled(entries(spark, sf))
     pre = pre_race_rows(spark, sf, e, contexts(e, last_date(e), stored=False), live=True)
     odds = W.prefer_source(odds_sources(e.where("entry_no <> 3")), ["contest_id", "entry_no"]).select("contest_id", "entry_no", F.round("win_odds", 6).alias("win_odds"))
     out = pre.join(odds, ["contest_id", "entry_no"], "left").withColumn("has_odds", F.col("win_odds").isNotNull())
@@ -504,8 +505,7 @@ def point_lookup(spark, sf):
 
 def scratch(spark, tag: str) -> str:
     """A new path in the folder that driver and executors share."""
-    S.settled(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{tag}-{dt.datetime.now().timestamp()}"
+    return f"{S.own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 @query("select n_nationkey, n_name, n_regionkey, r_name from nation join region on n_regionkey = r_regionkey")

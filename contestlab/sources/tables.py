@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir, which driver and executors share; only a local session without
+    that setting gets one of its own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="contestlab-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return f"{place.rstrip('/')}/contestlab-{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read again: what follows does not work it out anew, whichever executors are
-    lost. The folder is spark.checkpoint.dir or the one set on the context; only a local session gets one of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            place = tempfile.mkdtemp(prefix="contestlab-")
-        sc.setCheckpointDir(place)
-    return df.checkpoint()
+    """df written to the shared folder and read again: what follows does not work it out anew, whichever executors are lost,
+    and reads only the columns that it needs."""
+    spark, path = df.sparkSession, f"{own_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has written in between. Results that were not written or collected are lost."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def where_expr(conditions: Mapping[str, object] | None) -> Column:
