@@ -102,7 +102,8 @@ def _psi(chunks: list[bytes]) -> bytes | None:
 
 def demux(media: bytes | None) -> dict:
     """What a stream holds: programs (number, table's PID), streams (program, PID, type), units (PID, presentation and
-    decoding time, random access, clock reference, payload) in order, and counts of lost_sync (packets without the sync
+    decoding time, random access, clock reference, payload, and whether it is whole: no packet is missing in it or between
+    it and the next unit, nor bytes of its stated length) in order, and counts of lost_sync (packets without the sync
     byte), continuity_errors, duplicates (a packet sent twice is dropped), bad_tables and a tail shorter than a packet.
     Null or empty: nothing."""
     raw = np.frombuffer(media or b"", np.uint8)
@@ -117,18 +118,22 @@ def demux(media: bytes | None) -> dict:
     flags = np.where(has_adapt & (size > 1), p[:, 5], 0)
     begin = np.minimum(4 + size, PACKET)
     lists: dict[int, np.ndarray] = {}
+    gaps: dict[int, np.ndarray] = {}
 
     def payloads(which: int) -> np.ndarray:
         """Indices of a PID's packets with payload, in order; continuity is checked once for each PID."""
         if which in lists:
             return lists[which]
         i = np.flatnonzero((pid == which) & has_data)
+        gaps[which] = np.zeros(len(i) + 1, bool)
         if len(i) > 1:
             step = (p[i[1:], 3].astype(np.int32) - p[i[:-1], 3]) & 15
             same = (step == 0) & (p[i[1:]] == p[i[:-1]]).all(1)
             seen["duplicates"] += int(same.sum())
-            seen["continuity_errors"] += int(((step != 1) & ~same & (flags[i[1:]] & 0x80 == 0)).sum())
+            lost = (step != 1) & ~same & (flags[i[1:]] & 0x80 == 0)
+            seen["continuity_errors"] += int(lost.sum())
             i = i[np.r_[True, ~same]]
+            gaps[which] = np.r_[False, lost[~same], False]  # before a packet, and at the end
         lists[which] = i
         return i
 
@@ -166,7 +171,8 @@ def demux(media: bytes | None) -> dict:
             dts = _time(pes[14:19]) if pes[7] & 0xC0 == 0xC0 and len(pes) >= 19 else pts
             f = int(flags[own[0]])
             pcr = int.from_bytes(p[own[0], 6:12].tobytes(), "big") >> 15 if f & 0x10 and size[own[0]] >= 8 else None
-            seen["units"].append((which, pts, dts, bool(f & 0x40), pcr, pes[head : 6 + n] if n else pes[head:]))
+            whole = not gaps[which][a + 1 : b + 1].any() and (not n or len(pes) >= 6 + n)
+            seen["units"].append((which, pts, dts, bool(f & 0x40), pcr, pes[head : 6 + n] if n else pes[head:], whole))
     return seen
 
 
@@ -189,7 +195,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return rest.withColumn("__s", put(F.col(text))).drop(text).select("*", "__s.*").drop("__s")
 
 
-UNITS = "pid int, pts long, dts long, random_access boolean, pcr long, size long, sha256 string"
+UNITS = "pid int, pts long, dts long, random_access boolean, pcr long, size long, sha256 string, whole boolean"
 REPORT = f"packets long, tail long, lost_sync long, continuity_errors long, duplicates long, bad_tables long, programs array<struct<number:int,pid:int>>, streams array<struct<program:int,pid:int,type:int>>, units array<struct<{', '.join(f.replace(' ', ':') for f in UNITS.split(', '))}>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string"
 
 
@@ -200,7 +206,7 @@ def inspect(media: DataFrame, column: str = "media") -> DataFrame:
     def report(x: bytes | None) -> tuple:
         d = demux(x)
         payload = b"".join(u[5] for u in d["units"])
-        units = [(*u[:5], len(u[5]), hashlib.sha256(u[5]).hexdigest()) for u in d["units"]]
+        units = [(*u[:5], len(u[5]), hashlib.sha256(u[5]).hexdigest(), u[6]) for u in d["units"]]
         return (*[d[k] for k in ("packets", "tail", "lost_sync", "continuity_errors", "duplicates", "bad_tables", "programs", "streams")], units, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(x or b"").hexdigest())
 
     names = [f.split()[0] for f in ("packets long, tail long, lost_sync long, continuity_errors long, duplicates long, bad_tables long, programs x, streams x, units x, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string").split(", ")]
