@@ -296,8 +296,10 @@ def test_chunk_tokenizer_equals_the_tokenizer():
 
     path = packing.public_tokenizer()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    texts = [t or "" for _, t, *_ in some_docs(30)] + ["A b. Σας ΣΑΣ. éa, x\x1cy z\x85w <|endoftext|> don't 123 İstanbul ẞ ok,. a.. b,, c.\n", "日本語 テスト。 ok", "a　b c\xa0d", "Ünï.", "x,\ty."]
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "a", "é", "́", ".", "B,", "don't", "|", "<", "日本", "12"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    texts += [t or "" for _, t, *_ in some_docs(30)] + ["A b. Σας ΣΑΣ. éa, x\x1cy z\x85w <|endoftext|> don't 123 İstanbul ẞ ok,. a.. b,, c.\n", "日本語 テスト。 ok", "a　b c\xa0d", "Ünï.", "x,\ty."]
     for t, ids in zip(texts, packing.ChunkTokenizer(path).ids(texts), strict=True):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
 
@@ -386,45 +388,3 @@ def test_scores_of_odd_tables(spark, docs):
     assert pitman_yor.score(df.limit(0), buckets=3).count() == 0
     twice = spark.createDataFrame([(1, "a b", True), (1, "a", True), (None, None, True)], "doc_id long, text string, training boolean")
     assert {r.doc_id: r.n_tokens for r in pitman_yor.score(twice, buckets=2).collect()} == {1: 5, None: 1}
-
-
-def test_predictive_probabilities_add_up():
-    """Over all words and one unknown, for each context, for one sample of the seating."""
-    rng = np.random.default_rng(0)
-    words = np.sort(rng.integers(1, 1 << 60, 50).astype(np.uint64))
-    sizes, contexts, counts = [], [], []
-    for _ in words:
-        c = np.sort(rng.choice(6, rng.integers(1, 6), replace=False)).astype(np.uint16)
-        sizes.append(len(c))
-        contexts.append(c)
-        counts.append(rng.integers(1, 30, len(c)).astype(np.uint64))
-    P = pitman_yor
-    context, count = np.concatenate(contexts), np.concatenate(counts)
-    row = type("Row", (), {"words": P.planes(np.diff(words, prepend=np.uint64(0))), "sizes": P.planes(np.array(sizes, np.uint32)), "contexts": P.planes(context), "docs": P.planes(count)})
-    customers = np.bincount(context, count.astype(float), minlength=P.CLASSES)
-    w = P.Words(row, P.Restaurants(customers, np.bincount(context, minlength=P.CLASSES).astype(float), 50.0, 50), 1)
-    for _ in range(3):  # totals as the rounds would sum them
-        w.sweep()
-        w.all = P.Restaurants(customers, np.bincount(context, w.tables, minlength=P.CLASSES), w.parent_t.sum(), 50)
-    g = w.all
-    p = g.parent_probability(w.parent_n, w.parent_t)
-    assert abs(p.sum() + g.parent_probability(0.0, 0.0) - 1) < 1e-9
-    for c in range(6):
-        own = (w.context == c).nonzero()[0]
-        total = ((w.count[own] - P.D1 * w.tables[own]) / (P.THETA1 + g.customers[c])).sum() + (P.THETA1 + P.D1 * g.tables[c]) / (P.THETA1 + g.customers[c])
-        assert abs(total - 1) < 1e-9
-    assert (w.tables <= w.count).all() and (w.tables >= 1).all()
-
-
-def test_seating_follows_the_process():
-    """Tables of the fast draw against one customer after another."""
-    rng, n, a0, d, p = np.random.default_rng(1), 40, 3.0, 0.5, 0.3
-    fast, _ = pitman_yor.seat(rng, np.full(20000, float(n)), np.full(20000, a0), d, np.full(20000, p))
-    slow = []
-    for _ in range(4000):
-        t = 1
-        for k in range(1, n):
-            new = (a0 + d * t) * p
-            t += rng.random() < new / (k - d * t + new)
-        slow.append(t)
-    assert abs(fast.mean() - np.mean(slow)) < 0.15 and abs(fast.std() - np.std(slow)) < 0.15
