@@ -21,6 +21,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and leaves all other bytes alone.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+#: bytes.translate table that keeps the bytes of search terms (digits, letters, all of other characters), A-Z as a-z, and makes
+#: all else a space.
+TERM_BYTES = bytes(c if c >= 0x80 or chr(c) in LOWER + "0123456789" else c + 32 if chr(c) in UPPER else 0x20 for c in range(256))
+#: Bytes of a text whose words are held as objects at once.
+STEP = 1 << 22
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -161,6 +167,29 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if raw else np.zeros(0, kind)
 
 
+def translated(texts: pa.Array, table: bytes) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text (null: none), put through a bytes.translate table that leaves bytes from 128 on alone."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]] if len(texts) else memoryview(b"")
+    raw, ends = memoryview(raw.tobytes().translate(table)), (ends - ends[0]).tolist() if len(texts) else []
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield raw[a:b]
+
+
+def term_lists(raw: memoryview, step: int = STEP) -> Iterator[list[bytes]]:
+    """The terms of a text put through TERM_BYTES, in order, a bounded part at a time."""
+    if len(raw) <= step:
+        yield raw.tobytes().split()
+        return
+    raw, a = raw.tobytes(), 0
+    while a < len(raw):
+        b = raw.find(b" ", a + step)
+        b = len(raw) if b < 0 else b
+        yield raw[a:b].split()
+        a = b
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once for each row however often body mentions it."""
     return F.transform(F.array(value), body)[0]

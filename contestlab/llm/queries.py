@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("chat", "jaccard", "language", "mixing", "packing", "pages", "pitman_yor", "quality", "transport", "warc")
+MODULES = ("chat", "exact", "jaccard", "language", "lexical", "mixing", "packing", "pages", "pitman_yor", "quality", "resampling", "transport", "warc")
 
 
 def queries() -> dict:
