@@ -136,22 +136,24 @@ class Searcher:
         stratum = np.repeat(np.arange(len(first)), np.diff([*first, len(norms)]))
         n = rest["n"].to_numpy()
         self.doc, tf = (rest[c].combine_chunks().flatten().to_numpy() for c in ("docs", "tfs"))
+        self.at = {x: k for k, x in enumerate(rest["term"].to_pylist())}
+        if not self.at:  # none of the terms is in this segment
+            return
         s, term = stratum[self.doc], np.repeat(np.arange(len(n)), n)
         run = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0))
         t = tf[run].astype(np.int64)
         once = 1_000_000_000 * t // (1000 * t + SATURATION * self.m[s[run]])  # no term's weight yet
         self.impact = np.repeat(once, np.diff([*run, len(tf)]))
         # term frequencies rise within a stratum and impacts with them: the last run's is the stratum's largest
-        cell = np.flatnonzero(np.diff(term * self.count + s, prepend=-1)) if self.count else run
+        cell = np.flatnonzero(np.diff(term * self.count + s, prepend=-1))
         self.start = np.zeros((len(n), self.count + 1), np.int64)
         lengths = np.zeros((len(n), self.count), np.int64)
         lengths[term[cell], s[cell]] = np.diff([*cell, len(tf)])
         self.start[:, 1:] = np.cumsum(lengths, axis=1)
-        self.start += np.concatenate([[0], np.cumsum(n)[:-1]])[:, None] if len(n) else 0
+        self.start += np.concatenate([[0], np.cumsum(n)[:-1]])[:, None]
         self.most = np.zeros((len(n), self.count), np.int64)
         ends = np.append(cell[1:], len(tf)) - 1
         self.most[term[cell], s[cell]] = self.impact[ends]
-        self.at = {x: k for k, x in enumerate(rest["term"].to_pylist())}
 
     def top(self, terms: list[tuple[str, int]], k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Documents (numbers in the segment) and scores of the k best for terms with their weights, of those that reach `least`:
