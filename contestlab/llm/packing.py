@@ -156,7 +156,8 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 0, le
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, placed one by one (longest first) where the sum over gaps of the squared number of
-    open bins with that gap becomes smallest; a tie goes to the smallest gap, and a new bin only where it is smaller."""
+    open bins with that gap becomes smallest; a tie goes to the smallest gap, and a new bin is opened only where no open one has
+    room, so that as few as can be are used."""
     lengths = np.asarray(lengths, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     n = np.zeros(capacity + 1, np.int64)
@@ -172,7 +173,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
             if n[s]:
                 change[0] = 1 - 2 * n[s]  # the bin is full then and counts no more
             gap = s + int(change.argmin())
-            fresh = change[gap - s] > 2 * n[capacity - s] + 1
+            fresh = change[gap - s] >= far
         if fresh:
             gap, b = capacity, made
             made += 1
@@ -209,8 +210,6 @@ def pack(items: DataFrame, length: str = "length", capacity: int = LENGTH) -> Da
     if not (count := items.count()):
         return items.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = materialise(_packed(items, length, count, capacity, 0), "packed")
-    if count <= SHARD:
-        return first.withColumnsRenamed({"bin": "sequence_id", "place": "offset"})
     fill = first.groupBy("bin").agg(F.sum(length).alias("fill"))
     loose = materialise(fill.where(F.col("fill") < REPACK_BELOW * capacity), "loose")
     out = first.join(_repacked(loose, capacity), "bin", "left")

@@ -1,6 +1,7 @@
 """Language ID, quality rules, the Jaccard join, mixing, packing and language-model scoring on small fixtures: brute force,
 nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import bisect
 import math
 import random
 import re
@@ -321,13 +322,13 @@ def test_sum_of_squares_places():
 
 
 def test_sum_of_squares_is_the_rule():
-    """Each placement by trying all gaps."""
+    """Each placement by trying all gaps with room, a new bin only where there is none."""
     rng = random.Random(8)
     lengths, cap = [rng.randrange(1, 13) for _ in range(200)], 12
     counts, ways = [0] * (cap + 1), []
     for s in sorted(lengths, reverse=True):
         best = None
-        for g in [*[g for g in range(s, cap) if counts[g]], cap]:
+        for g in [g for g in range(s, cap) if counts[g]] or [cap]:
             c = list(counts)
             if g < cap:
                 c[g] -= 1
@@ -343,6 +344,20 @@ def test_sum_of_squares_is_the_rule():
     assert [cap - int(o) for o in offsets[order]] == ways
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_as_few_sequences_as_best_fit(seed):
+    """Lengths spread as documents are: within one sequence of best-fit decreasing and of the bound."""
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(2048, rng.lognormal(6, 1.1, 6000).astype(int) + 1)
+    gaps, best = [], 0  # best-fit decreasing
+    for s in sorted(lengths.tolist(), reverse=True):
+        k = bisect.bisect_left(gaps, s)
+        best += k == len(gaps)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else 2048) - s)
+    used = int(packing.sum_of_squares(lengths, 2048)[0].max()) + 1
+    assert used <= best + 1 and used <= -(-int(lengths.sum()) // 2048) + 1
+
+
 def test_pack_documents(spark, docs, monkeypatch):
     df = docs.unionByName(docs.limit(5))
     out = packing.packed_documents(df).toPandas()
