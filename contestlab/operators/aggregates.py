@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contestlab.operators.ranks import exact_quantiles
+
 
 def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[f for c in cols for f in (F.count(c).alias(f"{c}_n"), F.sum(c).alias(f"{c}_sum"), F.sum(F.col(c) * F.col(c)).alias(f"{c}_sq"))])
@@ -43,9 +45,11 @@ def profile_share(df: DataFrame, key: str, category: str, categories: Sequence)
 
 def distribution_summary(df: DataFrame, group: Sequence[str], metric: str, label: str | None = None) -> DataFrame:
     """n, observed share, mean, deviation, median and percentiles of a metric, and the label's rate."""
-    p = lambda q: F.percentile(metric, F.lit(q))
     extra = [F.avg(label).alias("label_rate")] if label else []
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.count(metric).alias("n_present"), (F.count(metric) / F.count("*")).alias("present_rate"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.25).alias("p25"), p(0.75).alias("p75"), p(0.9).alias("p90"), *extra)
+    out = df.groupBy(*group).agg(F.count("*").alias("n"), F.count(metric).alias("n_present"), (F.count(metric) / F.count("*")).alias("present_rate"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"), *extra)
+    at = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    out = out.join(exact_quantiles(df, group, metric, [*at.values()]), list(group), "left")
+    return out.withColumns({c: F.col("quantiles")[i] for i, c in enumerate(at)}).drop("quantiles")
 
 
 def entity_summary(df: DataFrame, key: str, metric: str) -> DataFrame:
@@ -55,7 +59,9 @@ def entity_summary(df: DataFrame, key: str, metric: str) -> DataFrame:
 def availability_summary(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     long = df.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("__x")).select(label, "__x.*")
     rate = F.avg(F.when(F.col("value").isNotNull(), F.col(label)))
-    return long.groupBy("column_name").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("present_rate"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.1)).alias("p10"), F.percentile("value", F.lit(0.9)).alias("p90"), rate.alias("label_rate_present"))
+    out = long.groupBy("column_name").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("present_rate"), F.avg("value").alias("mean"), rate.alias("label_rate_present"))
+    q = exact_quantiles(long, ["column_name"], "value", [0.5, 0.1, 0.9])
+    return out.join(q, "column_name", "left").select("column_name", "present_rate", "mean", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("median", "p10", "p90"))], "label_rate_present")
 
 
 def draws_ranking(draws: DataFrame, key: str, value: str, rope: float) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import cut_bands, logit_clip
-from contestlab.sources.tables import settled
+from contestlab.sources.tables import SMALL, settled
 
 
 def block_bootstrap(df: DataFrame, value: str, block: str, reps: int, seed: int) -> DataFrame:
@@ -84,32 +84,62 @@ def _part(name: str):
     return lambda x: x[name]
 
 
-def main_effects(df: DataFrame, entity: str, cond: str, label: str, strength: float = 10.0, rounds: int = 10) -> DataFrame:
-    """Cells with an offset of entity and condition effects on the log-odds, both shrunk: alternating Newton steps over
-    the table of cell counts, which is all that is read again."""
-    cells = df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
-    rate = cells.agg(F.sum("k") / F.sum("n")).first()[0] or 0.5
-    base = logit_clip(F.lit(float(rate)))
-    cells = cells.withColumns({"e": F.lit(0.0), "c": F.lit(0.0)})
-    for i in range(rounds):
-        for key, name in ((entity, "e"), (cond, "c")):
-            p = 1 / (1 + F.exp(-(base + F.col("e") + F.col("c"))))
-            w = Window.partitionBy(key)
-            step = (F.sum(F.col("k") - F.col("n") * p).over(w) - strength * F.col(name)) / (F.sum(F.col("n") * p * (1 - p)).over(w) + strength)
-            cells = cells.withColumn(name, F.col(name) + step)
-        if i % 3 == 2:
-            cells = settled(cells)
-    return cells.withColumn("offset_p", 1 / (1 + F.exp(-(base + F.col("e") + F.col("c")))))
-
-
-def double_center(cells: DataFrame, a: str, b: str, value: str, weight: str, rounds: int = 20) -> DataFrame:
-    """Weighted double centring: row means and column means are taken off in turn."""
-    out = cells
+def _with_effect(cells: DataFrame, effects: DataFrame | None, key: str, name: str) -> DataFrame:
+    if effects is None:
+        return cells.withColumn(name, F.lit(0.0))
+    return cells.join(effects, F.col(key).eqNullSafe(F.col(f"__key_{name}"))).drop(f"__key_{name}")
+
+
+def alternate(cells: DataFrame, keys: Sequence[tuple[str, str]], update: Callable[[str], Column], rounds: int, tolerance: float) -> DataFrame:
+    """cells with an effect for each (key, name), fitted in turn: update(name) is the aggregate over a key's cells that gives its
+    new effect. Between steps only one small table for each key is kept, written so that no plan grows; a step joins them to
+    the cells and aggregates by the key, a hot key's cells before they are shuffled. It ends when no effect moves by more than
+    tolerance in a round, or after so many rounds. Null keys are keys."""
+    held = settled(cells)
+    found: dict[str, DataFrame | None] = {name: None for _, name in keys}
+
+    def fitted() -> DataFrame:
+        out = held
+        for key, name in keys:
+            out = _with_effect(out, found[name], key, name)
+        return out
+
     for _ in range(rounds):
-        for key in (a, b):
-            w = Window.partitionBy(key)
-            out = out.withColumn(value, F.col(value) - F.sum(F.col(value) * F.col(weight)).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0)))
-    return out
+        moved = 0.0
+        for key, name in keys:
+            new, seen = fitted().groupBy(F.col(key).alias(f"__key_{name}")).agg(update(name).alias("__new"), F.max(name).alias("__old")), Observation()
+            new = settled(new.observe(seen, F.max(F.abs(F.col("__new") - F.col("__old"))).alias("moved"), F.count(F.lit(1)).alias("rows")))
+            moved, e = max(moved, seen.get["moved"] or 0.0), new.select(f"__key_{name}", F.coalesce("__new", "__old").alias(name))
+            found[name] = F.broadcast(e) if seen.get["rows"] <= SMALL else e
+        if moved <= tolerance:
+            break
+    return fitted()
+
+
+def main_effects(df: DataFrame, entity: str, cond: str, label: str, strength: float = 10.0, rounds: int = 50, tolerance: float = 1e-12) -> DataFrame:
+    """Cells with an offset of entity and condition effects on the log-odds, both shrunk: Newton steps in turn over the table of
+    cell counts, which is all that is read again."""
+    cells = df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
+    rate = df.agg(F.sum(F.col(label).cast("double")) / F.count("*")).first()[0] or 0.5
+    p = 1 / (1 + F.exp(-(logit_clip(F.lit(float(rate))) + F.col("e") + F.col("c"))))
+
+    def newton(name: str) -> Column:
+        e = F.max(name)
+        return e + (F.sum(F.col("k") - F.col("n") * p) - strength * e) / (F.sum(F.col("n") * p * (1 - p)) + strength)
+
+    return alternate(cells, [(entity, "e"), (cond, "c")], newton, rounds, tolerance).withColumn("offset_p", p)
+
+
+def double_center(cells: DataFrame, a: str, b: str, value: str, weight: str, rounds: int = 20, tolerance: float = 1e-12) -> DataFrame:
+    """Weighted double centring: the means of rows and of columns are taken off in turn, until they no longer move. Cells with a
+    null value have no weight."""
+    w = F.when(F.col(value).isNotNull(), F.col(weight))
+
+    def mean(name: str) -> Column:
+        return F.sum((F.col(value) - F.col("__b" if name == "__a" else "__a")) * w) / F.nullif(F.sum(w), F.lit(0.0))
+
+    out = alternate(cells, [(a, "__a"), (b, "__b")], mean, rounds, tolerance)
+    return out.withColumn(value, F.col(value) - F.col("__a") - F.col("__b")).drop("__a", "__b")
 
 
 def screen_pairs(cells: DataFrame, min_cell: int, min_coverage: float, min_rms: float) -> DataFrame:

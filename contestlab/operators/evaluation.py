@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import wilson
+from contestlab.operators.ranks import average_ranks, distinct_counts, exact_quantiles, running_totals
 from contestlab.sources.tables import settled
 
 
@@ -89,11 +90,10 @@ def year_folds(df: DataFrame, year: str, contest: str) -> tuple[DataFrame, DataF
 
 
 def binary_metrics(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
-    """AUC by average ranks, Brier score and log-loss. Rows are counted by probability first, so the ranking sorts distinct
-    values; AUC is null where there is one class."""
-    v = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(*by, F.col(prob).alias("__p")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("k"))
-    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    """AUC by average ranks, Brier score and log-loss. Rows are counted by probability first, and distinct values are ranked in
+    ranges; AUC is null where there is one class."""
+    v = distinct_counts(df.where(F.col(label).isNotNull()).withColumn("__p", F.col(prob)), by, "__p", {"k": F.sum(F.col(label).cast("long"))})
+    v = running_totals(v, by, ["__p"], {"below": F.col("n")})
     p = F.least(F.greatest(F.col("__p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     a = v.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("k").alias("n_pos"), F.sum(F.col("k") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("__r"),
@@ -170,7 +170,8 @@ def condition_split(df: DataFrame, condition: str, features: Sequence[str], labe
 
 def reliability_table(df: DataFrame, prob: str, label: str, n: int) -> DataFrame:
     """Rows by quantile bins of the probability (equal edges are one): size, mean probability, rate and their gap."""
-    edges = sorted(set(df.agg(F.percentile(prob, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0] or []))
+    found = exact_quantiles(df, [], prob, [i / n for i in range(n + 1)]).first()
+    edges = sorted(set(found[0])) if found else []
     b = F.lit(0)
     for i, e in enumerate(edges[1:-1], 1):
         b = F.when(F.col(prob) > e, i).otherwise(b)
@@ -195,20 +196,18 @@ def error_metrics(df: DataFrame, actual: str, predictors: Sequence[str]) -> Data
 
 
 def gap_summary(df: DataFrame, split: str, delta: str, match: Column, label: str) -> DataFrame:
-    return df.groupBy(split).agg(F.count("*").alias("n"), F.avg(F.abs(delta)).alias("mean_abs"), F.median(F.abs(delta)).alias("median_abs"), F.avg(match.cast("double")).alias("match_rate"), F.avg(label).alias("label_rate"))
+    d = df.withColumn("__abs", F.abs(delta))
+    out = d.groupBy(split).agg(F.count("*").alias("n"), F.avg("__abs").alias("mean_abs"), F.avg(match.cast("double")).alias("match_rate"), F.avg(label).alias("label_rate"))
+    return out.join(exact_quantiles(d, [split], "__abs", [0.5]), split, "left").withColumn("median_abs", F.col("quantiles")[0]).drop("quantiles")
 
 
 def rank_buckets(df: DataFrame, column: str, tie: Sequence[str], n: int, name: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
-    """Bucket of the row's rank (ties by `tie`) between linear quantiles of the ranks. A value's share of earlier rows comes
-    from counts per value, so only equal values are sorted together; without `by`, distinct values are ranked in one
-    sorted pass over the value table."""
-    v = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by)
-    v = v.withColumns({"__below": F.coalesce(F.sum("__n").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__n").over(w)})
-    r = F.row_number().over(Window.partitionBy(*by, column).orderBy(*tie)) + F.col("__below")
-    q = F.least(F.lit(n), F.col("__all"))
-    b = F.greatest(F.lit(1), F.ceil((r - 1) * q / F.nullif(F.col("__all") - 1, F.lit(0)))).cast("int")
-    return df.join(v, [*by, column]).withColumn(name, F.coalesce(b, F.lit(1))).drop("__n", "__below", "__all")
+    """Bucket of the row's rank (ties by `tie`, which tells rows apart) between linear quantiles of the ranks. Rows are ranked in
+    ranges of column and tie together, so that a value that many rows share is no large task either."""
+    r = running_totals(df.where(F.col(column).isNotNull()), by, [column, *tie], {"__r": F.lit(1).cast("long")})
+    q = F.least(F.lit(n), F.col("__r_all"))
+    b = F.greatest(F.lit(1), F.ceil(F.col("__r") * q / F.nullif(F.col("__r_all") - 1, F.lit(0)))).cast("int")
+    return r.withColumn(name, F.coalesce(b, F.lit(1))).drop("__r", "__r_all")
 
 
 def bucket_summary(df: DataFrame, keys: Sequence[str], column: str, label: str) -> DataFrame:
@@ -229,13 +228,9 @@ def segment_contrast(df: DataFrame, keys: Sequence[str], bucket: str, label: str
 
 def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks."""
-    def ranks(c: str) -> DataFrame:
-        v = df.groupBy(*by, c).agg(F.count("*").alias("__n"))
-        below = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return v.select(*by, c, (below + (F.col("__n") + 1) / 2.0).alias(f"__r_{c}"))
-
-    both = df.join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
-    return both.groupBy(*by).agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rank_correlation"), F.count("*").alias("n"))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = d.join(average_ranks(d, by, x, "__r_x"), [*by, x]).join(average_ranks(d, by, y, "__r_y"), [*by, y])
+    return both.groupBy(*by).agg(F.corr("__r_x", "__r_y").alias("rank_correlation"), F.count("*").alias("n"))
 
 
 def effect_summary(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -259,15 +254,16 @@ def pairwise_tests(df: DataFrame, group: str, metric: str) -> DataFrame:
     """For each two groups (few by nature): mean and median difference, Cohen's d, the Kolmogorov-Smirnov distance and the
     Mann-Whitney U with its normal p-value. Values are counted first; cumulative counts run over distinct values."""
     d = df.where(F.col(metric).isNotNull())
-    s = d.groupBy(group).agg(F.count("*").alias("n"), F.avg(metric).alias("m"), F.var_samp(metric).alias("v"), F.median(metric).alias("med"))
+    s = d.groupBy(group).agg(F.count("*").alias("n"), F.avg(metric).alias("m"), F.var_samp(metric).alias("v"))
+    s = s.join(exact_quantiles(d, [group], metric, [0.5]), group).withColumn("med", F.col("quantiles")[0])
     side = lambda x: s.select(*[F.col(c).alias(f"{c}_{x}") for c in (group, "n", "m", "v", "med")])
     pairs = side("a").join(side("b"), F.col(f"{group}_a") < F.col(f"{group}_b"))
     counts = d.groupBy(group, metric).agg(F.count("*").alias("c"))
     a = pairs.join(counts, F.col(group) == F.col(f"{group}_a")).select(f"{group}_a", f"{group}_b", "n_a", "n_b", metric, F.col("c").alias("ca"), F.lit(0).cast("long").alias("cb"))
     b = pairs.join(counts, F.col(group) == F.col(f"{group}_b")).select(f"{group}_a", f"{group}_b", "n_a", "n_b", metric, F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb"))
     u = a.unionByName(b).groupBy(f"{group}_a", f"{group}_b", "n_a", "n_b", metric).agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    w = Window.partitionBy(f"{group}_a", f"{group}_b").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({"fa": F.sum("ca").over(w), "fb": F.sum("cb").over(w)})
+    u = running_totals(u, [f"{group}_a", f"{group}_b"], [metric], {"fa": F.col("ca"), "fb": F.col("cb")})
+    u = u.withColumns({"fa": F.col("fa") + F.col("ca"), "fb": F.col("fb") + F.col("cb")})
     t = u.groupBy(f"{group}_a", f"{group}_b").agg(F.max(F.abs(F.col("fa") / F.col("n_a") - F.col("fb") / F.col("n_b"))).alias("ks"), F.sum(F.col("ca") * (F.col("fb") - F.col("cb") / 2.0)).alias("u"))
     out = pairs.join(t, [f"{group}_a", f"{group}_b"])
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / F.nullif(F.col("n_a") + F.col("n_b") - 2, F.lit(0)))

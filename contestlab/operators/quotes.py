@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import kelly_stake, row_hash, safe_ln
+from contestlab.operators.ranks import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -156,8 +157,11 @@ def normalize_in_group(df: DataFrame, group: str, prob: str, name: str = "p_norm
 
 
 def delta_stats(df: DataFrame, a: str, b: str) -> DataFrame:
-    d = F.col(b) - F.col(a)
-    return df.agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.percentile(F.abs(d), F.lit(0.95)).alias("abs_p95"), F.percentile(F.abs(d), F.lit(0.99)).alias("abs_p99"), F.max(F.abs(d)).alias("abs_max"))
+    """Mean, deviation, exact upper percentiles and maximum of what b has over a."""
+    d, size = F.col(b) - F.col(a), F.abs(F.col(b) - F.col(a))
+    q = exact_quantiles(df.select(size.alias("__abs")), [], "__abs", [0.95, 0.99]).first()
+    high = [F.lit(x).cast("double") for x in (q[0] if q else (None, None))]
+    return df.agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.max(size).alias("abs_max")).select("mean", "sd", high[0].alias("abs_p95"), high[1].alias("abs_p99"), "abs_max")
 
 
 def pair_probabilities(df: DataFrame, group: str, order: str, prob: str, rounds: int = 200) -> DataFrame:

@@ -11,6 +11,7 @@ from contestlab.operators import evaluation as E
 from contestlab.operators import quotes as Q
 from contestlab.operators import windows as W
 from contestlab.plans.base import ENTRY, entries, query, r6, table
+from contestlab.sources.tables import settled
 
 MAX_AGE = 14_400.0
 
@@ -69,6 +70,11 @@ def bets(spark, sf) -> DataFrame:
     return e
 
 
+def held_bets(spark, sf) -> DataFrame:
+    """bets, written once: operators that rank values read them several times. Building such a query runs jobs."""
+    return settled(bets(spark, sf).select("contest_id", "entry_no", "held_date", "surface", "is_place", "prob", "prob2", "odds"))
+
+
 @query(f"""with {BETS} select contest_id, entry_no, round(prob, 6) prob, round(1 / odds, 6) implied_prob, round(edge, 6) edge, round(ev, 6) ev, case when odds > 1 and odds <= 3 then '1-3' when odds > 3 and odds <= 6 then '3-6' when odds > 6 and odds <= 11 then '6-11' end odds_band,
 round(case when odds > 1 then least(greatest((prob * odds - 1) / (odds - 1), 0), 0.05) end, 6) kelly_fraction, round(1 / (1 + exp(-(0.9::double * ln(prob / (1 - prob)) - 0.3::double * ln(odds) + 0.1))), 6) platt from bets""")
 def edge_kelly(spark, sf):
@@ -136,7 +142,7 @@ def normalized_probabilities(spark, sf):
 @query(f"""with {BETS}, d as (select prob2 - prob d from bets) select round(avg(d), 6) mean, round(stddev_samp(d), 6) sd, round(quantile_cont(abs(d), 0.95), 6) abs_p95, round(quantile_cont(abs(d), 0.99), 6) abs_p99, round(max(abs(d)), 6) abs_max from d""")
 def shift_statistics(spark, sf):
     """O19."""
-    return r6(Q.delta_stats(bets(spark, sf), "prob", "prob2"))
+    return r6(Q.delta_stats(held_bets(spark, sf), "prob", "prob2"))
 
 
 @query()
@@ -161,14 +167,14 @@ def residual_scores(spark, sf):
 select surface, count(*) n, sum(y)::bigint n_pos, round(avg((p - y) * (p - y)), 6) brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) logloss, round((sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))::double), 6) auc from r group by 1""")
 def binary_metrics(spark, sf):
     """Ranks of distinct values, not of rows."""
-    return r6(E.binary_metrics(bets(spark, sf), "is_place", "prob", ["surface"]))
+    return r6(E.binary_metrics(held_bets(spark, sf), "is_place", "prob", ["surface"]))
 
 
 @query(f"""with {BETS}, e as (select unnest(quantile_cont(prob, {[i / 10 for i in range(11)]})) e from bets), d as (select e, row_number() over (order by e) - 1 i from (select distinct e from e)), m as (select max(i) m from d), b as (select prob, is_place, coalesce((select max(i) from d, m where i > 0 and i < m and e < prob), 0) bin from bets)
 select bin::int bin, count(*) n, round(avg(prob), 6) p_mean, round(avg(is_place), 6) rate, round(avg(is_place) - avg(prob), 6) gap from b group by 1""")
 def reliability_table(spark, sf):
     """E14."""
-    return r6(E.reliability_table(bets(spark, sf), "prob", "is_place", 10))
+    return r6(E.reliability_table(held_bets(spark, sf), "prob", "is_place", 10))
 
 
 @query(f"""with {BETS} select case when odds <= 3 then '1-3' when odds <= 6 then '3-6' else '6-11' end band, count(*) n, round(avg(prob), 6) p_mean, round(avg(is_place), 6) rate, round(avg(is_place) - avg(prob), 6) gap from bets group by 1 having count(*) >= 50""")
@@ -187,7 +193,7 @@ def cohort_error_metrics(spark, sf):
 @query(f"""with {BETS} select surface, count(*) n, round(avg(abs(prob2 - prob)), 6) mean_abs, round(median(abs(prob2 - prob)), 6) median_abs, round(avg(((prob >= 0.5)::int = is_place)::int), 6) match_rate, round(avg(is_place), 6) label_rate from bets group by 1""")
 def gap_summary(spark, sf):
     """E18."""
-    b = bets(spark, sf).withColumn("delta", F.col("prob2") - F.col("prob"))
+    b = held_bets(spark, sf).withColumn("delta", F.col("prob2") - F.col("prob"))
     return r6(E.gap_summary(b, "surface", "delta", (F.col("prob") >= 0.5).cast("int") == F.col("is_place"), "is_place"))
 
 
@@ -198,21 +204,21 @@ WILSON = "round(sum(is_place)::double / count(*), 6) rate, round((sum(is_place):
 @query(f"with {BETS}, b as (select *, {BUCKET.format(by='surface', c='odds')} bucket from bets) select surface, bucket, count(*) n, round(avg(odds), 6) mean, sum(is_place)::bigint k, {WILSON} from b group by all")
 def decile_wilson(spark, sf):
     """E19, E20."""
-    b = E.rank_buckets(bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, by=["surface"])
+    b = E.rank_buckets(held_bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, by=["surface"])
     return r6(E.bucket_summary(b, ["surface", "bucket"], "odds", "is_place"))
 
 
 @query(f"with {BETS}, b as (select *, {BUCKET.format(by='surface', c='odds')} bucket from bets) select surface, count(*) filter (bucket = 1) n_first, count(*) filter (bucket = 10) n_last, round(avg(is_place) filter (bucket = 1), 6) rate_first, round(avg(is_place) filter (bucket = 10), 6) rate_last, round(avg(is_place) filter (bucket = 1) - avg(is_place) filter (bucket = 10), 6) difference from b group by 1")
 def segment_contrast(spark, sf):
     """E21, E23."""
-    b = E.rank_buckets(bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, by=["surface"])
+    b = E.rank_buckets(held_bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, by=["surface"])
     return r6(E.segment_contrast(b, ["surface"], "bucket", "is_place"))
 
 
 @query(f"with {BETS}, b as (select *, {BUCKET.format(by='surface', c='odds')} x, {BUCKET.format(by='surface', c='prob')} y from bets) select surface, x, y, count(*) n, round(avg(prob), 6) mean, sum(is_place)::bigint k, {WILSON} from b group by all")
 def heatmap_wilson(spark, sf):
     """E22."""
-    b = E.rank_buckets(bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, "x", ["surface"])
+    b = E.rank_buckets(held_bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, "x", ["surface"])
     b = E.rank_buckets(b, "prob", ["contest_id", "entry_no"], 10, "y", ["surface"])
     return r6(E.bucket_summary(b, ["surface", "x", "y"], "prob", "is_place"))
 
@@ -220,7 +226,7 @@ def heatmap_wilson(spark, sf):
 @query(f"""with {BETS}, r as (select surface, rank() over (partition by surface order by prob) + (count(*) over (partition by surface, prob) - 1) / 2.0 x, rank() over (partition by surface order by odds) + (count(*) over (partition by surface, odds) - 1) / 2.0 y from bets) select surface, round(corr(x, y), 6) rank_correlation, count(*) n from r group by 1""")
 def rank_correlation(spark, sf):
     """E24."""
-    return r6(E.rank_correlation(bets(spark, sf), "prob", "odds", ["surface"]))
+    return r6(E.rank_correlation(held_bets(spark, sf), "prob", "odds", ["surface"]))
 
 
 @query(f"""with {BETS}, s as (select surface g, count(*) n, avg(odds) m, var_samp(odds) v, median(odds) med from bets group by 1), p as (select a.g surface_a, b.g surface_b, a.n na, b.n nb, a.m - b.m mean_diff, a.med - b.med median_diff, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) cohen_d from s a join s b on a.g < b.g),
@@ -228,7 +234,7 @@ x as (select surface_a, surface_b, na, nb, odds, count(*) filter (surface = surf
 t as (select surface_a, surface_b, max(abs(fa / na::double - fb / nb::double)) ks, sum(ca * (fb - cb / 2.0::double))::double u from w group by 1, 2) select surface_a, surface_b, round(mean_diff, 6) mean_diff, round(median_diff, 6) median_diff, round(cohen_d, 6) cohen_d, round(ks, 6) ks, round(u, 2) u from p join t using (surface_a, surface_b)""")
 def pairwise_tests(spark, sf):
     """E25."""
-    return r6(E.pairwise_tests(bets(spark, sf), "surface", "odds").drop("p_value"))
+    return r6(E.pairwise_tests(held_bets(spark, sf), "surface", "odds").drop("p_value"))
 
 
 @query(f"""with {BETS}, b as (select case when abs(prob - is_place) <= 0.33 then 'le_0.33' when abs(prob - is_place) <= 0.66 then 'le_0.66' when abs(prob - is_place) <= 1 then 'le_1.00' end band, is_place from bets) select band, count(*) n, round(avg(is_place), 6) rate from b group by 1""")
@@ -289,10 +295,23 @@ def screened_pair(spark, sf):
     return r6(X.screen_pairs(X.cell_effects(bets(spark, sf), "runner", "surface", "prob", "is_place"), 5, 0.5, 0.01))
 
 
-@query()
+def _main_effects_sql(rounds: int = 10, strength: float = 10.0) -> str:
+    """Alternating Newton steps, a table a step."""
+    parts = ["g as (select ln(sum(is_place) / (count(*) - sum(is_place))) b from entry)"]
+    parts.append("t0 as (select rider, surface, count(*) n, sum(is_place)::double k, 0::double e, 0::double c from entry group by all)")
+    for i in range(2 * rounds):
+        key, x = ("rider", "e") if i % 2 == 0 else ("surface", "c")
+        step = f"(sum(k - n * p) over (partition by {key}) - {strength} * {x}) / (sum(n * p * (1 - p)) over (partition by {key}) + {strength})"
+        kept = ", ".join(f"{x} + {step} {x}" if y == x else y for y in "ec")
+        parts.append(f"t{i + 1} as materialized (select rider, surface, n, k, {kept} from (select *, 1 / (1 + exp(-(b + e + c))) p from t{i}, g))")
+    return f"""with {ENTRY}, {', '.join(parts)}
+select rider, surface, n, k, round(e, 6) e, round(c, 6) c, round(1 / (1 + exp(-(b + e + c))), 6) offset_p from t{2 * rounds}, g"""
+
+
+@query(_main_effects_sql())
 def main_effects(spark, sf):
-    """E28."""
-    return r6(X.main_effects(entries(spark, sf), "rider", "surface", "is_place"))
+    """Effects of rider and surface on the log-odds, fitted in turn, ten rounds as in the SQL."""
+    return r6(X.main_effects(entries(spark, sf), "rider", "surface", "is_place", rounds=10))
 
 
 def _centred_sql(rounds: int = 20) -> str:

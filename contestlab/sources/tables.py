@@ -31,6 +31,10 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written table is broadcast.
+SMALL = 100_000
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all that this application has written in between. Results that were not written or collected are lost."""
     place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
