@@ -14,17 +14,47 @@ def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one side alone, repeats counted."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+#: Buckets whose checksums are compared first; the unequal ones, at most so many small rows, are broadcast.
+BUCKETS = 1 << 16
+
+
+def _row_hash(cols: Sequence[str]) -> Column:
+    """64 bits of a row; where the nulls are counts too."""
+    return F.xxhash64(*cols, *[F.isnull(c) for c in cols])
+
+
+def _unequal(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides in the buckets (of the keys) whose checksums differ: number of rows, and sums of both halves of
+    their hashes. Each task adds up its own rows, so only checksums are shuffled; equal buckets' rows stay where they are."""
+    def split(df: DataFrame) -> DataFrame:
+        return df.withColumn("__bucket", F.pmod(_row_hash(keys), F.lit(buckets)).cast("int"))
+
+    def sums(df: DataFrame) -> DataFrame:
+        h = _row_hash(cols)
+        return df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"))
+
+    x, y = split(a), split(b)
+    both = sums(x).withColumn("__side", F.lit(1)).unionByName(sums(y).withColumn("__side", F.lit(2)))
+    bad = both.groupBy("__bucket", "n", "high", "low").agg(F.count(F.lit(1)).alias("sides")).where("sides = 1").select("__bucket").distinct()
+    return tuple(z.join(F.broadcast(bad), "__bucket", "left_semi").drop("__bucket") for z in (x, y))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of one side alone, repeats counted. Checksums of buckets are compared first, and rows only where they differ (rows of a
+    bucket that differ and have the same count and the same sums of 64-bit hashes would go unseen)."""
+    x, y = _unequal(a, b.select(*a.columns), a.columns, a.columns, buckets)
+    return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
 
 
 def column_boundary(df: DataFrame, allowed: Sequence[str] | None = None, forbidden: Sequence[str] = ()) -> DataFrame:
-    """Columns that are not allowed, missing, or forbidden."""
-    rows = [(c, "forbidden") for c in df.columns if c in forbidden]
-    if allowed is not None:
-        rows += [(c, "not_allowed") for c in df.columns if c not in allowed] + [(c, "missing") for c in allowed if c not in df.columns]
-    return df.sparkSession.createDataFrame(rows, "column_name string, violation string")
+    """Columns that are not allowed, missing, or forbidden, with the number of rows in which they hold a value: what would leak
+    through the boundary. One aggregate counts all of them."""
+    bad = {c: "forbidden" if c in forbidden else "not_allowed" for c in df.columns if c in forbidden or allowed is not None and c not in allowed}
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(v).alias("violation"), F.count(c).alias("n_values")) for c, v in bad.items()]
+    rows += [F.struct(F.lit(c).alias("column_name"), F.lit("missing").alias("violation"), F.lit(0).cast("long").alias("n_values")) for c in allowed or () if c not in df.columns]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, violation string, n_values long")
+    return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -65,9 +95,11 @@ def broken_pointer(entries: DataFrame, history: DataFrame, key: str, date: str,
     return past.where(F.col(end) != F.coalesce(f"last_{number}", F.lit(0))).withColumnRenamed(f"last_{number}", "last_no")
 
 
-def rows_differ(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Keys whose rows differ in any column, nulls being equal to each other."""
-    x, y = a.select(*keys, F.struct(*cols).alias("left_row")), b.select(*keys, F.struct(*cols).alias("right_row"))
+def rows_differ(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Keys whose rows differ in any column, nulls being equal to each other. Only the rows of buckets whose checksums differ are
+    joined."""
+    x, y = _unequal(a.select(*keys, *cols), b.select(*keys, *cols), keys, [*keys, *cols], buckets)
+    x, y = x.select(*keys, F.struct(*cols).alias("left_row")), y.select(*keys, F.struct(*cols).alias("right_row"))
     return x.join(y, list(keys), "full").where(~F.col("left_row").eqNullSafe(F.col("right_row")))
 
 

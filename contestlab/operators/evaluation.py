@@ -1,14 +1,16 @@
-"""Splits, preprocessing, metrics, reliability and summaries. Models come from Spark ML; everything else is columns."""
+"""Splits, preprocessing, metrics, reliability and summaries."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import wilson
+from contestlab.operators.boosting import grow
 from contestlab.operators.ranks import average_ranks, distinct_counts, exact_quantiles, running_totals
+from contestlab.operators.regression import fitted, logistic_fits, standardised
 from contestlab.sources.tables import settled
 
 
@@ -103,69 +105,74 @@ def binary_metrics(df: DataFrame, label: str, prob: str, by: Sequence[str] = ())
     return a.withColumn("auc", (F.col("__r") - k * (k + 1) / 2) / F.nullif(k * (n - k), F.lit(0.0))).drop("__r")
 
 
-def features_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
-
-def train_binary(df: DataFrame, features: Sequence[str], label: str, iterations: int = 10, depth: int = 4, seed: int = 1):
-    """A boosted-tree model on Spark ML."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed).fit(features_vector(df, features))
-
-
-def predict(model, df: DataFrame, features: Sequence[str], name: str = "p") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(features_vector(df, features))
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def importance_table(model, features: Sequence[str], spark) -> DataFrame:
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def oof_predictions(df: DataFrame, year: str, contest: str, features: Sequence[str], label: str) -> DataFrame:
-    folds, leaks = year_folds(df, year, contest)
-    if not leaks.isEmpty():
+def oof_predictions(df: DataFrame, year: str, contest: str, features: Sequence[str], label: str, iterations: int = 10, depth: int = 4) -> DataFrame:
+    """Each row of every year but the first with p, as the model of all earlier years says; the models of all years grow side by
+    side. Raises where a contest stands on both sides of a fold."""
+    years = sorted(r[0] for r in df.select(year).distinct().collect())
+    if not df.groupBy(contest).agg(F.count_distinct(year).alias("n")).where("n > 1").isEmpty():
         raise ValueError("contests on both sides of a fold")
-    out = None
-    for (y,) in sorted(folds.select("fold").distinct().collect()):
-        f = folds.where(F.col("fold") == y)
-        p = predict(train_binary(f.where("part = 'train'"), features, label), f.where("part = 'validation'"), features)
-        out = p if out is None else out.unionByName(p)
-    return out
+    later = F.filter(F.array(*[F.lit(str(y)) for y in years[1:]]), lambda y: y > F.col(year).cast("string")) if len(years) > 1 else F.array().cast("array<string>")
+    trees = grow(df, features, label, later, iterations, depth)
+    out = trees.probabilities(df.where(F.col(year) > F.lit(years[0])) if years else df, F.array(F.col(year).cast("string")), "__p")
+    return out.withColumn("p", F.col("__p")[0]).drop("__p")
 
 
-def platt_fit(oof: DataFrame, logit: str, ln_odds: str, label: str):
+def platt_fit(oof: DataFrame, logit: str, ln_odds: str, label: str) -> tuple[float, float, float]:
     """Logistic regression of the label on the model's logit and the log price, with L2 strength 1."""
-    from pyspark.ml.classification import LogisticRegression
-
-    n = oof.count()
-    m = LogisticRegression(labelCol=label, featuresCol="features", regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(features_vector(oof, [logit, ln_odds]))
-    return (*m.coefficients.toArray().tolist(), m.intercept)
-
-
-def condition_split(df: DataFrame, condition: str, features: Sequence[str], label: str, train: Column, least: int = 100) -> DataFrame:
-    """Per condition: metrics of the model of all rows and of a model of the condition's rows alone, both on the
-    condition's test rows; conditions too small are skipped with the reason."""
-    test = df.where(~train)
-    out = predict(train_binary(df.where(train), features, label), test, features, "p_base")
-    sizes = df.where(train).groupBy(condition).agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes")).collect()
-    rows = binary_metrics(out, label, "p_base", [condition]).select(condition, F.col("n").alias("test_rows"), F.col("auc").alias("auc_base"), F.col("logloss").alias("logloss_base"))
-    local = None
-    for r in sizes:
-        if r["n"] >= least and r["classes"] == 2:
-            here = F.col(condition) == r[condition]
-            p = binary_metrics(predict(train_binary(df.where(train & here), features, label), test.where(here), features), label, "p", [condition])
-            local = p if local is None else local.unionByName(p)
-    if local is None:
-        return rows.withColumns({"auc_local": F.lit(None).cast("double"), "logloss_local": F.lit(None).cast("double"), "skip_reason": F.lit("too_few_rows")})
-    local = local.select(condition, F.col("auc").alias("auc_local"), F.col("logloss").alias("logloss_local"))
-    return rows.join(local, condition, "left").withColumn("skip_reason", F.when(F.col("logloss_local").isNull(), "too_few_rows"))
+    fit = logistic_fits(oof, label, {"platt": [logit, ln_odds]})["platt"]
+    if fit.coef is None:
+        raise ValueError("labels of one class only")
+    return fit.coef[logit], fit.coef[ln_odds], fit.intercept
+
+
+def compare_slices(df: DataFrame, condition: str, label: str, base: str, local: str, least: int = 100, sizes: DataFrame | None = None) -> DataFrame:
+    """Per condition: the metrics of two predictions for its rows side by side, what local gains over base, and whether the
+    log-loss is better. sizes (condition, train_rows, train_positives) says which local models may be compared: those with rows
+    enough and both classes; others are skipped with the reason."""
+    sides = F.array(F.struct(F.lit("base").alias("side"), F.col(base).alias("p")), F.struct(F.lit("local").alias("side"), F.col(local).alias("p")))
+    long = df.select(condition, F.col(label).alias("y"), F.explode(sides).alias("x")).select(condition, "y", "x.*")
+    m = binary_metrics(long, "y", "p", [condition, "side"])
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    wide = m.groupBy(condition).agg(F.coalesce(pick("base", "n"), F.lit(0)).alias("test_rows"), *[pick(s, c).alias(f"{c}_{s}") for s in ("base", "local") for c in ("auc", "brier", "logloss")])
+    if sizes is None:
+        sizes = wide.select(condition, F.lit(least).alias("train_rows"), F.lit(1).alias("train_positives"))
+    wide = sizes.join(wide, condition, "left")
+    few, single = F.col("train_rows") < least, F.col("train_positives").isin(0) | (F.col("train_positives") == F.col("train_rows"))
+    reason = F.when(few, "too_few_rows").when(single, "single_class").when(F.coalesce("test_rows", F.lit(0)) == 0, "no_test_rows")
+    out = wide.withColumn("skip_reason", reason)
+    out = out.withColumns({f"{c}_local": F.when(F.col("skip_reason").isNull(), F.col(f"{c}_local")) for c in ("auc", "brier", "logloss")})
+    out = out.withColumns({f"delta_{c}": F.col(f"{c}_local") - F.col(f"{c}_base") for c in ("auc", "brier", "logloss")})
+    return out.withColumns({"test_rows": F.coalesce("test_rows", F.lit(0)), "improved": F.col("delta_logloss") < 0})
+
+
+def summarise_slices(slices: DataFrame) -> DataFrame:
+    """One row for all slices of compare_slices(): counts, and means of metrics and deltas over the compared ones, weighted by test
+    rows (a null metric has no weight)."""
+    compared = F.col("logloss_local").isNotNull()
+    n = F.when(compared, F.col("test_rows"))
+
+    def mean(c: str) -> Column:
+        return F.sum(F.col(c) * n) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), n)), F.lit(0))
+
+    names = [f"{c}_{s}" for s in ("base", "local") for c in ("auc", "brier", "logloss")] + [f"delta_{c}" for c in ("auc", "brier", "logloss")]
+    rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("test_rows"))), F.lit(0))
+    return slices.agg(
+        F.count("*").alias("slices"), F.count_if(compared).alias("compared_slices"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped_slices"), F.count_if("improved").alias("improved_slices"),
+        rows(F.lit(True)).alias("test_rows"), rows(compared).alias("compared_test_rows"), rows(F.coalesce("improved", F.lit(False))).alias("improved_test_rows"), *[mean(c).alias(f"weighted_{c}") for c in names],
+    )
+
+
+def condition_split(df: DataFrame, condition: str, features: Sequence[str], label: str, train: Column, least: int = 100, iterations: int = 10, depth: int = 4) -> DataFrame:
+    """compare_slices() of a model of all training rows and a model of the condition's training rows alone, both tried on the
+    condition's test rows. All models grow side by side; rows without a condition count for the first one only."""
+    base, own = F.lit("all"), F.concat(F.lit("of:"), F.col(condition).cast("string"))
+    held = settled(df.select(condition, *features, label, F.coalesce(train, F.lit(False)).alias("__train")))
+    both = F.when(own.isNotNull(), F.array(base, own)).otherwise(F.array(base))
+    learning = held.where("__train")
+    trees = grow(learning, features, label, both, iterations, depth)
+    test = trees.probabilities(held.where(~F.col("__train") & own.isNotNull()), F.array(base, own), "__p")
+    sizes = learning.where(own.isNotNull() & F.col(label).isNotNull()).groupBy(condition).agg(F.count("*").alias("train_rows"), F.sum(F.col(label).cast("long")).alias("train_positives"))
+    return compare_slices(test.select(condition, label, F.col("__p")[0].alias("p_base"), F.col("__p")[1].alias("p_local")), condition, label, "p_base", "p_local", least, sizes)
 
 
 def reliability_table(df: DataFrame, prob: str, label: str, n: int) -> DataFrame:
@@ -233,21 +240,61 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     return both.groupBy(*by).agg(F.corr("__r_x", "__r_y").alias("rank_correlation"), F.count("*").alias("n"))
 
 
-def effect_summary(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Per column: standardised logistic coefficient (L2 strength 1), group means and rank correlation."""
-    from pyspark.ml.classification import LogisticRegression
-
-    spark, rows = df.sparkSession, []
-    for c in cols:
-        d = df.where(F.col(c).isNotNull() & F.col(label).isNotNull())
-        s = d.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.count("*").alias("n"), F.avg(F.when(F.col(label) == 1, F.col(c))).alias("m1"), F.avg(F.when(F.col(label) == 0, F.col(c))).alias("m0")).first()
-        if not s["n"] or not s["s"]:
-            rows.append((c, None, s["m1"], s["m0"], None, s["n"]))
-            continue
-        z = features_vector(d.withColumn("__z", (F.col(c) - s["m"]) / s["s"]), ["__z"])
-        fit = LogisticRegression(labelCol=label, regParam=1.0 / s["n"], standardization=False).fit(z)
-        rows.append((c, float(fit.coefficients[0]), s["m1"], s["m0"], rank_correlation(d, c, label).first()[0], s["n"]))
-    return spark.createDataFrame(rows, "column_name string, effect double, mean_positive double, mean_negative double, rank_correlation double, n long")
+def _model_metrics(df: DataFrame, label: str, fits: dict) -> dict[str, dict]:
+    rows = binary_metrics(fitted(df, label, fits), "y", "p", ["design"]).collect()
+    return {r["design"]: {c: r[c] for c in ("n", "auc", "brier", "logloss")} for r in rows}
+
+
+def effect_summary(df: DataFrame, cols: Sequence[str], label: str, controls: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Per column: size, label rate, means by label and their difference, the rank correlation with `order` (the label if none is
+    given), the standardised logistic coefficient (L2 strength 1) alone and beside the controls, and both models' metrics. All
+    columns and both designs are fitted by the same passes. A column counts where it and the label have a value; one that is
+    constant, or whose rows have one class, has a null effect."""
+    spark, known = df.sparkSession, F.col(label).isNotNull()
+    held = settled(standardised(df.select(label, *dict.fromkeys([*cols, *controls, *([order] if order else [])])), cols, dict.fromkeys(cols, known)))
+    designs = {f"{c}/alone": [f"{c}_z"] for c in cols} | ({f"{c}/controlled": [f"{c}_z", *controls] for c in cols} if controls else {})
+    fits = logistic_fits(held, label, designs)
+    metrics = _model_metrics(held, label, fits)
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
+    long = held.select(F.col(label).cast("double").alias("y"), F.col(order or label).cast("double").alias("__order"), F.explode(F.array(*each)).alias("x")).select("x.*", "y", "__order").where("value is not null and y is not null")
+    one, zero = F.avg(F.when(F.col("y") >= 0.5, F.col("value"))), F.avg(F.when(F.col("y") < 0.5, F.col("value")))
+    means = long.groupBy("column_name").agg(F.count("*").alias("n"), F.avg("y").alias("label_rate"), one.alias("mean_positive"), zero.alias("mean_negative"), (one - zero).alias("mean_difference"), F.stddev_pop("value").alias("__sd"))
+    rank = rank_correlation(long, "value", "__order", ["column_name"]).select("column_name", "rank_correlation")
+
+    def row(c: str) -> tuple:
+        out: list = [c]
+        for d in (f"{c}/alone", f"{c}/controlled"):
+            f, m = fits.get(d), metrics.get(d, {})
+            out += [f.coef[f"{c}_z"] if f and f.coef else None, m.get("auc"), m.get("brier"), m.get("logloss"), f.rows if f else None]
+        return tuple(out)
+
+    schema = "column_name string, " + ", ".join(f"effect{s} double, auc{s} double, brier{s} double, logloss{s} double, n_model{s} long" for s in ("", "_controlled"))
+    models = F.broadcast(spark.createDataFrame([row(c) for c in cols], schema))  # a row for each column of df that is looked at
+    out = means.join(models, "column_name").join(rank, "column_name", "left").withColumns({e: F.when(F.col("__sd") > 0, F.col(e)) for e in ("effect", "effect_controlled")})
+    return out.drop("__sd", "n_model")
+
+
+def interaction_effects(df: DataFrame, pairs: Mapping[str, tuple[str, str]], label: str, derived: Callable[[str, str], Column], controls: Sequence[str] = ()) -> DataFrame:
+    """Per pair of columns (first, second), over the rows that have both and the label: the coefficient of the product of their
+    standardised values in a model that has both, and that of a standardised column derived from them beside the controls. Signs
+    of the single columns are turned, as smaller is better; all pairs are fitted by the same passes."""
+    spark, known = df.sparkSession, F.col(label).isNotNull()
+    have = {k: known & F.col(a).isNotNull() & F.col(b).isNotNull() for k, (a, b) in pairs.items()}
+    wide = df.withColumns({f"{k}__{i}": F.when(have[k], c) for k, (a, b) in pairs.items() for i, c in enumerate((F.col(a).cast("double"), F.col(b).cast("double"), derived(a, b)))})
+    names = [f"{k}__{i}" for k in pairs for i in range(3)]
+    held = standardised(wide.select(label, *controls, *names), names).withColumns({f"{k}__{i}_z": -F.col(f"{k}__{i}_z") for k in pairs for i in (0, 1)})
+    held = settled(held.withColumns({f"{k}__x": F.col(f"{k}__0_z") * F.col(f"{k}__1_z") for k in pairs}))
+    designs = {f"{k}/product": [f"{k}__0_z", f"{k}__1_z", f"{k}__x"] for k in pairs} | {f"{k}/derived": [f"{k}__2_z", *controls] for k in pairs}
+    fits = logistic_fits(held, label, designs)
+    metrics = _model_metrics(held, label, fits)
+    means = held.agg(*[f for k in pairs for f in (*[F.avg(f"{k}__{i}").alias(f"{k}__{i}") for i in range(3)], F.count(f"{k}__x").alias(f"{k}_n"))]).first()
+
+    def row(k: str) -> tuple:
+        p, d = fits[f"{k}/product"], fits[f"{k}/derived"]
+        a, b = metrics.get(f"{k}/product", {}), metrics.get(f"{k}/derived", {})
+        return (k, means[f"{k}_n"], *[means[f"{k}__{i}"] for i in range(3)], p.coef[f"{k}__x"] if p.coef else None, a.get("auc"), a.get("brier"), d.coef[f"{k}__2_z"] if d.coef else None, b.get("auc"), b.get("brier"))
+
+    return spark.createDataFrame([row(k) for k in pairs], "pair string, n long, mean_first double, mean_second double, mean_derived double, product_effect double, product_auc double, product_brier double, derived_effect double, derived_auc double, derived_brier double")
 
 
 def pairwise_tests(df: DataFrame, group: str, metric: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contestlab.functions import columns as C
@@ -9,6 +11,7 @@ from contestlab.operators import aggregates as A
 from contestlab.operators import joins as J
 from contestlab.operators import windows as W
 from contestlab.plans.base import entries, query, r6, table
+from contestlab.operators.incremental import KeptRates
 from contestlab.sources import tables as S
 
 RATE = """with /*ENTRY*/, p as (select {keys}, date_trunc('{unit}', held_date)::date period, count(*) n, sum({label}) k from entry group by all),
@@ -374,3 +377,31 @@ def sparse_filter(spark, sf):
     """FL6."""
     f = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("c"))
     return J.sparse_filter(f, "g", "c", 400, 12, 25).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query(RATE.format(keys="rider", unit="month", label="is_place", m=35, prior=0.3, strength=20))
+def incremental_rates(spark, sf):
+    """Rates kept as a table: built while some rows are missing or wrong, then refreshed with the late and the
+    corrected ones. The SQL computes all from scratch."""
+    e = S.settled(entries(spark, sf).select("contest_id", "rider", "held_date", "is_place"))
+    late = (F.col("contest_id") % 97 == 5) & F.month("held_date").isin(3, 4)
+    wrong = (F.col("contest_id") % 89 == 7) & (F.month("held_date") == 10)
+    kept = KeptRates(spark, f"{S.own_dir(spark)}/rates-{uuid.uuid4().hex}", ["rider"], "held_date", "is_place", 35, "month", 0.3, 20)
+    kept.rebuild(e.where(~late).withColumn("is_place", F.when(wrong, 1 - F.col("is_place")).otherwise(F.col("is_place"))))
+    kept.refresh(e, e.where(late | wrong).select("held_date"))
+    return r6(spark.read.parquet(kept.rates).select("rider", "period", "past_n", "past_k", "rate"))
+
+
+@query("""select o_orderkey, o_custkey, o_totalprice, extract(year from o_orderdate)::int as year from orders""")
+def jdbc_orders(spark, sf):
+    """Orders through a database, read back in even parts by their price. The database (one that Spark brings along) lives in
+    the driver, so elsewhere than in a local session contestlab.jdbc.url must name one that all executors reach."""
+    url = spark.conf.get("contestlab.jdbc.url", None)
+    if not url:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set contestlab.jdbc.url to a database that all executors reach")
+        url = f"jdbc:derby:memory:contestlab{uuid.uuid4().hex};create=true"
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("held_year"))
+    name = f"orders_{uuid.uuid4().hex}"
+    o.write.jdbc(url, name, properties={"batchsize": "5000"})
+    return S.read_jdbc_even(spark, url, name, "o_totalprice", 8).withColumnRenamed("held_year", "year")

@@ -10,6 +10,7 @@ from contestlab.operators import effects as X
 from contestlab.operators import evaluation as E
 from contestlab.operators import quotes as Q
 from contestlab.operators import windows as W
+from contestlab.operators.boosting import grow
 from contestlab.plans.base import ENTRY, entries, query, r6, table
 from contestlab.sources.tables import settled
 
@@ -405,30 +406,69 @@ def sampled_entries(spark, sf):
     return X.sample_per_group(entries(spark, sf).withColumn("year", F.year("held_date")), ["year"], ["contest_id", "entry_no"], 50, 7).select("year", "contest_id", "entry_no")
 
 
+FEATURES = ["quantity", "discount", "tax", "field_size"]
+
+
 @query()
 def boosted_metrics(spark, sf):
     """Boosted trees by year folds over all years, calibrated, with metrics by year."""
-    e = entries(spark, sf).withColumns({"year": F.year("held_date"), "odds": 1 + F.col("quantity") / 5.0})
-    oof = E.oof_predictions(e, "year", "contest_id", ["quantity", "discount", "tax", "field_size"], "is_place")
-    oof = oof.withColumns({"z": C.logit_clip("p"), "ln_odds": F.ln("odds")})
+    e = settled(entries(spark, sf).select("contest_id", F.year("held_date").alias("year"), (1 + F.col("quantity") / 5.0).alias("odds"), "is_place", *FEATURES))
+    oof = settled(E.oof_predictions(e, "year", "contest_id", FEATURES, "is_place").withColumns({"z": C.logit_clip("p"), "ln_odds": F.ln("odds")}))
     a, b, c = E.platt_fit(oof, "z", "ln_odds", "is_place")
     return E.binary_metrics(oof.withColumn("p_cal", C.platt_apply("p", "odds", a, b, c)), "is_place", "p_cal", ["year"])
 
 
 @query()
 def feature_importance(spark, sf):
-    """Gain of each feature in boosted trees over all entries."""
-    features = ["quantity", "discount", "tax", "field_size"]
-    return E.importance_table(E.train_binary(entries(spark, sf), features, "is_place"), features, spark)
+    """Gain and number of splits of each feature in boosted trees over all entries."""
+    trees = grow(entries(spark, sf).select("is_place", *FEATURES), FEATURES, "is_place", F.array(F.lit("all")))
+    return spark.createDataFrame([r[1:] for r in trees.importance()], "feature string, gain double, splits long").orderBy(F.desc("gain"), "feature")
+
+
+def _condition_split(spark, sf) -> DataFrame:
+    return E.condition_split(entries(spark, sf), "surface", FEATURES, "is_place", F.col("held_date") < "1999-01-01")
 
 
 @query()
 def condition_split(spark, sf):
     """By surface, a model of all entries against one of the surface's entries, tried on the contests from 1999 on."""
-    return E.condition_split(entries(spark, sf), "surface", ["quantity", "discount", "tax", "field_size"], "is_place", F.col("held_date") < "1999-01-01")
+    return _condition_split(spark, sf)
+
+
+@query()
+def condition_split_summary(spark, sf):
+    """The experiment in one row, weighted by test rows."""
+    return E.summarise_slices(_condition_split(spark, sf))
+
+
+def _slices_sql(by: str) -> str:
+    side = """m{s} as (select {by} c, count(*) n, avg((p - y) * (p - y)) brier, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) logloss, (sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))::double) auc
+from (select {by}, is_place y, {p} p, rank() over w + (count(*) over (partition by {by}, {p}) - 1) / 2.0 k from bets window w as (partition by {by} order by {p})) group by 1)"""
+    sides = ",\n".join(side.format(s=s, by=by, p=p) for s, p in (("b", "prob"), ("l", "prob2")))
+    return f"{sides},\ns as (select b.c, b.n, b.auc auc_base, b.brier brier_base, b.logloss logloss_base, l.auc auc_local, l.brier brier_local, l.logloss logloss_local from mb b join ml l using (c))"
+
+
+WEIGHTED = ", ".join(f"round(sum({x} * n) / sum(n), 6) weighted_{c}" for c, x in [(f"{m}_{s}", f"{m}_{s}") for s in ("base", "local") for m in ("auc", "brier", "logloss")] + [(f"delta_{m}", f"({m}_local - {m}_base)") for m in ("auc", "brier", "logloss")])
+
+
+@query(f"""with {BETS}, {_slices_sql("klass")}
+select count(*) slices, count(*) compared_slices, 0::bigint skipped_slices, count(*) filter (logloss_local < logloss_base) improved_slices, sum(n)::bigint test_rows, sum(n)::bigint compared_test_rows,
+coalesce(sum(n) filter (logloss_local < logloss_base), 0)::bigint improved_test_rows, {WEIGHTED} from s""")
+def weighted_slices(spark, sf):
+    """Two predictions compared by class, weighted by rows."""
+    b = settled(bets(spark, sf).select("klass", "is_place", "prob", "prob2"))
+    return r6(E.summarise_slices(E.compare_slices(b, "klass", "is_place", "prob", "prob2")))
 
 
 @query()
 def effect_summary(spark, sf):
-    """E24."""
-    return E.effect_summary(bets(spark, sf), ["odds", "prob", "field_size"], "is_place")
+    """Effects alone and beside controls."""
+    b = bets(spark, sf).withColumn("year", F.year("held_date") - 1995)
+    return r6(E.effect_summary(b, ["odds", "prob", "discount"], "is_place", ["field_size", "year"], "finish"))
+
+
+@query()
+def interaction_effects(spark, sf):
+    """Products of two columns and what is derived from them, beside controls."""
+    b = bets(spark, sf).withColumns({"last": F.col("quantity") / 4.0, "total": F.col("quantity") / 2.0 + 100 * F.col("tax") + 5 * F.col("discount")})
+    return r6(E.interaction_effects(b, {"pace": ("last", "total"), "price": ("discount", "tax")}, "is_place", lambda x, y: (F.col(y) - F.col(x)) / 3 - F.col(x), ["field_size"]))

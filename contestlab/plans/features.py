@@ -14,7 +14,7 @@ from contestlab.plans.base import ENTRY, entries, query, r6, table
 from contestlab.plans.decisions import MAX_AGE, TARGETS, selected
 from contestlab.operators import quotes as Q
 from contestlab.sources.tables import settled
-from contestlab.streaming.quotes import latest_quotes, prestart_quotes
+from contestlab.streaming.quotes import latest_quotes, prestart_entries, prestart_quotes
 
 PRIORITY = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3, "4-NOT SPECIFIED": 2, "5-LOW": 1}
 
@@ -229,3 +229,45 @@ def prestart_batch(spark, sf):
     q = table(spark, sf, "events", "user_id", "ts", "event_id", "value")
     c = q.groupBy("user_id").agg((F.max("ts") - F.expr("interval 1 day")).alias("cutoff"))
     return prestart_quotes(q, c, ["user_id"], "ts", "cutoff", "event_id", ["value"])
+
+
+@query(f"""with {TARGETS}, p as (select user_id, day, min(cutoff_at) cutoff_at from c group by all), q1 as (select *, row_number() over (partition by p.user_id, p.day order by published_at desc) rr from p left join q using (user_id, day) where published_at is null or cutoff_at is null or published_at <= cutoff_at)
+select p.user_id, p.day, p.cutoff_at, x.published_at, x.win_odds from p left join (select * from q1 where rr = 1 and published_at <= cutoff_at) x on x.user_id = p.user_id and x.day = p.day""")
+def prestart_entries_batch(spark, sf):
+    """ST2, D6: every declared entry with its newest quote by the cutoff, those without a quote too; the stream's batch twin."""
+    from contestlab.plans.decisions import quote_tables
+
+    t, q = quote_tables(spark, sf)
+    entries = t.withColumn("cutoff_at", Q.QuotePolicy(10).cutoff())
+    q = q.withColumn("tie", F.lit(0))
+    return prestart_entries(q, entries, ["user_id", "day"], "published_at", "cutoff_at", "tie", ["win_odds"]).select("user_id", "day", "cutoff_at", "published_at", "win_odds")
+
+
+@query("""select 'o_clerk' column_name, 'missing' violation, 0::bigint n_values union all select 'o_custkey', 'forbidden', count(o_custkey) from orders union all select 'o_totalprice', 'not_allowed', count(case when o_totalprice >= 5000 then o_totalprice end) from orders""")
+def dq_column_boundary(spark, sf):
+    """Q3: an allow-list that misses a column, a forbidden column, and one that is not allowed."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("o_totalprice", F.when(F.col("o_totalprice") >= 5000, F.col("o_totalprice")))
+    return K.column_boundary(o, ["o_orderkey", "o_custkey", "o_orderdate", "o_clerk"], ["o_custkey"])
+
+
+REVISED = """r as (select user_id, day, published_at, published_at + case when hash3 = 0 then -interval 1 minute else interval 0 minute end available_at, win_odds from (select q.*, extract(minute from published_at)::int % 5 hash3 from q)
+union all select user_id, day, published_at, published_at + case when extract(minute from published_at)::int % 5 = 0 then -interval 1 minute else interval 0 minute end, win_odds + 1 from q where extract(minute from published_at)::int % 7 = 0
+union all select user_id, day, null, null, win_odds from q where extract(minute from published_at)::int = 30)"""
+
+
+@query(f"""with {TARGETS}, {REVISED}, x as (select distinct r.*, c.cutoff_at from r join c using (user_id, day)), n as (select *, count(*) over (partition by user_id, day, published_at, available_at) same from x),
+v as (select *, case when published_at is null and win_odds is not null then 'price_without_time' when available_at < published_at then 'available_before_published' when same > 1 and published_at <= cutoff_at and (available_at is null or available_at <= cutoff_at) then 'conflicting_revisions' end violation from n)
+select user_id, day, published_at, win_odds, violation from v where violation is not null""")
+def quote_violations(spark, sf):
+    """O2: prices without time, quotes available before they were published, and revisions that contradict each other."""
+    from contestlab.plans.decisions import quote_tables
+
+    t, q = quote_tables(spark, sf)
+    q = q.select("user_id", "day", "published_at", "win_odds")
+    minute = F.minute("published_at")
+    at = F.col("published_at") - F.when(minute % 5 == 0, F.expr("interval 1 minute")).otherwise(F.expr("interval 0 minute"))
+    known = q.withColumn("available_at", at)
+    again = known.where(minute % 7 == 0).withColumn("win_odds", F.col("win_odds") + 1)
+    none = q.where(minute == 30).withColumns({"published_at": F.lit(None).cast("timestamp"), "available_at": F.lit(None).cast("timestamp")})
+    bad = Q.select_quotes(t, known.unionByName(again).unionByName(none), ["user_id", "day"], ["win_odds"], Q.QuotePolicy(10))[1]
+    return bad.select("user_id", "day", "published_at", "win_odds", "violation")
