@@ -13,17 +13,23 @@ from contestlab.functions.columns import cut_bands, logit_clip
 from contestlab.sources.tables import SMALL, settled
 
 
-def block_bootstrap(df: DataFrame, value: str, block: str, reps: int, seed: int) -> DataFrame:
-    """Mean of value and its central 95 % when whole blocks are drawn anew: each block's (sum, n) gets Poisson(1) weights
-    from a hash of block, draw and seed, so draws are the same wherever they run."""
-    blocks = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    draws = blocks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    u = F.pmod(F.xxhash64(F.col(block).cast("string"), "rep", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def poisson_weight(block: Column, draw: Column, seed: int) -> Column:
+    """A Poisson(1) weight from the hash of block, draw and seed: the same wherever and for whatever it is drawn."""
+    u = F.pmod(F.xxhash64(block, draw, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     w, cum, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 12):
         cum += p
         p /= k
         w = w + (u >= cum).cast("int")
+    return w
+
+
+def block_bootstrap(df: DataFrame, value: str, block: str, reps: int, seed: int) -> DataFrame:
+    """Mean of value and its central 95 % when whole blocks are drawn anew: each block's (sum, n) gets Poisson(1) weights
+    from a hash of block, draw and seed, so draws are the same wherever they run."""
+    blocks = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    draws = blocks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    w = poisson_weight(F.col(block).cast("string"), F.col("rep"), seed)
     means = draws.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("s") * F.col("w")) / F.nullif(F.sum(F.col("n") * F.col("w")), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).crossJoin(blocks.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("blocks")))
 
@@ -38,19 +44,15 @@ def cell_table(df: DataFrame, entity: str, cond: str, prob: str, label: str) ->
     return df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"), F.sum(p).alias("expected"))
 
 
-def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = None, newton: int = 8) -> DataFrame:
-    """Shift of the log-odds of each cell over the offset prob, with a normal prior whose width tau is the one of the grid
-    with the largest Laplace marginal likelihood. Rows are counted by cell and offset first; then each cell is one row with
-    its distinct offsets, and the Newton steps run side by side over a batch of cells and all widths. Offsets that hardly
-    repeat make long rows: `bins` rounds them to so many logit steps, which bounds the rows and moves the effects."""
-    z = logit_clip(prob)
-    if bins is not None:
-        z = F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)
-    offsets = df.groupBy(entity, cond, z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
-    a = F.collect_list(F.struct("z", F.col("n").cast("double").alias("m"), F.coalesce("k", F.lit(0.0)).alias("y"))).alias("a")
-    cells = offsets.groupBy(entity, cond).agg(a, F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
-    cells = cells.select(entity, cond, "n", "k", "expected", *[F.transform("a", _part(c)).alias(f"__{c}") for c in "zmy"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields[:5]) + ", tau double, effect double, se double, marginal double"
+def fit_cells(offsets: DataFrame, keys: Sequence[str], taus: Sequence[float], newton: int = 8) -> DataFrame:
+    """For each cell (keys) and prior width tau the shift of the log-odds over the offsets of its rows: keys, n, k, expected, tau,
+    effect, se, marginal. offsets has keys, z (the log-odds), n and k (rows and labels with this offset). Several fits at once are
+    several values of a key."""
+    a = F.collect_list(F.struct("z", F.col("n").cast("double").alias("m"), F.coalesce(F.col("k").cast("double"), F.lit(0.0)).alias("y"))).alias("a")
+    cells = offsets.groupBy(*keys).agg(a, F.sum("n").alias("n"), F.sum(F.col("k").cast("double")).alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
+    cells = cells.select(*keys, "n", "k", "expected", *[F.transform("a", _part(c)).alias(f"__{c}") for c in "zmy"])
+    own = len(keys) + 3
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields[:own]) + ", tau double, effect double, se double, marginal double"
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,9 +75,21 @@ def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, t
                     effect = effect + grad / hess
                 _, hess, like = sums(effect)
                 marginal = like - sums(np.zeros(len(b)))[2] - effect * effect * prec / 2 - np.log(hess / prec) / 2
-                yield b.iloc[:, :5].assign(tau=tau, effect=effect, se=1 / np.sqrt(hess), marginal=marginal)
+                yield b.iloc[:, :own].assign(tau=tau, effect=effect, se=1 / np.sqrt(hess), marginal=marginal)
+
+    return cells.mapInPandas(fit, schema)
 
-    long = settled(cells.mapInPandas(fit, schema))
+
+def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = None, newton: int = 8) -> DataFrame:
+    """Shift of the log-odds of each cell over the offset prob, with a normal prior whose width tau is the one of the grid
+    with the largest Laplace marginal likelihood. Rows are counted by cell and offset first; then each cell is one row with
+    its distinct offsets, and the Newton steps run side by side over a batch of cells and all widths. Offsets that hardly
+    repeat make long rows: `bins` rounds them to so many logit steps, which bounds the rows and moves the effects."""
+    z = logit_clip(prob)
+    if bins is not None:
+        z = F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)
+    offsets = df.groupBy(entity, cond, z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
+    long = settled(fit_cells(offsets, [entity, cond], taus, newton))
     best = long.groupBy("tau").agg(F.sum("marginal").alias("m")).orderBy(F.desc("m"), "tau").limit(1).select("tau")
     return long.join(F.broadcast(best), "tau")
 

@@ -87,45 +87,47 @@ def decayed_window(days: DataFrame, keys: Sequence[str], date: str, values: Sequ
 
 
 def band_history(rows: DataFrame, keys: Sequence[str], period: str, band: str, width: float, years: int, values: Sequence[str]) -> DataFrame:
-    """For each key, period and band value: sums over earlier periods of the last years whose band value is within width; null
-    where there are none. Rows with a null among key, period and band look at nothing and are not looked at.
+    """For each key, period (the first day of a month) and band value: sums over earlier periods of the last years whose band value
+    is within width; null where there are none. Rows with a null among key, period and band look at nothing and are not looked at.
 
-    No period meets the others of its key. Band values are ranked within the key, and ranks make a tree of cells of 1, 2, 4 ...
-    neighbours; a row adds to one cell of each size, cells have running sums over their periods, and a range of ranks is at
-    most two cells of each size. What a row looks up is the difference of a cell's running sums at two dates, so rows between the
-    joins grow as n log n."""
+    No row meets the others of its key. Band values are ranked within the key, and ranks make a tree of cells of 1, 2, 4 ...
+    neighbours with sums by period; the values within width of one are a range of ranks, which at most two cells of each size
+    make up. So a band value reads a few cells' periods, and one window over these looks back in time."""
     add = ["__n", *[f"__{v}" for v in values]]
     grain = [*keys, period, band]
     sums = rows.groupBy(*grain).agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"__{v}") for v in values])
-    known = sums.where(" and ".join(f"`{c}` is not null" for c in grain))
+    whole = F.lit(True)
+    for c in grain:
+        whole = whole & F.col(c).isNotNull()
+    known = sums.where(whole)
     order = Window.partitionBy(*keys).orderBy(band)
-    bands = known.select(*keys, band).distinct().withColumn("__rank", (F.row_number().over(order) - 1).cast("long"))
     here = F.count("*").over(order.rangeBetween(-width, 0))  # the value itself counts once
+    bands = known.select(*keys, band).distinct().withColumn("__rank", (F.row_number().over(order) - 1).cast("long"))
     bands = bands.withColumns({"__from": F.col("__rank") + 1 - here, "__to": F.col("__rank") + 1 - here + F.count("*").over(order.rangeBetween(-width, width))})
     bands = bands.withColumn("__levels", F.length(F.bin(F.max("__rank").over(Window.partitionBy(*keys)))))
-    held = known.join(bands, [*keys, band])
     size = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
     level = F.sequence(F.lit(0), F.col("__levels").cast("int"))
-    cells = F.transform(level, lambda j: F.struct(j.alias("__level"), F.floor(F.col("__rank") / size(j)).alias("__cell")))
-    cell, zero = [*keys, "__level", "__cell"], F.lit(0)
-    data = held.withColumn("__c", F.explode(cells)).select("*", "__c.*").groupBy(*cell, F.col(period).alias("__at")).agg(*[F.sum(c).alias(c) for c in add])
+    cell = [*keys, "__level", "__cell"]
 
     def cover(j: Column) -> Column:
         """The cells of a size that the range [from, to) takes: an odd one at its start, an even one at its end."""
         a, b = F.ceil(F.col("__from") / size(j)), F.floor(F.col("__to") / size(j))
         return F.array(F.when((a < b) & (a % 2 == 1), F.struct(j.alias("__level"), a.alias("__cell"))), F.when((a < b) & (b % 2 == 1), F.struct(j.alias("__level"), (b - 1).alias("__cell"))))
 
-    ends = F.array(F.struct(F.col(period).alias("__at"), F.lit(1).alias("__sign")), F.struct(F.add_months(F.col(period), -12 * years).alias("__at"), F.lit(-1).alias("__sign")))
-    asked = held.select(*grain, F.explode(F.filter(F.flatten(F.transform(level, cover)), lambda x: x.isNotNull())).alias("__c")).select(*grain, "__c.*", F.explode(ends).alias("__e")).select(*grain, "__level", "__cell", "__e.*")
-    # a date that is asked for comes before the rows of that date, which it doesn't count
-    kind = dict(data.dtypes)
-    points = data.withColumn("__own", F.lit(1)).unionByName(asked.select(*cell, "__at", F.lit(0).alias("__own"), *[F.lit(None).cast(kind[c]).alias(c) for c in add]).distinct())
-    past = Window.partitionBy(*cell).orderBy("__at", "__own").rowsBetween(Window.unboundedPreceding, -1)
-    found = points.withColumns({c: F.coalesce(F.sum(c).over(past), zero) for c in add}).where("__own = 0").drop("__own")
-    got = asked.join(found, [*cell, "__at"]).groupBy(*grain).agg(*[F.sum(F.col(c) * F.col("__sign")).alias(c) for c in add])
-    some = F.col("__n") > 0
-    got = got.select(*grain, *[F.when(some, F.col(f"__{v}")).alias(f"past_{v}") for v in ("n", *values)])
-    return sums.select(*grain).join(got, grain, "left")
+    own = F.transform(level, lambda j: F.struct(j.alias("__level"), F.floor(F.col("__rank") / size(j)).alias("__cell")))
+    covered = bands.select(*keys, band, F.explode(F.filter(F.flatten(F.transform(level, cover)), lambda x: x.isNotNull())).alias("__c")).select(*keys, band, "__c.*")
+    data = known.join(bands.select(*keys, band, "__rank", "__levels"), [*keys, band]).withColumn("__c", F.explode(own)).select(*keys, period, *add, "__c.*")
+    data = data.groupBy(*cell, period).agg(*[F.sum(c).alias(c) for c in add])
+    seen = covered.join(data, cell).select(*grain, *add, F.lit(0).alias("__own"))
+    kind = dict(seen.dtypes)
+    asked = known.select(*grain, *[F.lit(None).cast(kind[c]).alias(c) for c in add], F.lit(1).alias("__own"))
+    both = seen.unionByName(asked).groupBy(*grain).agg(*[F.sum(c).alias(c) for c in add], F.max("__own").alias("__own"))
+    month = F.year(period) * 12 + F.month(period)
+    past = Window.partitionBy(*keys, band).orderBy(month).rangeBetween(-12 * years, -1)
+    out = both.withColumns({f"past_{c[2:]}": F.sum(c).over(past) for c in add}).where("__own = 1")
+    names = [f"past_{c[2:]}" for c in add]
+    blank = sums.where(~whole).select(*grain, *[F.lit(None).cast(dict(out.dtypes)[c]).alias(c) for c in names])
+    return out.select(*grain, *names).unionByName(blank)
 
 
 def best_in_window(entries: DataFrame, events: DataFrame, key: str, day: str, event_day: str, low: int, high: int, order: Sequence[Column], values: Sequence[str], row: Sequence[str]) -> DataFrame:

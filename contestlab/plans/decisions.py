@@ -11,6 +11,7 @@ from contestlab.operators import evaluation as E
 from contestlab.operators import quotes as Q
 from contestlab.operators import windows as W
 from contestlab.operators.boosting import grow
+from contestlab.operators.confirmation import confirm_pairs
 from contestlab.plans.base import ENTRY, entries, query, r6, table
 from contestlab.sources.tables import settled
 
@@ -472,3 +473,9 @@ def interaction_effects(spark, sf):
     """Products of two columns and what is derived from them, beside controls."""
     b = bets(spark, sf).withColumns({"last": F.col("quantity") / 4.0, "total": F.col("quantity") / 2.0 + 100 * F.col("tax") + 5 * F.col("discount")})
     return r6(E.interaction_effects(b, {"pace": ("last", "total"), "price": ("discount", "tax")}, "is_place", lambda x, y: (F.col(y) - F.col(x)) / 3 - F.col(x), ["field_size"]))
+
+
+@query()
+def confirmed_pairs(spark, sf):
+    """Two pairs of entity and condition confirmed out of sample over four half-years."""
+    return r6(confirm_pairs(bets(spark, sf), {"rider/surface": ("rider", "surface"), "trainer/klass": ("trainer", "klass")}, "held_date", "contest_id", "prob", "is_place", "1997-01-01"))
