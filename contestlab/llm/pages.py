@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from contestlab.llm.common import by_listing, free_name, materialise, read
 
-#: Elements whose text is never content; those that are void; those that start and end a block of text.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas nav header footer aside form button select option textarea input label fieldset dialog menu head title".split())
+#: Elements whose text is never content; those that are furniture unless the page's text is in them; those that are void; those
+#: that stand within a block of text.
+DROPPED = frozenset("script style noscript template iframe object svg math canvas button select option textarea input label head title".split())
+BOXES = frozenset("nav header footer aside form fieldset dialog menu".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,48 +57,80 @@ class _Stack:
     are that keep a paragraph from being ended."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, bool, bool, tuple[int, ...]]] = []
         self.count: Counter[str] = Counter()
         self.p: list[int] = []
         self.walls: list[int] = []
 
-    def push(self, tag: str, dropped: bool, article: bool) -> None:
+    def push(self, tag: str, dropped: bool, article: bool, boxes: tuple[int, ...]) -> None:
         if tag == "p":
             self.p.append(len(self.open))
         elif tag == "div" or tag in ARTICLE_TAGS:
             self.walls.append(len(self.open))
         self.count[tag] += 1
-        self.open.append((tag, dropped, article))
+        self.open.append((tag, dropped, article, boxes))
 
-    def close(self, tag: str) -> tuple[bool, bool]:
+    def close(self, tag: str) -> tuple[bool, bool, tuple[int, ...]]:
         """End the innermost `tag`, which must be open, and all in it; what held before it."""
         while True:
-            last, dropped, article = self.open.pop()
+            last, dropped, article, boxes = self.open.pop()
             self.count[last] -= 1
             for places in (self.p, self.walls):
                 if places and places[-1] == len(self.open):
                     places.pop()
             if last == tag:
-                return dropped, article
+                return dropped, article, boxes
 
     def paragraph_ends(self) -> bool:
         return bool(self.p) and not (self.walls and self.walls[-1] > self.p[-1])
 
 
+#: Furniture within furniture is told apart up to this depth; what is deeper belongs to the box around it.
+MOST_BOXES = 32
+#: A line with its flag of standing in an article element, and the furniture boxes it stands in: number, and whether the article
+#: element began inside of the box.
+Line = tuple[str, bool, tuple[tuple[int, bool], ...]]
+
+
+def without_boxes(lines: list[Line], forms: set[int]) -> list[tuple[str, bool]]:
+    """The lines outside of furniture. A box is none if it holds most of the text in article elements: then what stands in these
+    stays, and what stands around them goes. A form is none if it holds most of the page's text. And if nothing would be left, the
+    box with the most text is none, so that no page with text comes out empty."""
+    size, article, inside = Counter(), 0, Counter()
+    for text, a, boxes in lines:
+        article += a * len(text)
+        for k, own in boxes:
+            size[k] += len(text)
+            inside[k] += own * len(text)
+    whole = sum(len(text) for text, *_ in lines)
+    around = {k for k in size if inside[k] * 2 > article > 0}  # only the articles in it are content
+    open_ = {k for k in size if k in forms and size[k] * 2 > whole and k not in around}
+
+    def kept() -> list[tuple[str, bool]]:
+        return [(t, a) for t, a, boxes in lines if all(k in open_ or k in around and own for k, own in boxes)]
+
+    while not (out := kept()) and (rest := [k for k in size if k not in open_]):
+        open_.add(max(rest, key=lambda k: (size[k], -k)))
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[str, bool]]:
     """The page's lines (blocks of text, white space turned into one space, character references decoded) outside of
-    elements that never hold content, and whether each lies in an article element. Unclosed elements end with their
-    parent; an end tag without start is ignored. Null: none. Time grows with the page's length, however broken it is."""
-    out: list[tuple[str, bool]] = []
+    elements that never hold content and of furniture, and whether each lies in an article element. Unclosed elements end with
+    their parent, an open head with the first element or text that can't be in it; an end tag without start is ignored. Null:
+    none. Time grows with the page's length, however broken it is."""
+    out: list[Line] = []
     stack = _Stack()
     dropped = article = False
+    boxes: tuple[int, ...] = ()
+    made, forms, begun = 0, set(), 0  # boxes so far; those that are forms; how many boxes were open where the article began
     text: list[str] = []
 
     def flush() -> None:
         if text:
             line = SPACES.sub(" ", entities.unescape("".join(text))).strip()
             if line:
-                out.append((line, article))
+                out.append((line, article, tuple((k, article and i < begun) for i, k in enumerate(boxes))))
             text.clear()
 
     page, at, token = page or "", 0, TOKEN
@@ -111,6 +147,8 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if m[4] and dropped and stack.open[-1][0] == "head" and not m[4].isspace():
+                dropped, article, boxes = stack.close("head")
             if m[4] and not dropped:
                 text.append(m[4])
             continue
@@ -119,8 +157,10 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             flush()
         if m[1]:
             if stack.count[tag]:
-                dropped, article = stack.close(tag)
+                dropped, article, boxes = stack.close(tag)
             continue
+        if stack.count["head"] and tag not in IN_HEAD:
+            dropped, article, boxes = stack.close("head")
         if tag in VOID or SELF_CLOSED.search(m[3]):
             continue
         if tag in RAW:
@@ -128,18 +168,23 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             at = end.end() if end else len(page)
             continue
         if tag in ENDS_P and stack.paragraph_ends():
-            dropped, article = stack.close("p")
+            dropped, article, boxes = stack.close("p")
         a = _attributes(m[3]) if m[3] else {}
         names = {n for k in ("class", "id", "role") for n in a.get(k, "").lower().split()}
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        furniture = names & FURNITURE
-        stack.push(tag, dropped, article)
-        if tag in DROPPED or hidden or (furniture and tag not in ARTICLE_TAGS and tag not in ("body", "html")):
+        furniture = names & FURNITURE and tag not in ARTICLE_TAGS and tag not in ("body", "html")
+        stack.push(tag, dropped, article, boxes)
+        if tag in DROPPED or hidden:
             dropped = True
+        elif (furniture or tag in BOXES and not (tag == "header" and article)) and len(boxes) < MOST_BOXES:  # an article's own header has its title
+            boxes, made = (*boxes, made), made + 1
+            if tag == "form":
+                forms.add(made - 1)
         if tag in ARTICLE_TAGS or names & ARTICLE:
+            begun = begun if article else len(boxes)
             article = True
     flush()
-    return out
+    return without_boxes(out, forms)
 
 
 def line_hashes(lines: list[tuple[str, bool]]) -> np.ndarray:

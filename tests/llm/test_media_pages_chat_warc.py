@@ -269,3 +269,24 @@ def test_repeated_and_null_keys(spark, tmp_path):
     assert {r.refers_to for r in got if r.record_type == "revisit"} == {"1"} and sum(r.record_type == "revisit" for r in got) == 1
     warc.write(df.limit(0).drop("digest"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<html><head><title>x</title><body><article><p>Hello world text</p></article></body>", "Hello world text"),  # </head> may be left out
+    ("<html><head><meta charset=utf-8><p>Hello world</p>", "Hello world"),
+    ("<head><title>x</title>Plain text<p>more", "Plain text more"),
+    ("<body><form id=aspnet><nav><a href=/>Home</a></nav><div><p>A whole page of text in a form.</p><p>And more.</p></div></form></body>", "A whole page of text in a form. And more."),
+    ("<body><form><header>Site</header><article><p>Text of the article</p></article><footer>Imprint</footer></form></body>", "Text of the article"),
+    ("<body><div class=widget><span>label</span><article><p>The article in a widget</p></article></div></body>", "The article in a widget"),
+    ("<body><div class='modal search'><article><h1>T</h1><p>The article in a modal</p></article></div></body>", "T The article in a modal"),
+    ("<body><nav><ul><li>Home</ul><article><p>Swallowed by an open nav</p></article>", "Swallowed by an open nav"),
+    ("<body><article><header><h1>Own title</h1></header><p>Body of it</p></article>", "Own title Body of it"),
+    ("<body><article><div class=search><p>Real text</p></div></article>", "Real text"),
+    ("<body><aside>Only an aside with text</aside><nav>Menu</nav>", "Only an aside with text"),
+    # what was furniture stays so
+    ("<body><header>Site</header><form><input>Search here</form><article><p>The text of it, long enough.</p></article><div class=related><article>Teaser</article></div></body>", "The text of it, long enough."),
+    ("<body><article><p>Short.</p></article><div class=comments><p>A comment that is much longer than the article is.</p></div></body>", "Short."),
+    ("<body><nav>Menu</nav><p>Text</p><footer>Foot</footer>", "Text"),
+])
+def test_no_page_shape_comes_out_empty(html, want):
+    assert pages.main_text(pages.blocks(html), np.zeros(0, bool)) == want
