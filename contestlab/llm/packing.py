@@ -25,6 +25,8 @@ REPACK_BELOW = 0.98
 #: Chunks whose ids a Python worker keeps at most; when there are more, it goes on with those that it met first, among which
 #: the frequent ones are.
 CACHED, KEPT = 300_000, 100_000
+#: New chunks that are encoded as one text.
+JOINED = 32
 #: Documents whose new chunks are encoded in one call.
 GROUP = 256
 #: Texts in these characters are lower-cased as the tokenizer does it; a full stop or comma after a letter and before white
@@ -63,6 +65,10 @@ class ChunkTokenizer:
         self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.control, key=len, reverse=True)) or "(?!)")
         self.model.encode_special_tokens = not self.whole  # what is between them is ordinary text
+        #: Stands before each of several chunks that are encoded as one text.
+        self.mark = next((t.content for t in added.values() if t.special), None)
+        self.marked = Tokenizer.from_file(path)
+        self.marked.encode_special_tokens = False
         self.clear()
 
     def clear(self) -> None:
@@ -77,10 +83,7 @@ class ChunkTokenizer:
     def learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         first = len(self.codes) - len(new)
-        ids = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-        ids = [[self.control[c[1:]]] if c[:1] == " " else x for c, x in zip(new, ids, strict=True)]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size, flat = self.encoded(new)
         if len(self.codes) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.codes)), np.resize(self.size, 2 * len(self.codes))
         if self.used + len(flat) > len(self.flat) or (len(flat) and flat.max() > np.iinfo(self.flat.dtype).max):
@@ -91,6 +94,20 @@ class ChunkTokenizer:
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
+    def encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all ids. Chunks go JOINED at a time, with a control string before each."""
+        if self.mark and not any(c[:1] == " " for c in chunks):
+            texts = [self.mark + self.mark.join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.marked.encode_batch_fast(texts, add_special_tokens=False)])
+            own = ids != self.control[self.mark]
+            starts = np.flatnonzero(~own)
+            if len(starts) == len(chunks):  # else the mark's id is in a chunk
+                return (np.diff(starts, append=len(ids)) - 1).astype(np.int32), ids[own]
+        lists = [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+        lists = [[self.control[c[1:]]] if c[:1] == " " else x for c, x in zip(chunks, lists, strict=True)]
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        return size, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum()))
+
     def chunks(self, text: str) -> list[str]:
         """Pieces of the text whose ids, one after another, are the text's; a control string has a space before it."""
         marks = self.cut.findall(text)
