@@ -191,6 +191,21 @@ def reliability_by_band(df: DataFrame, band: str, prob: str, label: str, least:
     return out.withColumn("gap", F.col("rate") - F.col("p_mean"))
 
 
+def reliability_curves(df: DataFrame, band: str, prob: str, label: str, tie: Sequence[str], bins: int, least: int = 1) -> DataFrame:
+    """A reliability table for each band: rows by rank-quantile bins of the probability within the band; bins with few rows are left
+    out."""
+    b = rank_buckets(df.where(F.col(band).isNotNull()), prob, tie, bins, "bin", [band])
+    out = b.groupBy(band, "bin").agg(F.count("*").alias("n"), F.avg(prob).alias("p_mean"), F.avg(label).alias("rate")).where(F.col("n") >= least)
+    return out.withColumn("gap", F.col("rate") - F.col("p_mean"))
+
+
+def nested_buckets(df: DataFrame, outer: str, inner: str, tie: Sequence[str], n_outer: int, n_inner: int, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank-quantile buckets of one column within those of another: bucket_summary() of each pair."""
+    b = rank_buckets(df, outer, tie, n_outer, "outer_bucket", by)
+    b = rank_buckets(b, inner, tie, n_inner, "bucket", [*by, "outer_bucket"])
+    return bucket_summary(b, [*by, "outer_bucket", "bucket"], inner, label)
+
+
 def sum_check(df: DataFrame, group: str, probs: Sequence[str], k: Column) -> DataFrame:
     s = df.groupBy(group).agg(*[F.sum(p).alias(p) for p in probs], F.max(k).alias("__k"))
     return s.agg(*[F.avg(F.abs(F.col(p) - F.col("__k"))).alias(f"{p}_mean_abs") for p in probs])

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import blend_price, logit_diff, smooth_rate
 from contestlab.operators.joins import best_in_window, complete_grid, decayed_history, slot_value
-from contestlab.operators.windows import prefer_source, rank_in_group
+from contestlab.operators.windows import by_period, pick_first, prefer_source, rank_in_group
 
 
 def encodings(df: DataFrame, entity: str, conditions: Mapping[str, Column | None], date: str, label: str, n_periods: int, unit: str, prior: float, strength: float) -> DataFrame:
@@ -25,6 +26,92 @@ def encodings(df: DataFrame, entity: str, conditions: Mapping[str, Column | None
     return past.select(entity, "condition", "level", "period", "past_n", "past_k", smooth_rate("past_k", "past_n", prior, strength).alias("rate"))
 
 
+def event_days(events: DataFrame, entity: str, day: str, place: str, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """One row for an entity and day: its first event in order; for each value its z-score among the peers of the place and day, and
+    its distance from the entity's mean and best of all days before."""
+    one = pick_first(events, [entity, day], order)
+    peers = one.groupBy(place, day).agg(F.count("*").alias("peers"), *[f for v in values for f in (F.avg(v).alias(f"__m_{v}"), F.stddev_samp(v).alias(f"__s_{v}"))])
+    past = Window.partitionBy(entity).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    out = one.withColumns({f"{v}_{n}": F.col(v) - f(v).over(past) for v in values for n, f in (("to_mean", F.avg), ("to_best", F.min))})
+    out = out.join(peers, [place, day])
+    return out.withColumns({f"{v}_peer_z": (F.col(v) - F.col(f"__m_{v}")) / F.nullif(F.col(f"__s_{v}"), F.lit(0.0)) for v in values}).drop(*[f"__{x}_{v}" for v in values for x in "ms"])
+
+
+def _past_sums(sums: DataFrame, keys: Sequence[str], columns: Sequence[str], years: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("period").rowsBetween(-years, -1)
+    return sums.select(*keys, "period", *[F.sum(c).over(w).alias(c) for c in columns])
+
+
+def gate_profile(df: DataFrame, course: Sequence[str], gate: str, date: str, label: str, years: int) -> DataFrame:
+    """For each course, gate and year: rows and hits of the years before, their rate, that of all gates, and the difference."""
+    sums = by_period(df, [*course, gate], date, "year", [label]).withColumnRenamed(label, "k")
+    own = _past_sums(sums, [*course, gate], ["n", "k"], years)
+    whole = _past_sums(sums.groupBy(*course, "period").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), course, ["n", "k"], years)
+    both = own.join(whole.withColumnsRenamed({"n": "__n", "k": "__k"}), [*course, "period"])
+    rate, all_rate = F.col("k") / F.col("n"), F.col("__k") / F.col("__n")
+    return both.select(*course, gate, "period", F.coalesce("n", F.lit(0)).alias("past_n"), F.coalesce("k", F.lit(0)).alias("past_k"), rate.alias("rate"), all_rate.alias("course_rate"), (rate - all_rate).alias("lift"))
+
+
+def style_profile(df: DataFrame, course: Sequence[str], position: str, finish: str, front: str, date: str, years: int, top: int = 3) -> DataFrame:
+    """For each course and year: of the first `top` of each contest in the years before, the mean and population deviation of their
+    position and the share of those in front."""
+    first = df.where(F.col(finish) <= top).withColumn("__q", F.col(position) * F.col(position))
+    p = _past_sums(by_period(first, course, date, "year", [position, "__q", front]), course, ["n", position, "__q", front], years)
+    n, mean = F.col("n"), F.col(position) / F.col("n")
+    return p.select(*course, "period", F.coalesce("n", F.lit(0)).alias("past_n"), mean.alias("position_mean"), F.sqrt(F.greatest(F.col("__q") / n - mean * mean, F.lit(0.0))).alias("position_sd"), (F.col(front) / n).alias("front_share"))
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """Rolling encodings of one entity: conditions (None: overall), period unit, periods back and prior strength."""
+
+    entity: str
+    conditions: Mapping[str, Column | None]
+    unit: str
+    periods: int
+    strength: float
+
+
+def entry_rates(history: DataFrame, context: DataFrame, row: Sequence[str], specs: Sequence[Encoding], date: str, label: str, prior: float) -> DataFrame:
+    """encodings() of several entities at once, for the rows of context: row, name ("entity:condition") and value, the smoothed rate
+    as known at the start of the row's period. One scan, one aggregate and one join serve all entities and conditions."""
+    def long(df: DataFrame, *columns: Column | str) -> DataFrame:
+        one = [
+            F.struct(F.lit(f"{s.entity}:{name}").alias("name"), F.col(s.entity).cast("string").alias("entity"), (F.lit("all") if c is None else c.cast("string")).alias("level"), F.trunc(F.col(date), s.unit).alias("period"))
+            for s in specs for name, c in s.conditions.items()
+        ]
+        return df.select(*columns, F.explode(F.array(*one)).alias("c")).select(*[c if isinstance(c, str) else "k" for c in columns], "c.*").where("entity is not null and level is not null")
+
+    sums = long(history, F.col(label).cast("long").alias("k")).groupBy("name", "entity", "level", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    frame = lambda m: Window.partitionBy("name", "entity", "level").orderBy("period").rowsBetween(-m, -1)
+    of = {s: F.split("name", ":")[0].isin(*[t.entity for t in specs if t.periods == s]) for s in {t.periods for t in specs}}
+
+    def past(c: str) -> Column:
+        return F.coalesce(*[F.when(mine, F.sum(c).over(frame(m))) for m, mine in of.items()], F.lit(0))
+
+    strength = F.coalesce(*[F.when(F.startswith("name", F.lit(f"{s.entity}:")), F.lit(float(s.strength))) for s in specs])
+    rates = sums.withColumns({"past_n": past("n"), "past_k": past("k")})
+    rates = rates.select("name", "entity", "level", "period", ((F.col("past_k") + prior * strength) / (F.col("past_n") + strength)).alias("value"))
+    return long(context, *row).join(rates, ["name", "entity", "level", "period"]).select(*row, "name", "value")
+
+
+def entry_decayed(history: DataFrame, context: DataFrame, row: Sequence[str], key: str, levels: Mapping[str, Column | None], date: str, values: Sequence[str], half_life: float, years: int) -> DataFrame:
+    """Decayed histories of a key overall (None) and by level of each condition, for the rows of context: row, name
+    ("condition:value", the count as "condition:n") and value, 0 where there is none. One decayed pass serves all of them; every row
+    of context must stand in history with its date and levels."""
+    one = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit("all") if c is None else c.cast("string")).alias("level")) for name, c in levels.items()])
+    days = history.select(key, date, *values, F.explode(one).alias("c")).select(key, date, *values, "c.*").groupBy(key, "name", "level", date).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values])
+    past = decayed_history(days, [key, "name", "level"], date, ["n", *values], half_life, years)
+    mine = context.select(*row, key, date, F.explode(one).alias("c")).select(*row, key, date, "c.*")
+    each = F.array(*[F.struct(F.concat("name", F.lit(f":{v}")).alias("name"), F.coalesce(f"{v}_decayed", F.lit(0.0)).alias("value")) for v in ("n", *values)])
+    return mine.join(past, [key, "name", "level", date]).select(*row, F.explode(each).alias("x")).select(*row, "x.*")
+
+
+def widened(long: DataFrame, row: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """row with a column for each name (":" as "_")."""
+    return long.groupBy(*row).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n.replace(":", "_")) for n in names])
+
+
 def encoding_columns(df: DataFrame, row: Sequence[str], entity: str, conditions: Mapping[str, Column | None], date: str, unit: str, rates: DataFrame, prefix: str) -> DataFrame:
     """row, {prefix}_rate and, for each condition but the overall one, the difference of the log-odds of its rate from the
     overall one ({prefix}_{condition}). One join for all conditions, on narrow rows."""

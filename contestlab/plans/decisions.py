@@ -479,3 +479,19 @@ def interaction_effects(spark, sf):
 def confirmed_pairs(spark, sf):
     """Two pairs of entity and condition confirmed out of sample over four half-years."""
     return r6(confirm_pairs(bets(spark, sf), {"rider/surface": ("rider", "surface"), "trainer/klass": ("trainer", "klass")}, "held_date", "contest_id", "prob", "is_place", "1997-01-01"))
+
+
+BANDED = "x as (select *, case when odds <= 3 then '1-3' when odds <= 6 then '3-6' else '6-11' end band from bets)"
+
+
+@query(f"with {BETS}, {BANDED}, b as (select *, {BUCKET.format(by='band', c='prob').replace('least(10,', 'least(5,')} bin from x) select band, bin, count(*) n, round(avg(prob), 6) p_mean, round(avg(is_place), 6) rate, round(avg(is_place) - avg(prob), 6) gap from b group by all having count(*) >= 20")
+def reliability_curves(spark, sf):
+    """A reliability curve of five points for each odds band."""
+    b = held_bets(spark, sf).withColumn("band", C.cut_bands("odds", [1, 3, 6, 11], ["1-3", "3-6", "6-11"], True))
+    return r6(E.reliability_curves(b, "band", "prob", "is_place", ["contest_id", "entry_no"], 5, 20))
+
+
+@query(f"with {BETS}, o as (select *, {BUCKET.format(by='surface', c='odds').replace('least(10,', 'least(4,')} outer_bucket from bets), b as (select *, {BUCKET.format(by='surface, outer_bucket', c='prob')} bucket from o) select surface, outer_bucket, bucket, count(*) n, round(avg(prob), 6) mean, sum(is_place)::bigint k, {WILSON} from b group by all")
+def nested_deciles(spark, sf):
+    """Deciles of the probability within quarters of the odds."""
+    return r6(E.nested_buckets(held_bets(spark, sf), "odds", "prob", ["contest_id", "entry_no"], 4, 10, "is_place", ["surface"]))

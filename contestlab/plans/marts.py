@@ -203,11 +203,68 @@ def side_event_excess(spark, sf):
     return out.select("contest_id", "entry_no", F.round("near_lap1", 6).alias("near_lap1"), F.round("excess_z", 4).alias("excess_z"))
 
 
+@query(f"""
+with {SIDE}, one as (select * from (select *, row_number() over (partition by runner, event_day order by lap1 nulls last, lap4, event_no, event_place) r from s) where r = 1),
+peer as (select event_place, event_day, count(*) peers, avg(lap1) m1, stddev_samp(lap1) d1, avg(lap4) m4, stddev_samp(lap4) d4 from one group by all),
+past as (select *, avg(lap1) over w a1, min(lap1) over w b1, avg(lap4) over w a4, min(lap4) over w b4 from one window w as (partition by runner order by event_day rows between unbounded preceding and 1 preceding))
+select runner, event_day, event_place, round(lap1, 6) lap1, round(lap4, 6) lap4, peers, round((lap1 - m1) / nullif(d1, 0), 4) lap1_peer_z, round((lap4 - m4) / nullif(d4, 0), 4) lap4_peer_z,
+  round(lap1 - a1, 5) lap1_to_mean, round(lap1 - b1, 5) lap1_to_best, round(lap4 - a4, 5) lap4_to_mean, round(lap4 - b4, 5) lap4_to_best
+from past join peer using (event_place, event_day)""")
+def side_event_days(spark, sf):
+    """A runner's side events by day: the best one, beside those of the same place and day, and against its own before."""
+    order = [F.asc_nulls_last("lap1"), F.asc("lap4"), F.asc("event_no"), F.asc("event_place")]
+    out = M.event_days(side_events(spark, sf), "runner", "event_day", "event_place", order, ["lap1", "lap4"])
+    fine = [F.round(f"{v}_peer_z", 4).alias(f"{v}_peer_z") for v in ("lap1", "lap4")] + [F.round(f"{v}_{c}", 5).alias(f"{v}_{c}") for v in ("lap1", "lap4") for c in ("to_mean", "to_best")]
+    return out.select("runner", "event_day", "event_place", F.round("lap1", 6).alias("lap1"), F.round("lap4", 6).alias("lap4"), "peers", *fine)
+
+
+@query(f"""
+with {ENTRY}, g as (select surface, klass, entry_no, date_trunc('year', held_date)::date period, count(*) n, sum(is_place) k from entry where field_size >= 4 group by all),
+c as (select surface, klass, period, sum(n) n, sum(k) k from g group by all),
+gp as (select surface, klass, entry_no, period, sum(n) over w n, sum(k) over w k from g window w as (partition by surface, klass, entry_no order by period rows between 5 preceding and 1 preceding)),
+cp as (select surface, klass, period, sum(n) over w n, sum(k) over w k from c window w as (partition by surface, klass order by period rows between 5 preceding and 1 preceding))
+select surface, klass, entry_no, period, coalesce(gp.n, 0)::bigint past_n, coalesce(gp.k, 0)::bigint past_k, round(gp.k / gp.n::double, 6) rate, round(cp.k / cp.n::double, 6) course_rate, round(gp.k / gp.n::double - cp.k / cp.n::double, 6) lift
+from gp join cp using (surface, klass, period)""")
+def course_gate_profile(spark, sf):
+    """What each gate of a course brought in the five years before, beside all gates; fields of four and more."""
+    e = entries(spark, sf).where("field_size >= 4")
+    return r6(M.gate_profile(e, ["surface", "klass"], "entry_no", "held_date", "is_place", 5))
+
+
+@query(f"""
+with {ENTRY}, y as (select surface, klass, date_trunc('year', held_date)::date period, count(*) n, sum(entry_no) s, sum(entry_no * entry_no) q, sum((entry_no * 2 <= field_size)::int) f from entry where finish <= 3 group by all),
+p as (select surface, klass, period, sum(n) over w n, sum(s) over w s, sum(q) over w q, sum(f) over w f from y window w as (partition by surface, klass order by period rows between 5 preceding and 1 preceding))
+select surface, klass, period, coalesce(n, 0)::bigint past_n, round(s / n::double, 6) position_mean, round(sqrt(greatest(q / n::double - (s / n::double) * (s / n::double), 0)), 6) position_sd, round(f / n::double, 6) front_share from p""")
+def course_style_profile(spark, sf):
+    """Where the first three of a course came from in the five years before: mean and deviation of their position, and the
+    share of those in front."""
+    e = entries(spark, sf).withColumn("front", (F.col("entry_no") * 2 <= F.col("field_size")).cast("int"))
+    return r6(M.style_profile(e, ["surface", "klass"], "entry_no", "finish", "front", "held_date", 5))
+
+
+BIN = "case when {z} is null then null when {z} < -0.4307273 then 1 when {z} > 0.4307273 then 3 else 2 end"
+
+
+@query(f"""
+with {ENTRY}, {SIDE}, {window_sql('near', 3, 20)}, e as (select e.contest_id, e.entry_no, e.trainer, e.held_date, e.is_place, lap1, lap4 from entry e left join near using (contest_id, entry_no)),
+z as (select *, (lap1 - avg(lap1) over w) / nullif(stddev_pop(lap1) over w, 0) z1, (lap4 - avg(lap4) over w) / nullif(stddev_pop(lap4) over w, 0) z4 from e window w as (partition by contest_id)),
+c as (select trainer, held_date, is_place, case when z1 is null or z4 is null then '0' else (({BIN.format(z='round(z1, 6)')} - 1) * 3 + {BIN.format(z='round(z4, 6)')})::varchar end category from z),
+y as (select trainer, category, date_trunc('year', held_date)::date period, count(*) n, sum(is_place) k from c group by all)
+select trainer, category, period, coalesce(sum(n) over w, 0)::bigint past_n, coalesce(sum(k) over w, 0)::bigint past_k, round((coalesce(sum(k) over w, 0) + 3::double) / (coalesce(sum(n) over w, 0) + 10), 6) rate
+from y window w as (partition by trainer, category order by period rows between 5 preceding and 1 preceding)""")
+def side_profile_encodings(spark, sf):
+    """A trainer's rolling rate by the joint third of two side-event measures within the contest."""
+    e = enriched_entries(spark, sf, entries(spark, sf)).select("contest_id", "entry_no", "trainer", "held_date", "is_place", "near_lap1", "near_lap4")
+    z = W.group_z(e, ["contest_id"], ["near_lap1", "near_lap4"])
+    c = z.withColumn("category", C.joint_bin3(F.round("near_lap1_z", 6), F.round("near_lap4_z", 6)).cast("string"))
+    return r6(W.rolling_rate(c, ["trainer", "category"], "held_date", "is_place", 5, "year", 0.3, 10))
+
+
 # encodings
 
 QUARTER = "case when quantity < 13 then '0' when quantity < 26 then '1' when quantity < 39 then '2' else '3' end"
 STYLE = "case when entry_no * 2 <= field_size then 'front' else 'back' end"
-RIDER = {"overall": None, "cluster": "klass", "surface_venue": "surface || ':' || klass", "surface_distance": f"surface || ':' || {QUARTER}", "surface_turn": "surface || ':' || turn", "turn": "turn", "surface_style": f"surface || ':' || {STYLE}", "style": STYLE}
+RIDER = {"overall": None, "cluster": "klass", "surface_venue": "surface || ':' || klass", "surface_distance": f"surface || ':' || {QUARTER}", "surface_turn": "surface || ':' || turn", "turn": "turn", "surface_style": f"surface || ':' || {STYLE}", "style": STYLE, "position_bin": "case when entry_no <= 2 then 'fore' when entry_no <= 4 then 'mid' else 'rear' end"}
 SIRE = {"overall": None, "cluster": "klass", "age": "cast(year(held_date) % 4 as string)", "old": "case when month(held_date) <= 6 then 'young' else 'old' end", "sex": "turn", "weight": QUARTER}
 DAM = {"overall": None, "cluster": "klass"}
 
@@ -227,7 +284,7 @@ window w as (partition by {entity}, condition, level order by period rows betwee
 
 @query(f"with {ENTRY} {encodings_sql('entry', 'rider', RIDER, 'is_place', 'month', 35, 0.3, 20)}")
 def rider_encodings(spark, sf):
-    """Eight rolling encodings of a rider from one scan."""
+    """Nine rolling encodings of a rider from one scan."""
     return r6(M.encodings(entries(spark, sf), "rider", conditions(RIDER), "held_date", "is_place", 35, "month", 0.3, 20))
 
 
@@ -257,14 +314,22 @@ def dam_encodings(spark, sf):
 
 #: Yearly encodings of trainers, breeders and age classes: entity, conditions and prior strength.
 YEARLY = {"trainer": ({"overall": None, "age": "case when month(held_date) <= 6 then 'young' else 'old' end"}, 10), "breeder": ({"overall": None}, 20), "klass": ({"overall": None, "turn": "turn"}, 50)}
+YEARLY_SQL = " union all ".join(
+    f"select '{k}' kind, {k}::varchar entity, condition, level, period, past_n, past_k, round((past_k + prior_rate * {k}_strength) / (past_n + {k}_strength), 6) rate from ({encodings_sql('g', k, c, 'is_place', 'year', 5, 0.3, s)}), prior"
+    for k, (c, s) in YEARLY.items()
+)
 
 
-@query(f"with {ENTRY}, {PEDIGREE} {' union all '.join(f'''select '{k}' kind, {k}::varchar entity, * exclude ({k}) from ({encodings_sql('g', k, c, 'is_place', 'year', 5, 0.3, s)})''' for k, (c, s) in YEARLY.items())}")
+@query(f"with {ENTRY}, {PEDIGREE}, prior as (select avg(is_place) prior_rate, {', '.join(f'{s}::double {k}_strength' for k, (_, s) in YEARLY.items())} from g) {YEARLY_SQL}")
 def yearly_encodings(spark, sf):
-    """D19, JN5: trainers, breeders and age classes over five years, shrunk to the prior relation's rate and strength."""
+    """D19, JN5: trainers, breeders and age classes over five years, shrunk to a prior relation of one row: the rate of all entries
+    and a strength for each kind."""
     g, out = with_pedigree(spark, sf, entries(spark, sf)), None
+    prior = F.broadcast(g.agg(F.avg("is_place").alias("prior_rate"), *[F.lit(float(s)).alias(f"{k}_strength") for k, (_, s) in YEARLY.items()]))
     for k, (c, strength) in YEARLY.items():
-        one = M.encodings(g, k, conditions(c), "held_date", "is_place", 5, "year", 0.3, strength).select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("entity"), "condition", "level", "period", "past_n", "past_k", "rate")
+        one = M.encodings(g, k, conditions(c), "held_date", "is_place", 5, "year", 0.3, strength).drop("rate").crossJoin(prior)
+        rate = (F.col("past_k") + F.col("prior_rate") * F.col(f"{k}_strength")) / (F.col("past_n") + F.col(f"{k}_strength"))
+        one = one.select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("entity"), "condition", "level", "period", "past_n", "past_k", rate.alias("rate"))
         out = one if out is None else out.unionByName(one)
     return r6(out)
 
@@ -319,44 +384,72 @@ RIDER_ROW = {"overall": None, "surface": "surface", "surface_turn": "surface ||
 TRAINER_ROW = {"overall": None, "cluster": "klass"}
 
 
+SIRE_ROW = {"overall": None, "cluster": "klass"}
+#: Encodings of the shared row: conditions, unit, periods and strength by entity.
+ROW_RATES = {"rider": (RIDER_ROW, "month", 35, 20), "trainer": (TRAINER_ROW, "year", 5, 10), "sire": (SIRE_ROW, "month", 35, 20), "breeder": ({"overall": None}, "year", 5, 20)}
+
+
+def last_events(spark, sf) -> DataFrame:
+    """A runner's side events: its deliveries, with their day and score."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    return li.select(F.col("l_partkey").alias("runner"), F.col("l_shipdate").cast("date").alias("event_day"), F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_tie"))
+
+
 def pre_race_rows(spark, sf, e: DataFrame, context: DataFrame, live: bool = False) -> DataFrame:
-    """The feature row of each entry of context. Every history is built at its own grain from entries before the date and
-    meets the context by keys; for a live context the sources shrink to the entities that run, and the values are the same."""
-    source = lambda key: J.restrict_to(e, context, [key]) if live else e
+    """The feature row of each entry of context: rider, trainer, pedigree and breeder rates, the runner's own history overall, by
+    surface and with its rider, its last run and last side event, and the course. Encodings of all entities are one pass and one
+    join, all decayed histories another, and both meet the context by one pivot. For a live context the sources shrink to the
+    entities that run, and the values are the same."""
     row = ["contest_id", "entry_no"]
-    rider, trainer, runner = source("rider"), source("trainer"), source("runner")
-    # the condition of a rate is known before the race; its counts need not be: the month of the entry is enough
-    parts = [M.encoding_columns(context, row, "rider", conditions(RIDER_ROW), "held_date", "month", M.encodings(rider, "rider", conditions(RIDER_ROW), "held_date", "is_place", 35, "month", 0.3, 20), "rider")]
-    parts.append(M.encoding_columns(context, row, "trainer", conditions(TRAINER_ROW), "held_date", "year", M.encodings(trainer, "trainer", conditions(TRAINER_ROW), "held_date", "is_place", 5, "year", 0.3, 10), "trainer"))
-    own = J.decayed_history(J.daily(runner, ["runner"], "held_date", ["is_place", "is_win"]), ["runner"], "held_date", ["n", "is_place", "is_win"], 180, 3)
-    own = own.withColumn("runner_rate", C.smooth_rate(F.coalesce("is_place_decayed", F.lit(0.0)), F.coalesce("n_decayed", F.lit(0.0)), 0.3, 5)).select("runner", "held_date", F.coalesce("n_decayed", F.lit(0.0)).alias("runner_starts"), "runner_rate")
-    by_surface = M.condition_history(runner, "runner", "surface", ["A", "N", "R"], "held_date", "is_place", 180, 3)
-    here = lambda v: F.coalesce(*[F.when(F.col("surface") == x, F.col(f"{v}_{x}")) for x in "ANR"], F.lit(0.0))
-    last = runner.select("runner", "held_date", "finish", "price", (F.col("contest_id") * 100 + F.col("entry_no")).alias("tie"))
+    e, context = with_pedigree(spark, sf, e), with_pedigree(spark, sf, context)
+    source = lambda df, key: J.restrict_to(df, context, [key]) if live else df
+    specs = [M.Encoding(k, conditions(c), unit, m, strength) for k, (c, unit, m, strength) in ROW_RATES.items()]
+    if live:  # the rows of each entity that runs count for this entity alone
+        runs = {k: context.select(F.col(k).alias(f"__{k}")).distinct() for k in ROW_RATES}
+        marked = e
+        for k, r in runs.items():
+            marked = marked.join(F.broadcast(r) if r.count() <= S.SMALL else r, F.col(k) == F.col(f"__{k}"), "left").withColumn(k, F.col(f"__{k}")).drop(f"__{k}")
+        history = marked.where(" or ".join(f"{k} is not null" for k in ROW_RATES))
+    else:
+        history = e
+    rates = M.entry_rates(history, context, row, specs, "held_date", "is_place", 0.3)
+    runner = source(e, "runner")
+    own = {"runner": None, "surface": F.col("surface"), "pair": F.col("rider")}
+    past = M.entry_decayed(runner, context, row, "runner", own, "held_date", ["is_place"], 180, 3)
+    names = [f"{k}:{c}" for k, (cs, *_) in ROW_RATES.items() for c in cs] + [f"{k}:{v}" for k in own for v in ("n", "is_place")]
+    wide = M.widened(rates.unionByName(past), row, names)
+    gap = lambda k, c: C.logit_diff(f"{k}_{c}", f"{k}_overall")
+    made = {f"{k}_rate": F.col(f"{k}_overall") for k in ROW_RATES} | {f"{k}_{c}": gap(k, c) for k, (cs, *_) in ROW_RATES.items() for c in cs if c != "overall"}
+    made |= {"runner_starts": F.col("runner_n"), "runner_rate": C.smooth_rate("runner_is_place", "runner_n", 0.3, 5), "surface_starts": F.col("surface_n"), "surface_hits": F.col("surface_is_place"), "pair_starts": F.col("pair_n"), "pair_hits": F.col("pair_is_place")}
     base = W.rolling_moments(e, ["surface", "klass"], "held_date", "price", 5, "year").select("surface", "klass", F.year("period").alias("y"), F.col("mean").alias("course_mean"))
-    out = context.withColumn("y", F.year("held_date"))
-    for p in parts:
-        out = out.join(p, row, "left")
-    out = out.join(own, ["runner", "held_date"], "left").join(by_surface, ["runner", "held_date"], "left").join(base, ["surface", "klass", "y"], "left")
+    out = context.join(wide.select(*row, *[v.alias(c) for c, v in made.items()]), row, "left").withColumn("y", F.year("held_date")).join(base, ["surface", "klass", "y"], "left")
+    last = runner.select("runner", "held_date", "finish", "price", (F.col("contest_id") * 100 + F.col("entry_no")).alias("tie"))
     out = J.last_before(out, last, "runner", "held_date", "held_date", "tie", ["finish", "price"])
-    out = out.withColumns({"surface_starts": here("starts"), "surface_hits": here("hits"), "last_price_gap": F.col("last_price") - F.col("course_mean"), "entry_ratio": F.col("entry_no") / F.col("field_size")})
-    rates = [c for p in parts for c in p.columns if c not in row]
-    return out.select(*row, "held_date", "context", *rates, "runner_starts", "runner_rate", "surface_starts", "surface_hits", "last_finish", "last_price_gap", "course_mean", "entry_ratio", "quantity")
+    out = J.last_before(out, source(last_events(spark, sf), "runner"), "runner", "held_date", "event_day", "event_tie", ["event_day", "score"])
+    out = out.withColumns({"last_price_gap": F.col("last_price") - F.col("course_mean"), "entry_ratio": F.col("entry_no") / F.col("field_size"), "event_age": F.datediff("held_date", "last_event_day")}).withColumnRenamed("last_score", "event_score")
+    return out.select(*PRE_COLUMNS)
 
 
-def rates_sql(name: str, entity: str, spec: dict, unit: str, m: int, strength: float) -> str:
+def rates_sql(name: str, entity: str, spec: dict, unit: str, m: int, strength: float, source: str = "entry", context: str = "context") -> str:
     """Common table expression `name`: an entry's encodings of one entity."""
     level = " ".join(f"when '{k}' then {'level' if v is None else v}" for k, v in spec.items())
     rates = ", ".join(f"max(case when x.condition = '{k}' then x.rate end) r_{k}" for k in spec)
-    full = encodings_sql("entry", entity, spec, "is_place", unit, m, 0.3, strength).replace("round((", "((").replace(", 6) rate", ") rate")
+    full = encodings_sql(source, entity, spec, "is_place", unit, m, 0.3, strength).replace("round((", "((").replace(", 6) rate", ") rate")
     gaps = "".join(f", ln(r_{k} / (1 - r_{k})) - ln(r_overall / (1 - r_overall)) {entity}_{k}" for k in spec if k != "overall")
-    return f"""{name} as (select contest_id, entry_no, r_overall {entity}_rate{gaps} from (select c.contest_id, c.entry_no, {rates} from context c
+    return f"""{name} as (select contest_id, entry_no, r_overall {entity}_rate{gaps} from (select c.contest_id, c.entry_no, {rates} from {context} c
   join ({full}) x on c.{entity} = x.{entity} and x.period = date_trunc('{unit}', c.held_date)::date and x.level = case x.condition {level} end group by all))"""
 
 
 PRE_RACE = f"""
 {rates_sql('rr', 'rider', RIDER_ROW, 'month', 35, 20)},
 {rates_sql('tt', 'trainer', TRAINER_ROW, 'year', 5, 10)},
+gg as (select e.*, p_brand sire, (p_size % 10)::varchar breeder from entry e join part on runner = p_partkey), gc as (select c.*, p_brand sire, (p_size % 10)::varchar breeder from context c join part on runner = p_partkey),
+{rates_sql('si', 'sire', SIRE_ROW, 'month', 35, 20, 'gg', 'gc')},
+{rates_sql('br', 'breeder', {'overall': None}, 'year', 5, 20, 'gg', 'gc')},
+dr as (select runner, held_date, rider, count(*) n, sum(is_place) k from entry group by all),
+pa as (select c.contest_id, c.entry_no, coalesce(sum(b.n * pow(0.5, date_diff('day', b.held_date, c.held_date) / 180.0::double)), 0) pair_starts, coalesce(sum(b.k * pow(0.5, date_diff('day', b.held_date, c.held_date) / 180.0::double)), 0) pair_hits
+  from context c left join dr b on c.runner = b.runner and c.rider = b.rider and b.held_date < c.held_date and b.held_date >= c.held_date - interval 3 year group by all),
+se as (select c.contest_id, c.entry_no, date_diff('day', max(l_shipdate::date), c.held_date)::int event_age, arg_max(l_extendedprice, (l_shipdate::date, l_orderkey * 10 + l_linenumber)) event_score from context c join lineitem on l_partkey = c.runner and l_shipdate::date < c.held_date group by c.contest_id, c.entry_no, c.held_date),
 dd as (select runner, held_date, count(*) n, sum(is_place) k from entry group by all),
 own as (select a.runner, a.held_date, coalesce(sum(b.n * pow(0.5, date_diff('day', b.held_date, a.held_date) / 180.0::double)), 0) runner_starts, coalesce(sum(b.k * pow(0.5, date_diff('day', b.held_date, a.held_date) / 180.0::double)), 0) k
   from dd a left join dd b on a.runner = b.runner and b.held_date < a.held_date and b.held_date >= a.held_date - interval 3 year group by all),
@@ -368,11 +461,11 @@ la as (select c.contest_id, c.entry_no, arg_max(b.finish, (b.held_date, b.contes
 bp as (select surface, klass, year(held_date) y, count(*) n, sum(price) s from entry group by all),
 bb as (select surface, klass, y, sum(s) over w / sum(n) over w course_mean from bp window w as (partition by surface, klass order by y rows between 5 preceding and 1 preceding)),
 pre as (select contest_id, entry_no, c.held_date, context, rr.* exclude (contest_id, entry_no), tt.* exclude (contest_id, entry_no), runner_starts, (own.k + 1.5::double) / (runner_starts + 5) runner_rate, surface_starts, surface_hits, last_finish,
-  last_price - course_mean last_price_gap, course_mean, entry_no / field_size entry_ratio, c.quantity
-  from context c left join rr using (contest_id, entry_no) left join tt using (contest_id, entry_no) left join own on c.runner = own.runner and c.held_date = own.held_date left join sur using (contest_id, entry_no)
+  last_price - course_mean last_price_gap, course_mean, entry_no / field_size entry_ratio, c.quantity, sire_rate, sire_cluster, breeder_rate, pair_starts, pair_hits, event_age, event_score
+  from context c left join si using (contest_id, entry_no) left join br using (contest_id, entry_no) left join pa using (contest_id, entry_no) left join se using (contest_id, entry_no) left join rr using (contest_id, entry_no) left join tt using (contest_id, entry_no) left join own on c.runner = own.runner and c.held_date = own.held_date left join sur using (contest_id, entry_no)
   left join la using (contest_id, entry_no) left join bb on c.surface = bb.surface and c.klass = bb.klass and year(c.held_date) = bb.y)"""
-ROUNDED = {"rider_rate": 6, "rider_surface": 5, "rider_surface_turn": 5, "rider_cluster": 5, "trainer_rate": 6, "trainer_cluster": 5, "runner_starts": 6, "runner_rate": 6, "surface_starts": 6, "surface_hits": 6, "last_price_gap": 3, "course_mean": 3, "entry_ratio": 5}
-PRE_COLUMNS = ["contest_id", "entry_no", "held_date", "context", *list(ROUNDED)[:10], "last_finish", *list(ROUNDED)[10:], "quantity"]
+ROUNDED = {"rider_rate": 6, "rider_surface": 5, "rider_surface_turn": 5, "rider_cluster": 5, "trainer_rate": 6, "trainer_cluster": 5, "runner_starts": 6, "runner_rate": 6, "surface_starts": 6, "surface_hits": 6, "last_price_gap": 3, "course_mean": 3, "entry_ratio": 5, "sire_rate": 6, "sire_cluster": 5, "breeder_rate": 6, "pair_starts": 6, "pair_hits": 6}
+PRE_COLUMNS = ["contest_id", "entry_no", "held_date", "context", *list(ROUNDED)[:10], "last_finish", *list(ROUNDED)[10:], "quantity", "event_age", "event_score"]
 PRE_SELECT = ", ".join(f"round({c}, {ROUNDED[c]}) {c}" if c in ROUNDED else c for c in PRE_COLUMNS)
 
 
