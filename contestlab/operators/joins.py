@@ -92,10 +92,11 @@ def band_history(rows: DataFrame, keys: Sequence[str], period: str, band: str, w
 
     No row meets the others of its key. Band values are ranked within the key, and ranks make a tree of cells of 1, 2, 4 ...
     neighbours with sums by period; the values within width of one are a range of ranks, which at most two cells of each size
-    make up. So a band value reads a few cells' periods, and one window over these looks back in time."""
+    make up. So a band value reads a few cells' periods, and one window over these looks back in time. The sums by period and band
+    are written once, as they are read several times."""
     add = ["__n", *[f"__{v}" for v in values]]
     grain = [*keys, period, band]
-    sums = rows.groupBy(*grain).agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"__{v}") for v in values])
+    sums = settled(rows.groupBy(*grain).agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"__{v}") for v in values]))
     whole = F.lit(True)
     for c in grain:
         whole = whole & F.col(c).isNotNull()

@@ -72,44 +72,54 @@ class Encoding:
     strength: float
 
 
-def entry_rates(history: DataFrame, context: DataFrame, row: Sequence[str], specs: Sequence[Encoding], date: str, label: str, prior: float) -> DataFrame:
-    """encodings() of several entities at once, for the rows of context: row, name ("entity:condition") and value, the smoothed rate
-    as known at the start of the row's period. One scan, one aggregate and one join serve all entities and conditions."""
-    def long(df: DataFrame, *columns: Column | str) -> DataFrame:
-        one = [
-            F.struct(F.lit(f"{s.entity}:{name}").alias("name"), F.col(s.entity).cast("string").alias("entity"), (F.lit("all") if c is None else c.cast("string")).alias("level"), F.trunc(F.col(date), s.unit).alias("period"))
-            for s in specs for name, c in s.conditions.items()
-        ]
-        return df.select(*columns, F.explode(F.array(*one)).alias("c")).select(*[c if isinstance(c, str) else "k" for c in columns], "c.*").where("entity is not null and level is not null")
-
-    sums = long(history, F.col(label).cast("long").alias("k")).groupBy("name", "entity", "level", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
-    frame = lambda m: Window.partitionBy("name", "entity", "level").orderBy("period").rowsBetween(-m, -1)
-    of = {s: F.split("name", ":")[0].isin(*[t.entity for t in specs if t.periods == s]) for s in {t.periods for t in specs}}
+def _looked_up(df: DataFrame, table: DataFrame, on: Sequence[Column | str], columns: Mapping[str, Column]) -> DataFrame:
+    return df.join(table, on, "left").withColumns(dict(columns))
+
+
+def with_rates(history: DataFrame, context: DataFrame, specs: Sequence[Encoding], date: str, label: str, prior: float) -> DataFrame:
+    """context with a column "entity_condition" for each encoding of several entities: the smoothed rate as known at the start of the
+    row's period, null where the period's key has none. One scan, one aggregate and one window serve all entities and conditions; an
+    entity's rates of a period are one row with a map, so context meets each entity once, by entity and period."""
+    def level(c: Column | None) -> Column:
+        return F.lit("all") if c is None else c.cast("string")
+
+    one = [F.struct(F.lit(i).alias("kind"), F.lit(name).alias("name"), F.col(s.entity).cast("string").alias("entity"), level(c).alias("level"), F.trunc(F.col(date), s.unit).alias("period")) for i, s in enumerate(specs) for name, c in s.conditions.items()]
+    long = history.select(F.col(label).cast("long").alias("k"), F.explode(F.array(*one)).alias("c")).select("k", "c.*").where("entity is not null and level is not null")
+    key = ["kind", "name", "entity", "level"]
+    sums = long.groupBy(*key, "period").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    frame = lambda m: Window.partitionBy(*key).orderBy("period").rowsBetween(-m, -1)
+    of = {m: F.col("kind").isin(*[i for i, s in enumerate(specs) if s.periods == m]) for m in {s.periods for s in specs}}
 
     def past(c: str) -> Column:
         return F.coalesce(*[F.when(mine, F.sum(c).over(frame(m))) for m, mine in of.items()], F.lit(0))
 
-    strength = F.coalesce(*[F.when(F.startswith("name", F.lit(f"{s.entity}:")), F.lit(float(s.strength))) for s in specs])
+    strength = F.coalesce(*[F.when(F.col("kind") == i, F.lit(float(s.strength))) for i, s in enumerate(specs)])
     rates = sums.withColumns({"past_n": past("n"), "past_k": past("k")})
-    rates = rates.select("name", "entity", "level", "period", ((F.col("past_k") + prior * strength) / (F.col("past_n") + strength)).alias("value"))
-    return long(context, *row).join(rates, ["name", "entity", "level", "period"]).select(*row, "name", "value")
+    value = (F.col("past_k") + prior * strength) / (F.col("past_n") + strength)
+    maps = rates.groupBy("kind", "entity", "period").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "name", "level"), value))).alias("__rates"))
+    out = context
+    for i, s in enumerate(specs):
+        mine = maps.where(F.col("kind") == i).select(F.col("entity").alias("__entity"), F.col("period").alias("__period"), "__rates")
+        on = (F.col(s.entity).cast("string") == F.col("__entity")) & (F.trunc(F.col(date), s.unit) == F.col("__period"))
+        found = {f"{s.entity}_{name}": F.try_element_at("__rates", F.concat_ws("|", F.lit(name), level(c))) for name, c in s.conditions.items()}
+        out = _looked_up(out, mine, on, found).drop("__entity", "__period", "__rates")
+    return out
 
 
-def entry_decayed(history: DataFrame, context: DataFrame, row: Sequence[str], key: str, levels: Mapping[str, Column | None], date: str, values: Sequence[str], half_life: float, years: int) -> DataFrame:
-    """Decayed histories of a key overall (None) and by level of each condition, for the rows of context: row, name
-    ("condition:value", the count as "condition:n") and value, 0 where there is none. One decayed pass serves all of them; every row
-    of context must stand in history with its date and levels."""
-    one = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit("all") if c is None else c.cast("string")).alias("level")) for name, c in levels.items()])
+def with_decayed(history: DataFrame, context: DataFrame, key: str, levels: Mapping[str, Column | None], date: str, values: Sequence[str], half_life: float, years: int) -> DataFrame:
+    """context with "condition_n" and "condition_value" columns: decayed histories of a key overall (None) and by level of each
+    condition, 0 where there is none. One decayed pass serves all of them; a key's histories of a date are one row with a map. Every
+    row of context must stand in history with its date and levels."""
+    def level(c: Column | None) -> Column:
+        return F.lit("all") if c is None else c.cast("string")
+
+    one = F.array(*[F.struct(F.lit(name).alias("name"), level(c).alias("level")) for name, c in levels.items()])
     days = history.select(key, date, *values, F.explode(one).alias("c")).select(key, date, *values, "c.*").groupBy(key, "name", "level", date).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values])
     past = decayed_history(days, [key, "name", "level"], date, ["n", *values], half_life, years)
-    mine = context.select(*row, key, date, F.explode(one).alias("c")).select(*row, key, date, "c.*")
-    each = F.array(*[F.struct(F.concat("name", F.lit(f":{v}")).alias("name"), F.coalesce(f"{v}_decayed", F.lit(0.0)).alias("value")) for v in ("n", *values)])
-    return mine.join(past, [key, "name", "level", date]).select(*row, F.explode(each).alias("x")).select(*row, "x.*")
-
-
-def widened(long: DataFrame, row: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """row with a column for each name (":" as "_")."""
-    return long.groupBy(*row).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n.replace(":", "_")) for n in names])
+    each = F.struct(*[F.coalesce(f"{v}_decayed", F.lit(0.0)).alias(v) for v in ("n", *values)])
+    maps = past.groupBy(F.col(key).alias("__key"), F.col(date).alias("__date")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "name", "level"), each))).alias("__past"))
+    got = {f"{name}_{v}": F.try_element_at("__past", F.concat_ws("|", F.lit(name), level(c)))[v] for name, c in levels.items() for v in ("n", *values)}
+    return _looked_up(context, maps, (F.col(key) == F.col("__key")) & (F.col(date) == F.col("__date")), got).drop("__key", "__date", "__past")
 
 
 def encoding_columns(df: DataFrame, row: Sequence[str], entity: str, conditions: Mapping[str, Column | None], date: str, unit: str, rates: DataFrame, prefix: str) -> DataFrame:

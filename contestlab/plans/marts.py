@@ -397,10 +397,9 @@ def last_events(spark, sf) -> DataFrame:
 
 def pre_race_rows(spark, sf, e: DataFrame, context: DataFrame, live: bool = False) -> DataFrame:
     """The feature row of each entry of context: rider, trainer, pedigree and breeder rates, the runner's own history overall, by
-    surface and with its rider, its last run and last side event, and the course. Encodings of all entities are one pass and one
-    join, all decayed histories another, and both meet the context by one pivot. For a live context the sources shrink to the
+    surface and with its rider, its last run and last side event, and the course. Encodings of all entities come from one pass, all
+    decayed histories from another, and meet the context once for each entity. For a live context the sources shrink to the
     entities that run, and the values are the same."""
-    row = ["contest_id", "entry_no"]
     e, context = with_pedigree(spark, sf, e), with_pedigree(spark, sf, context)
     source = lambda df, key: J.restrict_to(df, context, [key]) if live else df
     specs = [M.Encoding(k, conditions(c), unit, m, strength) for k, (c, unit, m, strength) in ROW_RATES.items()]
@@ -412,17 +411,15 @@ def pre_race_rows(spark, sf, e: DataFrame, context: DataFrame, live: bool = Fals
         history = marked.where(" or ".join(f"{k} is not null" for k in ROW_RATES))
     else:
         history = e
-    rates = M.entry_rates(history, context, row, specs, "held_date", "is_place", 0.3)
     runner = source(e, "runner")
     own = {"runner": None, "surface": F.col("surface"), "pair": F.col("rider")}
-    past = M.entry_decayed(runner, context, row, "runner", own, "held_date", ["is_place"], 180, 3)
-    names = [f"{k}:{c}" for k, (cs, *_) in ROW_RATES.items() for c in cs] + [f"{k}:{v}" for k in own for v in ("n", "is_place")]
-    wide = M.widened(rates.unionByName(past), row, names)
+    wide = M.with_rates(history, context, specs, "held_date", "is_place", 0.3)
+    wide = M.with_decayed(runner, wide, "runner", own, "held_date", ["is_place"], 180, 3)
     gap = lambda k, c: C.logit_diff(f"{k}_{c}", f"{k}_overall")
     made = {f"{k}_rate": F.col(f"{k}_overall") for k in ROW_RATES} | {f"{k}_{c}": gap(k, c) for k, (cs, *_) in ROW_RATES.items() for c in cs if c != "overall"}
     made |= {"runner_starts": F.col("runner_n"), "runner_rate": C.smooth_rate("runner_is_place", "runner_n", 0.3, 5), "surface_starts": F.col("surface_n"), "surface_hits": F.col("surface_is_place"), "pair_starts": F.col("pair_n"), "pair_hits": F.col("pair_is_place")}
     base = W.rolling_moments(e, ["surface", "klass"], "held_date", "price", 5, "year").select("surface", "klass", F.year("period").alias("y"), F.col("mean").alias("course_mean"))
-    out = context.join(wide.select(*row, *[v.alias(c) for c, v in made.items()]), row, "left").withColumn("y", F.year("held_date")).join(base, ["surface", "klass", "y"], "left")
+    out = wide.withColumns(made).withColumn("y", F.year("held_date")).join(base, ["surface", "klass", "y"], "left")
     last = runner.select("runner", "held_date", "finish", "price", (F.col("contest_id") * 100 + F.col("entry_no")).alias("tie"))
     out = J.last_before(out, last, "runner", "held_date", "held_date", "tie", ["finish", "price"])
     out = J.last_before(out, source(last_events(spark, sf), "runner"), "runner", "held_date", "event_day", "event_tie", ["event_day", "score"])
