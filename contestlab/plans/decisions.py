@@ -280,7 +280,7 @@ def contest_metric_diff(spark, sf):
 
 @query()
 def block_bootstrap(spark, sf):
-    """Seeded draws of weeks, and the verdict."""
+    """Seeded draws of weeks, and the verdict by given thresholds; confirmed_pairs has the whole confirmation."""
     d = X.contest_metric_diff(bets(spark, sf), "contest_id", "held_date", "is_place", "prob", "prob2")
     i = X.block_bootstrap(d, "delta_logloss", "week", 200, 3)
     return r6(X.confirm(d.withColumn("fold", F.year("week")).groupBy("fold").agg(F.avg("delta_logloss").alias("delta_logloss")), i, 0.02, 0.01, 0.6))

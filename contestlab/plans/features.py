@@ -91,7 +91,7 @@ def run_record_pointer(spark, sf):
 
 
 def feature_matrix_of(e: DataFrame) -> DataFrame:
-    """One row per entry with rates of its rider, pair history, lags, relative form and peers. Each history is
+    """A short row per entry with rates of its rider, pair history, lags, relative form and peers. Each history is
     built at its own grain and meets the entries by equality, so every join is on a key with a period or date."""
     month = F.trunc("held_date", "month")
     rate = W.rolling_rate(e, ["rider"], "held_date", "is_place", 35, "month", 0.3, 20).select("rider", F.col("period").alias("month"), F.col("rate").alias("rider_rate"), F.col("past_n").alias("rider_n"))
