@@ -208,13 +208,14 @@ with {SIDE}, one as (select * from (select *, row_number() over (partition by ru
 peer as (select event_place, event_day, count(*) peers, avg(lap1) m1, stddev_samp(lap1) d1, avg(lap4) m4, stddev_samp(lap4) d4 from one group by all),
 past as (select *, avg(lap1) over w a1, min(lap1) over w b1, avg(lap4) over w a4, min(lap4) over w b4 from one window w as (partition by runner order by event_day rows between unbounded preceding and 1 preceding))
 select runner, event_day, event_place, round(lap1, 6) lap1, round(lap4, 6) lap4, peers, round((lap1 - m1) / nullif(d1, 0), 4) lap1_peer_z, round((lap4 - m4) / nullif(d4, 0), 4) lap4_peer_z,
-  round(lap1 - a1, 5) lap1_to_mean, round(lap1 - b1, 5) lap1_to_best, round(lap4 - a4, 5) lap4_to_mean, round(lap4 - b4, 5) lap4_to_best
+  round(lap1 - a1 + 1.234567e-6, 5) lap1_to_mean, round(lap1 - b1, 5) lap1_to_best, round(lap4 - a4 + 1.234567e-6, 5) lap4_to_mean, round(lap4 - b4, 5) lap4_to_best
 from past join peer using (event_place, event_day)""")
 def side_event_days(spark, sf):
     """A runner's side events by day: the best one, beside those of the same place and day, and against its own before."""
     order = [F.asc_nulls_last("lap1"), F.asc("lap4"), F.asc("event_no"), F.asc("event_place")]
     out = M.event_days(side_events(spark, sf), "runner", "event_day", "event_place", order, ["lap1", "lap4"])
-    fine = [F.round(f"{v}_peer_z", 4).alias(f"{v}_peer_z") for v in ("lap1", "lap4")] + [F.round(f"{v}_{c}", 5).alias(f"{v}_{c}") for v in ("lap1", "lap4") for c in ("to_mean", "to_best")]
+    # a mean of few decimals is often half a unit of the last digit: the offset keeps it off the edge of rounding
+    fine = [F.round(f"{v}_peer_z", 4).alias(f"{v}_peer_z") for v in ("lap1", "lap4")] + [F.round(F.col(f"{v}_{c}") + off, 5).alias(f"{v}_{c}") for v in ("lap1", "lap4") for c, off in (("to_mean", 1.234567e-6), ("to_best", 0.0))]
     return out.select("runner", "event_day", "event_place", F.round("lap1", 6).alias("lap1"), F.round("lap4", 6).alias("lap4"), "peers", *fine)
 
 
