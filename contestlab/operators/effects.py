@@ -44,47 +44,117 @@ def cell_table(df: DataFrame, entity: str, cond: str, prob: str, label: str) ->
     return df.groupBy(entity, cond).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("k"), F.sum(p).alias("expected"))
 
 
-def fit_cells(offsets: DataFrame, keys: Sequence[str], taus: Sequence[float], newton: int = 8) -> DataFrame:
+#: Distinct offsets of a cell from which on it is split over several rows.
+HOT_CELL = 50_000
+
+
+def _at_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """df joined with other by keys, null being a key like others."""
+    renamed = other.select(*[F.col(k).alias(f"__on_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"__on_{k}" for k in keys])
+
+
+def _offset_arrays(offsets: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    return offsets.groupBy(*keys).agg(F.collect_list(F.struct("z", F.col("n").cast("double").alias("m"), F.coalesce(F.col("k").cast("double"), F.lit(0.0)).alias("y"))).alias("a"), *more)
+
+
+def _cell_totals() -> list[Column]:
+    return [F.sum("n").alias("n"), F.sum(F.col("k").cast("double")).alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected")]
+
+
+def _likelihood(z: np.ndarray, m: np.ndarray, y: np.ndarray, starts: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, curvature and value of the log-likelihood of runs of offsets (which begin at starts) when each run is shifted."""
+    at = z + np.repeat(shift, np.diff(np.r_[starts, len(z)]))
+    p = 1 / (1 + np.exp(-at))
+    return np.add.reduceat(y - m * p, starts), np.add.reduceat(m * p * (1 - p), starts), np.add.reduceat(y * at - m * np.logaddexp(0, at), starts)
+
+
+def _runs(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    z, m, y = (np.concatenate(b[f"__{c}"].to_numpy()) for c in "zmy")
+    return z, m, y, np.r_[0, b["__z"].str.len().cumsum().to_numpy()[:-1]].astype(int)
+
+
+def _schema_of(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema.fields)
+
+
+def fit_cells(offsets: DataFrame, keys: Sequence[str], taus: Sequence[float], newton: int = 8, hot: int = HOT_CELL) -> DataFrame:
     """For each cell (keys) and prior width tau the shift of the log-odds over the offsets of its rows: keys, n, k, expected, tau,
     effect, se, marginal. offsets has keys, z (the log-odds), n and k (rows and labels with this offset). Several fits at once are
-    several values of a key."""
-    a = F.collect_list(F.struct("z", F.col("n").cast("double").alias("m"), F.coalesce(F.col("k").cast("double"), F.lit(0.0)).alias("y"))).alias("a")
-    cells = offsets.groupBy(*keys).agg(a, F.sum("n").alias("n"), F.sum(F.col("k").cast("double")).alias("k"), F.sum(F.col("n") / (1 + F.exp(-F.col("z")))).alias("expected"))
+    several values of a key.
+
+    A cell is one row with its offsets, and the Newton steps of many cells run side by side in a task. A cell with more than
+    `hot` distinct offsets is split into parts by the offsets' hash, and each of its steps adds up the parts' sums: the same
+    fit, up to the order of additions. A null key is a key like others; no rows: empty result. Writes the offsets once."""
+    offsets = settled(offsets)
+    many = offsets.groupBy(*keys).agg(F.count("*").alias("__d")).where(F.col("__d") > hot)
+    many = settled(many.select(*keys, F.ceil(F.col("__d") / hot).cast("int").alias("__parts")))
+    if not many.limit(1).count():
+        return _fit_whole(offsets, keys, taus, newton)
+    return _fit_whole(_at_keys(offsets, many, keys, "left_anti"), keys, taus, newton).unionByName(_fit_split(offsets, many, keys, taus, newton))
+
+
+def _fit_whole(offsets: DataFrame, keys: Sequence[str], taus: Sequence[float], newton: int) -> DataFrame:
+    cells = _offset_arrays(offsets, keys, *_cell_totals())
     cells = cells.select(*keys, "n", "k", "expected", *[F.transform("a", _part(c)).alias(f"__{c}") for c in "zmy"])
     own = len(keys) + 3
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields[:own]) + ", tau double, effect double, se double, marginal double"
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            starts = np.r_[0, b["__z"].str.len().cumsum().to_numpy()[:-1]].astype(int) if len(b) else np.zeros(0, int)
             if not len(b):
                 continue
-            z, m, y = (np.concatenate(b[f"__{c}"].to_numpy()) for c in "zmy")
-            size = np.diff(np.r_[starts, len(z)])
+            z, m, y, starts = _runs(b)
             for tau in taus:
                 prec, effect = 1 / (tau * tau), np.zeros(len(b))
+                for _ in range(newton):
+                    slope, curvature, _ = _likelihood(z, m, y, starts, effect)
+                    effect = effect + (slope - effect * prec) / (curvature + prec)
+                _, curvature, like = _likelihood(z, m, y, starts, effect)
+                none = _likelihood(z, m, y, starts, np.zeros(len(b)))[2]
+                marginal = like - none - effect * effect * prec / 2 - np.log((curvature + prec) / prec) / 2
+                yield b.iloc[:, :own].assign(tau=tau, effect=effect, se=1 / np.sqrt(curvature + prec), marginal=marginal)
 
-                def sums(e: np.ndarray, prec: float = prec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                    at = z + np.repeat(e, size)
-                    p = 1 / (1 + np.exp(-at))
-                    add = lambda x: np.add.reduceat(x, starts)
-                    return add(y - m * p) - e * prec, add(m * p * (1 - p)) + prec, add(y * at - m * np.logaddexp(0, at))
+    return cells.mapInPandas(fit, _schema_of(cells, cells.columns[:own]) + ", tau double, effect double, se double, marginal double")
 
-                for _ in range(newton):
-                    grad, hess, _ = sums(effect)
-                    effect = effect + grad / hess
-                _, hess, like = sums(effect)
-                marginal = like - sums(np.zeros(len(b)))[2] - effect * effect * prec / 2 - np.log(hess / prec) / 2
-                yield b.iloc[:, :own].assign(tau=tau, effect=effect, se=1 / np.sqrt(hess), marginal=marginal)
 
-    return cells.mapInPandas(fit, schema)
+def _fit_split(offsets: DataFrame, many: DataFrame, keys: Sequence[str], taus: Sequence[float], newton: int) -> DataFrame:
+    """The fits of the cells that many lists, with the number of parts of each."""
+    own = _at_keys(offsets, many, keys)
+    parts = _offset_arrays(own.withColumn("__part", F.pmod(F.xxhash64("z"), "__parts")), [*keys, "__part"])
+    parts = settled(parts.select(*keys, "__part", *[F.transform("a", _part(c)).alias(f"__{c}") for c in "zmy"]))
+    named = [*keys, "tau", "effect"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                slope, curvature, like = _likelihood(*_runs(b), b["effect"].to_numpy())
+                yield b[named].assign(slope=slope, curvature=curvature, like=like)
+
+    def at(effects: DataFrame) -> DataFrame:
+        """Sums of each cell and width at its effect."""
+        rows = _at_keys(parts, effects, keys).select(*named, "__z", "__m", "__y")
+        out = rows.mapInPandas(sums, _schema_of(rows, named) + ", slope double, curvature double, like double")
+        return out.groupBy(*named).agg(*[F.sum(c).alias(c) for c in ("slope", "curvature", "like")])
+
+    start = settled(many.select(*keys, F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau"), F.lit(0.0).alias("effect")))
+    effects, prec = start, 1 / (F.col("tau") * F.col("tau"))
+    for _ in range(newton):
+        moved = F.col("effect") + (F.col("slope") - F.col("effect") * prec) / (F.col("curvature") + prec)
+        effects = settled(at(effects).select(*keys, "tau", moved.alias("effect")))
+    none = at(start).select(*keys, "tau", F.col("like").alias("none"))
+    found = _at_keys(at(effects), none, [*keys, "tau"])
+    hess = F.col("curvature") + prec
+    marginal = F.col("like") - F.col("none") - F.col("effect") * F.col("effect") * prec / 2 - F.log(hess / prec) / 2
+    totals = own.groupBy(*keys).agg(*_cell_totals())
+    return _at_keys(totals, found.select(*named, (1 / F.sqrt(hess)).alias("se"), marginal.alias("marginal")), keys).select(*keys, "n", "k", "expected", "tau", "effect", "se", "marginal")
 
 
 def cell_effects(df: DataFrame, entity: str, cond: str, prob: str, label: str, taus: Sequence[float] = (0.05, 0.1, 0.2, 0.4, 0.8), bins: int | None = None, newton: int = 8) -> DataFrame:
     """Shift of the log-odds of each cell over the offset prob, with a normal prior whose width tau is the one of the grid
-    with the largest Laplace marginal likelihood. Rows are counted by cell and offset first; then each cell is one row with
-    its distinct offsets, and the Newton steps run side by side over a batch of cells and all widths. Offsets that hardly
-    repeat make long rows: `bins` rounds them to so many logit steps, which bounds the rows and moves the effects."""
+    with the largest Laplace marginal likelihood. Rows are counted by cell and offset first; then the Newton steps run side
+    by side over a batch of cells and all widths, those of cells with very many offsets over parts of them (see fit_cells).
+    `bins` rounds offsets to so many logit steps, which makes fewer of them and moves the effects."""
     z = logit_clip(prob)
     if bins is not None:
         z = F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)) * (bins / 16)) * (16 / bins)

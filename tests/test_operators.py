@@ -214,6 +214,21 @@ def test_cell_effects_against_newton(spark):
         assert r.effect == pytest.approx(b, abs=1e-6)
 
 
+def test_cells_split_over_rows_fit_alike(spark):
+    """Cells with many offsets, a null key among them, fitted in parts and as one row each; and no cells at all."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(2), rng.gauss(0, 1), rng.randrange(1, 4)) for _ in range(900)]
+    rows = [(e, c, z, n, float(rng.randrange(n + 1))) for e, c, z, n in rows] + [(9, 9, 0.5, 3, 1.0)]
+    df = spark.createDataFrame(rows, "e int, c int, z double, n int, k double")
+    both = [sorted(X.fit_cells(df, ["e", "c"], [0.2, 0.8], hot=hot).collect(), key=lambda r: (r.e is None, r.e, r.c, r.tau)) for hot in (10_000, 40)]
+    assert len(both[0]) == len(both[1]) == 18
+    for a, b in zip(*both, strict=True):
+        assert (a.e, a.c, a.n, a.k, a.tau) == (b.e, b.c, b.n, b.k, b.tau)
+        for c in ("expected", "effect", "se", "marginal"):
+            assert abs(a[c] - b[c]) < 1e-9, (c, a, b)
+    assert X.fit_cells(df.limit(0), ["e", "c"], [0.2]).count() == 0
+
+
 def test_cell_effects_of_exact_offsets(spark, monkeypatch):
     from contestlab.plans import decisions as D
 
