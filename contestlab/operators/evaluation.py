@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.columns import wilson
 from contestlab.operators.boosting import grow
-from contestlab.operators.ranks import average_ranks, distinct_counts, exact_quantiles, running_totals
+from contestlab.operators.ranks import average_ranks, distinct_counts, exact_quantiles, rank_bucket, running_totals
 from contestlab.operators.regression import fitted, logistic_fits, standardised
 from contestlab.sources.tables import settled
 
@@ -224,12 +224,9 @@ def gap_summary(df: DataFrame, split: str, delta: str, match: Column, label: str
 
 
 def rank_buckets(df: DataFrame, column: str, tie: Sequence[str], n: int, name: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
-    """Bucket of the row's rank (ties by `tie`, which tells rows apart) between linear quantiles of the ranks. Rows are ranked in
-    ranges of column and tie together, so that a value that many rows share is no large task either."""
-    r = running_totals(df.where(F.col(column).isNotNull()), by, [column, *tie], {"__r": F.lit(1).cast("long")})
-    q = F.least(F.lit(n), F.col("__r_all"))
-    b = F.greatest(F.lit(1), F.ceil(F.col("__r") * q / F.nullif(F.col("__r_all") - 1, F.lit(0)))).cast("int")
-    return r.withColumn(name, F.coalesce(b, F.lit(1))).drop("__r", "__r_all")
+    """Bucket of the row's rank (ties by `tie`, which tells rows apart) between linear quantiles of the ranks. Only the ranges of
+    column and tie together in which a bucket starts are sorted, so that a value that many rows share is no large task either."""
+    return rank_bucket(df.where(F.col(column).isNotNull()), by, [column, *tie], n, name)
 
 
 def bucket_summary(df: DataFrame, keys: Sequence[str], column: str, label: str) -> DataFrame:
@@ -241,10 +238,10 @@ def bucket_summary(df: DataFrame, keys: Sequence[str], column: str, label: str)
 
 def segment_contrast(df: DataFrame, keys: Sequence[str], bucket: str, label: str) -> DataFrame:
     """Rates of the first and the last bucket of each segment side by side."""
-    w = Window.partitionBy(*keys)
-    ends = df.withColumns({"__lo": F.min(bucket).over(w), "__hi": F.max(bucket).over(w)})
-    first, last = F.col(bucket) == F.col("__lo"), F.col(bucket) == F.col("__hi")
-    out = ends.groupBy(*keys).agg(F.count_if(first).alias("n_first"), F.count_if(last).alias("n_last"), F.avg(F.when(first, F.col(label))).alias("rate_first"), F.avg(F.when(last, F.col(label))).alias("rate_last"))
+    cells = df.where(F.col(bucket).isNotNull()).groupBy(*keys, bucket).agg(F.count("*").alias("n"), F.avg(label).alias("rate"))
+    side = lambda f: f(F.struct("n", "rate"), F.col(bucket))
+    out = cells.groupBy(*keys).agg(side(F.min_by).alias("__lo"), side(F.max_by).alias("__hi"))
+    out = out.select(*keys, F.col("__lo.n").alias("n_first"), F.col("__hi.n").alias("n_last"), F.col("__lo.rate").alias("rate_first"), F.col("__hi.rate").alias("rate_last"))
     return out.withColumn("difference", F.col("rate_first") - F.col("rate_last"))
 
 

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contestlab.sources.tables import SMALL, settled
+
 #: Ranges at most, and rows of the sample that sets their edges, for each of them.
 MOST_RANGES, SAMPLED = 256, 40
 
@@ -37,9 +39,15 @@ def range_edges(df: DataFrame, order: Sequence[str], ranges: int | None = None)
     return F.array(*[F.struct(*cell(r)) if len(order) > 1 else cell(r)[0] for r in edges[: ranges - 1]]).cast(f"array<{kind.simpleString()}>")
 
 
-def range_of(order: Sequence[str], edges: Column) -> Column:
-    """The number of the range that a row lies in."""
-    return F.size(F.filter(edges, lambda e: e <= _place(order)))
+#: What a search by halves may add to the number of a range, from the widest stride on.
+STRIDES = [1 << k for k in range(15, -1, -1)]
+
+
+def range_of(order: Sequence[str], edges: Column, most: int = MOST_RANGES) -> Column:
+    """The number of the range that a row lies in, of at most `most`: a search by halves among the edges."""
+    strides = F.array(*[F.lit(x) for x in STRIDES if x <= most])
+    search = lambda place: F.aggregate(strides, F.lit(0), lambda low, x: F.when(F.get(edges, low + x - 1) <= place, low + x).otherwise(low))
+    return F.transform(F.array(_place(order)), search)[0]  # so the row's place is built once
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
@@ -47,9 +55,9 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
 
     A window sorts the rows of one range of a group; one small table of totals by range says what to add. Rows of equal order
     don't count for each other in any defined way: order should be unique in a group, or df have one row a value. Rows with a null
-    among the keys of a group are left out; nulls in order come first."""
-    order, names = list(order), list(sums)
-    held = df.withColumn("__range", range_of(order, range_edges(df, order, ranges)))
+    among the keys of a group are left out; nulls in order come first. df is written, as it is read several times."""
+    order, names, df = list(order), list(sums), settled(df)
+    held = df.withColumn("__range", range_of(order, range_edges(df, order, ranges), ranges or MOST_RANGES))
     within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = held.groupBy(*by, "__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # at most MOST_RANGES rows a group meet here
@@ -66,6 +74,39 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     return out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in names}).drop("__range", *[f"__before_{n}" for n in names])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df written, and broadcast if it is small."""
+    held = settled(df)
+    return F.broadcast(held) if held.count() <= SMALL else held
+
+
+def rank_bucket(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, name: str, ranges: int | None = None) -> DataFrame:
+    """df with the number, from 1, of the bucket of the row's rank in its group, by n linear quantiles of the ranks (fewer where the
+    group has fewer rows). order must tell rows apart; rows with a null among the keys of a group are left out.
+
+    df is written with each row's range. Counts by range say in which ranges a bucket starts: only these are sorted, to find its
+    first row, and only their rows are compared with it. All others have the bucket of their range."""
+    keys, long = [*by, "__range"], lambda x: F.lit(x).cast("long")
+    held = settled(df.withColumn("__range", range_of(order, range_edges(df, order, ranges), ranges or MOST_RANGES)))
+    counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # at most MOST_RANGES rows a group meet here
+    lists = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__range", "__n"))).alias("__t"), F.sum("__n").alias("__all"))
+    q = F.least(long(n), F.col("__all"))
+    ends = F.transform(F.when(q > 1, F.sequence(long(1), q - 1)).otherwise(F.array().cast("array<long>")), lambda b: F.floor((b * (F.col("__all") - 1)) / q) + 1)
+    start = F.transform("__t", lambda x, i: F.struct(x["__range"].alias("__range"), F.aggregate(F.slice("__t", 1, i), long(0), lambda a, y: a + y["__n"]).alias("__start"), x["__n"].alias("__size")))
+    cells = lists.select(*by, ends.alias("__ends"), F.explode(start).alias("__c")).select(*by, "__ends", "__c.*")
+    inside = lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__size"))
+    cells = settled(cells.select(*keys, "__start", F.size(F.filter("__ends", lambda r: r < F.col("__start"))).alias("__base"), F.filter("__ends", inside).alias("__in")))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    near = held.select(*keys, *order).join(_small(cells.where(F.size("__in") > 0)), keys).withColumn("__r", F.col("__start") + F.row_number().over(w) - 1)
+    place = F.struct(*order)
+    found = near.where(F.array_contains("__in", F.col("__r"))).groupBy(*keys).agg(F.collect_list(place).alias("__firsts"))
+    lookup = cells.select(*keys, "__base").join(found, keys, "left")
+    lookup = F.broadcast(lookup) if cells.count() <= SMALL else lookup
+    bucket = F.col("__base") + 1 + F.coalesce(F.size(F.filter("__firsts", lambda e: e <= place)), F.lit(0))
+    return held.join(lookup, keys).withColumn(name, F.when(F.col("__firsts").isNull(), F.col("__base") + 1).otherwise(bucket).cast("int")).drop("__range", "__base", "__firsts")
+
+
 def distinct_counts(df: DataFrame, by: Sequence[str], column: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """One row for each value (not null) of a group: n, and further sums."""
     return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (sums or {}).items()])
@@ -83,7 +124,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequen
     First rows are counted by range, which moves no values; the counts say which ranges hold the wanted ranks. Only the values
     of those ranges are counted, sorted and looked up. A group without values has no row."""
     d = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__v"))
-    d = d.withColumn("__range", range_of(["__v"], range_edges(d, ["__v"], ranges)))
+    d = d.withColumn("__range", range_of(["__v"], range_edges(d, ["__v"], ranges), ranges or MOST_RANGES))
     counts = d.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     lists = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__range", "__n"))).alias("__t"), F.sum("__n").alias("__all"))
     spot = [F.lit(float(p)) * (F.col("__all") - 1) for p in probs]
@@ -94,7 +135,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequen
     cells = cells.where(F.exists("__ends", lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__size"))))
     keys = [*by, "__range"]
     if by:
-        near = d.join(cells.select(*keys), keys, "left_semi")
+        near = d.join(_small(cells.select(*keys)), keys, "left_semi")
     else:  # at most two ranges for each quantile
         near = d.where(F.col("__range").isin([r[0] for r in cells.select("__range").collect()] or [-1]))
     v = near.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).join(cells, keys)

@@ -221,7 +221,8 @@ def segment_contrast(spark, sf):
 def heatmap_wilson(spark, sf):
     """E22."""
     b = E.rank_buckets(held_bets(spark, sf), "odds", ["contest_id", "entry_no"], 10, "x", ["surface"])
-    b = E.rank_buckets(b, "prob", ["contest_id", "entry_no"], 10, "y", ["surface"])
+    # added up from the smallest on, as means of few decimals are often half a unit of the last digit
+    b = E.rank_buckets(b, "prob", ["contest_id", "entry_no"], 10, "y", ["surface"]).select("surface", "x", "y", "prob", "is_place").sortWithinPartitions("surface", "prob")
     return r6(E.bucket_summary(b, ["surface", "x", "y"], "prob", "is_place"))
 
 

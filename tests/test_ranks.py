@@ -71,3 +71,21 @@ def test_no_task_sorts_a_whole_table(spark):
         assert windows and all("__range" in w for w in windows)
         for m in re.finditer(r"Exchange SinglePartition.*\n(.*)", plan):  # only what aggregates of tasks or ranges leave
             assert "Aggregate" in m[1] or "Project" in m[1]
+
+
+@pytest.mark.parametrize("by,ranges", [([], 3), ([], 200), (["g"], 7), (["g"], 64)])
+def test_rank_bucket_by_group(spark, by, ranges):
+    rows, df = table(spark, 3000, 5)
+    got = {r.i: r.b for r in R.rank_bucket(df.where("x is not null"), by, ["x", "i"], 10, "b", ranges).collect()}
+    for g in {r[0] for r in rows} if by else {None}:
+        mine = sorted((r for r in rows if r[1] is not None and (not by or r[0] == g)), key=lambda r: (r[1], r[2]))
+        last, q = len(mine) - 1, min(10, len(mine))
+        assert [got.pop(r[2]) for r in mine] == [max(1, -(-k * q // last)) if last else 1 for k in range(len(mine))]
+    assert not got
+
+
+def test_contrast_moves_no_rows(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 1, 0), ("a", 4, 1), ("a", None, 1), ("b", 2, 0)], "g string, bucket int, y int")
+    out = E.segment_contrast(df, ["g"], "bucket", "y")
+    assert {r.g: tuple(r)[1:] for r in out.collect()} == {"a": (2, 1, 0.5, 1.0, -0.5), "b": (1, 1, 0.0, 0.0, 0.0)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
