@@ -69,14 +69,16 @@ class Trees:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = np.array([[np.nan if v is None else v for v in r] for r in b["__x"].to_pylist()], float).reshape(b.num_rows, len(self.features))
-                names = b["__w"].to_pylist()
-                row = np.repeat(np.arange(len(names)), [len(n or ()) for n in names])
-                model = np.array([number.get(n, -1) for ns in names for n in ns or ()], np.int64)
+                x = b["__x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(self.features))
+                sizes = b["__w"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                named = b["__w"].flatten().dictionary_encode()
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                own_model = np.array([*[number.get(n, -1) for n in named.dictionary.to_pylist()], -1], np.int64)
+                model = own_model[named.indices.fill_null(len(own_model) - 1).to_numpy(zero_copy_only=False)]
                 known = model >= 0
                 p = np.full(len(row), np.nan)
                 p[known] = 1 / (1 + np.exp(-self.scores(self.bins(list(x.T)), row[known], model[known])))
-                ends = np.cumsum([0, *[len(n or ()) for n in names]])
+                ends = np.cumsum([0, *sizes])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p, mask=~known))
                 yield pa.RecordBatch.from_arrays([*[b[c] for c in own], lists], names=[*own, name])
 
@@ -117,7 +119,8 @@ def _best_splits(strength: float, least_rows: int):
 def grow(df: DataFrame, features: Sequence[str], label: str, members: Column, iterations: int = 10, depth: int = 4, rate: float = RATE, strength: float = LEAF_STRENGTH, least_rows: int = LEAST_ROWS, bins: int = BINS) -> Trees:
     """Trees of every model that `members` (an array of names for each row: the models that learn from it) names.
 
-    Features are cut into bins at exact quantiles, and the table of bins, labels and models is written once. For each level of a
+    Features are cut into bins at exact quantiles, and the table of bins, labels and models is written once, rows of equal bins and
+    models as one. For each level of a
     tree a task walks its rows down the trees so far and adds up gradients by model, node, feature and bin; Spark sums
     these and picks the best splits, of which the driver gets one for each model and node. So the number of passes is trees
     times levels, for one model as for all, and no state is kept by row. Rows with a null label are left out; null and NaN
@@ -143,7 +146,9 @@ def grow(df: DataFrame, features: Sequence[str], label: str, members: Column, it
             ids = [[number[x] for x in ms or ()] for ms in b["models"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["y"], pa.array([r.tobytes() for r in binned], pa.binary()), pa.array(ids, pa.list_(pa.int32()))], names=["y", "bins", "models"])
 
-    held = settled(learning.where(F.size("models") > 0).mapInArrow(pack, "y double, bins binary, models array<int>"))
+    packed = learning.where(F.size("models") > 0).mapInArrow(pack, "y double, bins binary, models array<int>")
+    # rows of equal bins and models walk the same way: one row with their number and the sum of their labels
+    held = settled(packed.groupBy("bins", "models").agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("y").alias("y")))
     nodes, width = 2 ** (depth + 1) - 1, bins + 1
     for t in range(iterations):
         trees.feature.append(np.full((len(stats), nodes), -1, np.int64))
@@ -180,11 +185,12 @@ def _level(held: DataFrame, trees: Trees, t: int, level: int, width: int, streng
             here = node >= first  # others have ended above
             row, model, node = row[here], model[here], node[here]
             p = 1 / (1 + np.exp(-trees.scores(bins, row, model, t)))
-            g, h = p - b["y"].to_numpy()[row], p * (1 - p)
+            m, y = b["m"].to_numpy()[row], b["y"].to_numpy()[row]
+            g, h = m * p - y, m * p * (1 - p)
             place = (model * (first + 1) + node - first) * count
             keys = ((place[:, None] + np.arange(count)) * width + bins[row]).ravel()
             u, at = np.unique(keys, return_inverse=True)
-            part = np.stack([np.bincount(at, np.repeat(x, count)) for x in (g, h, np.ones(len(g)))], axis=1)
+            part = np.stack([np.bincount(at, np.repeat(x, count)) for x in (g, h, m)], axis=1)
             for key, s in zip(u.tolist(), part, strict=True):
                 sums[key] = sums[key] + s if key in sums else s
         keys, s = np.array([*sums], np.int64), np.array([*sums.values()]).reshape(len(sums), 3)

@@ -134,3 +134,15 @@ def test_folds_grow_together_and_see_no_later_year(spark):
     assert all(abs(p[i] - q[i]) < 1e-12 for i in p if 2000 + i % 5 <= 2002) and any(abs(p[i] - q[i]) > 1e-6 for i in p if 2000 + i % 5 > 2002)
     with pytest.raises(ValueError):
         E.oof_predictions(df.withColumn("contest", F.lit(1)), "year", "contest", ["a"], "y")
+
+
+def test_equal_rows_grow_as_one(spark, monkeypatch):
+    from contestlab.operators import boosting
+
+    rows = [(float(i % 5), float(i % 3), int(i % 7 < 3), ["a"] if i % 2 else ["a", "b"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "u double, v double, y int, m array<string>")
+    kept, write = [], boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda d: kept.append(write(d)) or kept[-1])
+    trees = boosting.grow(df, ["u", "v"], "y", F.col("m"), 2, 2)
+    assert kept[-1].count() == 30 and sum(r["m"] for r in kept[-1].collect()) == 3000
+    assert trees.rows.tolist() == [3000.0, 1500.0] and trees.positives[0] == sum(r[2] for r in rows)
