@@ -119,13 +119,13 @@ def _best_splits(strength: float, least_rows: int):
 def grow(df: DataFrame, features: Sequence[str], label: str, members: Column, iterations: int = 10, depth: int = 4, rate: float = RATE, strength: float = LEAF_STRENGTH, least_rows: int = LEAST_ROWS, bins: int = BINS) -> Trees:
     """Trees of every model that `members` (an array of names for each row: the models that learn from it) names.
 
-    Features are cut into bins at exact quantiles, and the table of bins, labels and models is written once, rows of equal bins and
-    models as one. For each level of a
+    Features are cut into bins at exact quantiles, and the rows, and their table of bins, labels and models with rows of equal bins
+    and models as one, are written once. For each level of a
     tree a task walks its rows down the trees so far and adds up gradients by model, node, feature and bin; Spark sums
     these and picks the best splits, of which the driver gets one for each model and node. So the number of passes is trees
     times levels, for one model as for all, and no state is kept by row. Rows with a null label are left out; null and NaN
     features are missing values."""
-    learning = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), members.alias("models"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)])
+    learning = settled(df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), members.alias("models"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]))
     one = lambda k: F.struct(F.lit(k).alias("k"), F.nanvl(F.col(f"x{k}"), F.lit(None).cast("double")).alias("v"))
     long = learning.select(F.explode(F.array(*[one(k) for k in range(len(features))])).alias("x")).select("x.*")
     probs = [i / bins for i in range(1, bins)]
