@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.columns import wilson
 from contestlab.operators.boosting import grow
-from contestlab.operators.ranks import average_ranks, distinct_counts, exact_quantiles, rank_bucket, running_totals
+from contestlab.operators.ranks import distinct_counts, exact_quantiles, rank_bucket, running_totals
 from contestlab.operators.regression import fitted, logistic_fits, standardised
 from contestlab.sources.tables import settled
 
@@ -246,10 +246,19 @@ def segment_contrast(df: DataFrame, keys: Sequence[str], bucket: str, label: str
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Correlation of average ranks."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = d.join(average_ranks(d, by, x, "__r_x"), [*by, x]).join(average_ranks(d, by, y, "__r_y"), [*by, y])
-    return both.groupBy(*by).agg(F.corr("__r_x", "__r_y").alias("rank_correlation"), F.count("*").alias("n"))
+    """Correlation of average ranks. Rows are counted by pair of values first; what meets the tables of ranks is a row a pair, and
+    it is merged with them: the size of a written table says too little about its rows for them to be broadcast."""
+    pairs = settled(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__m")))
+
+    def ranks(c: str, name: str) -> DataFrame:
+        """Distance of each value's average rank from the mean rank, so that sums of products keep their digits."""
+        v = running_totals(pairs.groupBy(*by, c).agg(F.sum("__m").alias("n")), by, [c], {"below": F.col("n")})
+        return v.select(*by, c, (F.col("below") + (F.col("n") - F.col("below_all")) / 2.0).alias(name))
+
+    both = pairs.hint("merge").join(ranks(x, "__a"), [*by, x]).hint("merge").join(ranks(y, "__b"), [*by, y])
+    total = lambda c: F.sum(F.col("__m") * c)
+    a, b = F.col("__a"), F.col("__b")
+    return both.groupBy(*by).agg((total(a * b) / F.nullif(F.sqrt(total(a * a)) * F.sqrt(total(b * b)), F.lit(0.0))).alias("rank_correlation"), F.coalesce(F.sum("__m"), F.lit(0).cast("long")).alias("n"))
 
 
 def _model_metrics(df: DataFrame, label: str, fits: dict) -> dict[str, dict]:

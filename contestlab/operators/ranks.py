@@ -112,12 +112,6 @@ def distinct_counts(df: DataFrame, by: Sequence[str], column: str, sums: Mapping
     return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (sums or {}).items()])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
-    """One row for each value of a group with its rank; equal rows share the mean of their ranks."""
-    v = running_totals(distinct_counts(df, by, column), by, [column], {"below": F.col("n")})
-    return v.select(*by, column, (F.col("below") + (F.col("n") + 1) / 2.0).alias(name))
-
-
 def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], name: str = "quantiles", ranges: int | None = None) -> DataFrame:
     """One row for each group with the array of exact quantiles (linear between ranks) of a column; nulls don't count.
 

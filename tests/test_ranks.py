@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,14 @@ def test_contrast_moves_no_rows(spark):
     out = E.segment_contrast(df, ["g"], "bucket", "y")
     assert {r.g: tuple(r)[1:] for r in out.collect()} == {"a": (2, 1, 0.5, 1.0, -0.5), "b": (1, 1, 0.0, 0.0, 0.0)}
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_correlation_counts_pairs_and_broadcasts_no_rows(spark):
+    rows = [(g, float(i % 7), float((i * i) % 5), 1.0) for g in ("a", "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, one double")
+    out = E.rank_correlation(df, "x", "y", ["g"])
+    want = pd.DataFrame(rows, columns=list("gxy1")).query("g == 'a'")[["x", "y"]].corr("spearman").iloc[0, 1]
+    assert {r.g: (round(r.rank_correlation, 10), r.n) for r in out.collect()} == {g: (round(want, 10), 3000) for g in ("a", "b")}
+    pairs = [n for n in out._jdf.queryExecution().executedPlan().toString().splitlines() if "__m" in n and "BroadcastExchange" in n]
+    assert not pairs and "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert E.rank_correlation(df, "x", "one").first().rank_correlation is None
