@@ -70,6 +70,15 @@ def _likelihood(z: np.ndarray, m: np.ndarray, y: np.ndarray, starts: np.ndarray,
     return np.add.reduceat(y - m * p, starts), np.add.reduceat(m * p * (1 - p), starts), np.add.reduceat(y * at - m * np.logaddexp(0, at), starts)
 
 
+def shifts(z: np.ndarray, m: np.ndarray, y: np.ndarray, starts: np.ndarray, tau: float, newton: int = 8) -> np.ndarray:
+    """The shift of each run of offsets z (m rows and y labels each) under a normal prior of width tau."""
+    prec, effect = 1 / (tau * tau), np.zeros(len(starts))
+    for _ in range(newton):
+        slope, curvature, _ = _likelihood(z, m, y, starts, effect)
+        effect = effect + (slope - effect * prec) / (curvature + prec)
+    return effect
+
+
 def _runs(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     z, m, y = (np.concatenate(b[f"__{c}"].to_numpy()) for c in "zmy")
     return z, m, y, np.r_[0, b["__z"].str.len().cumsum().to_numpy()[:-1]].astype(int)
@@ -106,10 +115,7 @@ def _fit_whole(offsets: DataFrame, keys: Sequence[str], taus: Sequence[float], n
                 continue
             z, m, y, starts = _runs(b)
             for tau in taus:
-                prec, effect = 1 / (tau * tau), np.zeros(len(b))
-                for _ in range(newton):
-                    slope, curvature, _ = _likelihood(z, m, y, starts, effect)
-                    effect = effect + (slope - effect * prec) / (curvature + prec)
+                prec, effect = 1 / (tau * tau), shifts(z, m, y, starts, tau, newton)
                 _, curvature, like = _likelihood(z, m, y, starts, effect)
                 none = _likelihood(z, m, y, starts, np.zeros(len(b)))[2]
                 marginal = like - none - effect * effect * prec / 2 - np.log((curvature + prec) / prec) / 2

@@ -43,3 +43,18 @@ def test_folds_by_hand(spark):
         (days[0], 0, "outer", t), (days[0], 0, "inner", t), (days[1], 0, "outer", t), (days[1], 0, "inner", v), (days[2], 0, "outer", v),
         (days[0], 1, "outer", t), (days[0], 1, "inner", t), (days[1], 1, "outer", t), (days[1], 1, "inner", t), (days[2], 1, "outer", t), (days[2], 1, "inner", v), (days[3], 1, "outer", v),
     }
+
+
+def test_fits_by_entity_are_those_in_turn(spark):
+    df = events(spark, 900, 5)
+    z = F.round(F.ln(F.col("p") / (1 - F.col("p"))), 6)
+    counts = df.groupBy(F.lit("x").alias("pair"), F.col("e").alias("entity"), F.col("c").alias("cond"), z.alias("z"), (F.year("day") - 2020).alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    policy = N.ConfirmationPolicy(rounds=40, taus=(0.1, 0.8))
+    (a, c), (b, d) = N.fit_by_entity(counts.where("cut < 3"), 3, policy), N.fit_in_turn(counts.where("cut < 3"), 3, policy)
+    flat = lambda x: {(r.entity, r.cut, k): (r.e, n, *w) for r in x.collect() for k, n, w in zip(r.conds, r.ns, r.ws, strict=True)}
+    got, want = flat(a), flat(b)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    level = lambda x: {(r.cut, r.cond): r.c for r in x.collect()}
+    assert all(abs(level(c)[k] - v) < 1e-6 for k, v in level(d).items())
+    many = N.fit_by_entity(counts.where("cut < 3"), 3, policy, hot=1)[0]  # rows too many for one entity: the other way, whole
+    assert flat(many).keys() == want.keys()
