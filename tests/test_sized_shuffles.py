@@ -37,3 +37,16 @@ def test_totals_of_returns_are_exact(spark):
     rows = [(i, 1e9 if i == 0 else 0.1, 1.2) for i in range(20_001)]
     df = spark.createDataFrame(rows, "contest long, realized_return double, expected_return double").withColumns({"is_bet": F.lit(True), "is_hit": F.lit(True)}).repartition(7)
     assert M.pair_coverage(df, "contest").first().total_return == 1_000_002_000.0
+
+
+def test_last_of_each_history_before_a_date(spark):
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    runs = [(i % 5, day((i * 7) % 40), i, i % 9) for i in range(120)]
+    events = [(i % 6, day((i * 11) % 50), i, None if i % 4 == 0 else i % 13) for i in range(90)]
+    r, e = spark.createDataFrame(runs, "k int, d date, t int, v int"), spark.createDataFrame(events, "k int, at date, t int, w int")
+    out = M.last_of_each(r, {"run": (r, "d", "t", ["v"]), "event": (e, "at", "t", ["w"])}, "k", "d", 3)
+    last = lambda rows, k, d: max(((x[1], x[2], x[3]) for x in rows if x[0] == k and x[1] < d), key=lambda x: x[:2], default=None)
+    got = {(x.k, x.d): ((x.run.day, x.run.v) if x.run else None, (x.event.day, x.event.w) if x.event else None) for x in out.collect()}
+    assert got == {(k, d): tuple(m and (m[0], m[2]) for m in (last(runs, k, d), last(events, k, d))) for k, d in {x[:2] for x in runs}}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1  # rows move once, while they are narrow
