@@ -43,9 +43,10 @@ TASK_ROWS = 250_000
 
 def parts(spark: SparkSession, sf_dir: str, rows: int = TASK_ROWS) -> int | None:
     """The number of tasks over which a shuffle of all entries is spread, so that what one of them sorts doesn't grow with the
-    tables; None where the session's own number will do. The count reads the file's footer."""
+    tables; None where they are too few to matter. It is given even where the session has more partitions, since Spark
+    merges those by their bytes and a task's rows then grow with the tables. The count reads the file's footer."""
     n = -(-table(spark, sf_dir, "lineitem").count() // rows)
-    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    return n if n > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else None
 
 
 def spread(df: DataFrame, n: int | None, *keys: str) -> DataFrame:

@@ -50,3 +50,18 @@ def test_last_of_each_history_before_a_date(spark):
     assert got == {(k, d): tuple(m and (m[0], m[2]) for m in (last(runs, k, d), last(events, k, d))) for k, d in {x[:2] for x in runs}}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1  # rows move once, while they are narrow
+
+
+def test_tasks_keep_their_rows_below_the_sessions_partitions(spark, monkeypatch):
+    """With more shuffle partitions than the tables need Spark would merge them by bytes: the entries have their own number."""
+    n, before = spark.read.parquet(f"{SF}/lineitem.parquet").count(), spark.conf.get("spark.sql.shuffle.partitions")
+    want = -(-n // 500)
+    assert 4 < want < 200
+    monkeypatch.setattr(P, "TASK_ROWS", 500)
+    monkeypatch.setattr(P.parts, "__defaults__", (500,))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert P.parts(spark, SF) == want
+        assert P.entries(spark, SF).rdd.getNumPartitions() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
