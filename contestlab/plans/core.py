@@ -33,7 +33,9 @@ def rolling_rate_5y(spark, sf):
 @query(RATE.format(keys="rider, surface, turn", unit="month", label="is_place", m=35, prior=0.3, strength=20))
 def rolling_rate_by_condition(spark, sf):
     """The same by entity and condition."""
-    return r6(W.rolling_rate(entries(spark, sf), ["rider", "surface", "turn"], "held_date", "is_place", 35, "month", 0.3, 20))
+    # one shuffle by key serves the sums by month and the windows over them
+    e = spread(entries(spark, sf).select("rider", "surface", "turn", "held_date", "is_place"), parts(spark, sf), "rider", "surface", "turn")
+    return r6(W.rolling_rate(e, ["rider", "surface", "turn"], "held_date", "is_place", 35, "month", 0.3, 20))
 
 
 @query("""with /*ENTRY*/, p as (select surface, klass, date_trunc('year', held_date)::date period, count(*) n, sum(price) s, sum(price * price) q from entry group by all),
