@@ -51,19 +51,32 @@ def apply_preprocess(df: DataFrame, stats: dict, vocabulary: DataFrame, categori
     return out
 
 
+#: Numbers of a key that lie together when entries look for their history.
+RUNS = 100_000
+
+
 def history_arrays(entries: DataFrame, history: DataFrame, row: Sequence[str], key: str, number: str, end: str, values: Sequence[str], k: int) -> DataFrame:
-    """Entries with the last k history rows up to their end number, oldest first, padded on the right with zeros, and the
-    mask of real places. They meet by key and by cells of k numbers, of which an entry looks into two, so no row meets all
-    others of its key and no array exceeds k."""
-    cell = lambda c: F.floor(c / k)
-    h = history.select(key, number, *values, cell(F.col(number)).alias("__cell"))
-    looking = entries.select(*row, key, end, F.explode(F.array_distinct(F.array(cell(F.col(end) - k + 1), cell(F.col(end))))).alias("__cell"))
-    near = looking.join(h, [key, "__cell"]).where((F.col(number) <= F.col(end)) & (F.col(number) > F.col(end) - k))
-    got = near.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(number, *values))).alias("__h"))
-    out = entries.join(got, list(row), "left").withColumn("__h", F.coalesce("__h", F.array().cast(got.schema["__h"].dataType)))
+    """Entries (row, key and end number) with the last k history rows up to their end number, oldest first, padded on the right with
+    zeros, and the mask of real places. A null key or number is not looked at, a null key or end looks at nothing.
+
+    Entries and history lie side by side, ordered by number, and a window of k numbers looks back from each entry: nothing is paired,
+    and rows move once. A long key is cut into blocks of numbers, and a row at the end of one also stands in the next. Where history
+    is entries itself, both are read from one scan, and rows that lie by key stay where they are."""
+    kept = list(dict.fromkeys([*row, key, end]))
+    block = lambda c: F.floor(c / RUNS)
+    no = F.col(number).cast("long")
+    one, run = F.struct(*[c for c in kept if c != key]), F.struct(no.alias("__no"), *values)
+    types = entries.select(one.alias("__e")).schema["__e"].dataType, history.select(run.alias("__r")).schema["__r"].dataType
+    ask = F.array(F.struct(block(F.col(end)).alias("__block"), F.col(end).cast("long").alias("__at"), one.alias("__e"), F.lit(None).cast(types[1]).alias("__r")))
+    runs = F.transform(F.array_distinct(F.array(block(no), block(no + k - 1))), lambda b: F.struct(b.alias("__block"), no.alias("__at"), F.lit(None).cast(types[0]).alias("__e"), run.alias("__r")))
+    usable = F.col(key).isNotNull() & no.isNotNull()
+    laid = lambda df, rows: df.select(key, F.explode(rows).alias("__x")).select(key, "__x.*")
+    both = laid(entries, F.when(usable, F.concat(ask, runs)).otherwise(ask)) if history is entries else laid(entries, ask).unionByName(laid(history.where(usable), runs))
+    back = Window.partitionBy(key, "__block").orderBy("__at").rangeBetween(1 - k, 0)
+    out = both.withColumn("__h", F.array_sort(F.collect_list("__r").over(back))).where("__e is not null").select(key, "__e.*", "__h")
     n = F.size("__h")
     pad = lambda c: F.concat(F.transform("__h", lambda x: x[c].cast("double")), F.array_repeat(F.lit(0.0), k - n))
-    return out.withColumns({f"{v}_history": pad(v) for v in values} | {"history_mask": F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), k - n))}).drop("__h")
+    return out.select(*kept, *[pad(v).alias(f"{v}_history") for v in values], F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), k - n)).alias("history_mask"))
 
 
 def _field(name: str):

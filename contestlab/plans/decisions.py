@@ -12,7 +12,7 @@ from contestlab.operators import quotes as Q
 from contestlab.operators import windows as W
 from contestlab.operators.boosting import grow
 from contestlab.operators.confirmation import confirm_pairs
-from contestlab.plans.base import ENTRY, entries, query, r6, table
+from contestlab.plans.base import ENTRY, entries, parts, query, r6, spread, table
 from contestlab.sources.tables import settled
 
 MAX_AGE = 14_400.0
@@ -392,8 +392,9 @@ def preprocess(spark, sf):
 @query()
 def history_arrays(spark, sf):
     """E5, JN16: the last five runs of each entry's runner, padded, with masks; tests compare with lags."""
-    e = W.number_runs(entries(spark, sf), "runner", ["held_date", "contest_id", "entry_no"]).withColumn("end_no", F.col("run_no") - 1)
-    return E.history_arrays(e.select("contest_id", "entry_no", "runner", "end_no"), e, ["contest_id", "entry_no"], "runner", "run_no", "end_no", ["price", "finish"], 5)
+    e = spread(entries(spark, sf).select("contest_id", "entry_no", "runner", "held_date", "price", "finish"), parts(spark, sf), "runner")
+    e = W.number_runs(e, "runner", ["held_date", "contest_id", "entry_no"]).withColumn("end_no", F.col("run_no") - 1)
+    return E.history_arrays(e, e, ["contest_id", "entry_no"], "runner", "run_no", "end_no", ["price", "finish"], 5)
 
 
 @query()

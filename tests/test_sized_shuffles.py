@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from contestlab.operators import evaluation as E
 from contestlab.operators import marts as M
+from contestlab.operators import windows as W
 from contestlab.plans import base as P
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +67,21 @@ def test_tasks_keep_their_rows_below_the_sessions_partitions(spark, monkeypatch)
         assert P.entries(spark, SF).rdd.getNumPartitions() == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_history_arrays_move_once(spark, monkeypatch):
+    """Keys longer than a block, null keys and ends, and history that is the entries themselves: as taken from lists, in one move."""
+    rows = [(i, ("a", "b", "c", None)[(i * 7) % 4 if i > 30 else 0], float(i * 3 % 11)) for i in range(90)]
+    runs = W.number_runs(spark.createDataFrame(rows, "id int, who string, x double"), "who", ["id"]).withColumn("end", F.when(F.col("id") % 13 != 5, F.col("run_no") - 1))
+    monkeypatch.setattr(E, "RUNS", 6)
+    want, seen = {}, {}
+    for i, who, x in rows:
+        past = seen.setdefault(who, [])
+        h = past[-4:] if who and i % 13 != 5 else []
+        want[i] = (who, h + [0.0] * (4 - len(h)), [True] * len(h) + [False] * (4 - len(h)))
+        past.append(x)
+    one, two = (E.history_arrays(e, runs, ["id"], "who", "run_no", "end", ["x"], 4) for e in (runs, runs.select("id", "who", "end")))
+    for out in (one, two):
+        assert out.columns == ["id", "who", "end", "x_history", "history_mask"]
+        assert {r.id: (r.who, r.x_history, r.history_mask) for r in out.collect()} == want and out.count() == 90
+    assert one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
