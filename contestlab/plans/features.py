@@ -3,17 +3,16 @@ of features uses only what was known before its contest's date."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import columns as C
 from contestlab.operators import checks as K
 from contestlab.operators import joins as J
 from contestlab.operators import windows as W
-from contestlab.plans.base import ENTRY, entries, query, r6, table
+from contestlab.plans.base import ENTRY, entries, parts, query, r6, spread, table
 from contestlab.plans.decisions import MAX_AGE, TARGETS, selected
 from contestlab.operators import quotes as Q
-from contestlab.sources.tables import settled
 from contestlab.streaming.quotes import latest_quotes, prestart_entries, prestart_quotes
 
 PRIORITY = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3, "4-NOT SPECIFIED": 2, "5-LOW": 1}
@@ -90,18 +89,31 @@ def run_record_pointer(spark, sf):
     return out.select("contest_id", "entry_no", F.coalesce("last_run_no", F.lit(0)).cast("long").alias("end_no"), "field_size")
 
 
-def feature_matrix_of(e: DataFrame) -> DataFrame:
-    """A short row per entry with rates of its rider, pair history, lags, relative form and peers. Each history is
-    built at its own grain and meets the entries by equality, so every join is on a key with a period or date."""
+def past_counts(keys: list[str], month: str, label: str, back: int) -> tuple[Column, Column]:
+    """Rows and hits of a key in the `back` observed months before each row's, as columns of the rows themselves; month numbers the key's
+    months without gaps."""
+    w = Window.partitionBy(*keys).orderBy(month).rangeBetween(-back, -1)
+    return F.coalesce(F.count("*").over(w), F.lit(0)), F.coalesce(F.sum(F.col(label).cast("long")).over(w), F.lit(0))
+
+
+def feature_matrix_of(e: DataFrame, n: int | None = None) -> DataFrame:
+    """A short row per entry with rates of its rider, its pair history, lags, relative form and peers. A row moves once by rider
+    and once by runner (in n tasks each), and windows look back from it there; what needs its contest comes first, where entries
+    lie by contest."""
+    e = W.group_z(e.select("contest_id", "entry_no", "held_date", "rider", "runner", "surface", "quantity", "finish", "is_place", "is_win"), ["contest_id"], ["quantity"]).drop("quantity")
     month = F.trunc("held_date", "month")
-    rate = W.rolling_rate(e, ["rider"], "held_date", "is_place", 35, "month", 0.3, 20).select("rider", F.col("period").alias("month"), F.col("rate").alias("rider_rate"), F.col("past_n").alias("rider_n"))
-    by_surface = W.rolling_rate(e, ["rider", "surface"], "held_date", "is_place", 35, "month", 0.3, 20).select("rider", "surface", F.col("period").alias("month"), F.col("rate").alias("rider_surface_rate"))
-    past = J.decayed_window(J.daily(e, ["runner"], "held_date", ["is_place"]), ["runner"], "held_date", ["is_place"], 180).select("runner", "held_date", F.col("is_place_decayed").alias("runner_decayed"))
+    e = spread(e, n, "rider")
+    e = e.withColumns({"__m": F.dense_rank().over(Window.partitionBy("rider").orderBy(month)), "__ms": F.dense_rank().over(Window.partitionBy("rider", "surface").orderBy(month))})
+    dated = F.col("rider").isNotNull() & F.col("held_date").isNotNull()
+    for name, keys, m, known in (("rider", ["rider"], "__m", dated), ("surface", ["rider", "surface"], "__ms", dated & F.col("surface").isNotNull())):
+        past_n, past_k = past_counts(keys, m, "is_place", 35)
+        e = e.withColumns({f"{name}_n": past_n, f"{name}_k": past_k}).withColumns({f"{name}_n": F.when(known, F.col(f"{name}_n")), f"{name}_k": F.when(known, F.col(f"{name}_k"))})
+    e = spread(e.drop("__m", "__ms", "rider", "surface"), n, "runner")
     lags = W.lag_vector(e, "runner", ["held_date", "contest_id", "entry_no"], ["finish", "held_date"], 3)
     # several runs of one day count as one time: only lags of earlier dates are seen
     seen = {f"finish_lag{i}": F.when(F.col(f"held_date_lag{i}") < F.col("held_date"), F.col(f"finish_lag{i}")) for i in (1, 2, 3)}
-    out = W.group_z(lags.withColumns(seen), ["contest_id"], ["quantity"]).withColumn("month", month)
-    out = out.join(rate, ["rider", "month"], "left").join(by_surface, ["rider", "surface", "month"], "left").join(past, ["runner", "held_date"], "left")
+    out = J.decayed_rows(lags.withColumns(seen), ["runner"], "held_date", ["is_place"], 180)
+    out = out.withColumns({"runner_decayed": F.when(F.col("runner").isNotNull() & F.col("held_date").isNotNull(), F.col("is_place_decayed")), "rider_rate": F.when(F.col("rider_n").isNotNull(), C.smooth_rate("rider_k", "rider_n", 0.3, 20)), "rider_surface_rate": F.when(F.col("surface_n").isNotNull(), C.smooth_rate("surface_k", "surface_n", 0.3, 20))})
     lag = ["finish_lag1", "finish_lag2", "finish_lag3"]
     return out.select("contest_id", "entry_no", "held_date", "rider_rate", "rider_n", C.logit_diff("rider_surface_rate", "rider_rate").alias("surface_logit_diff"), "runner_decayed", C.lag_avg(lag).alias("finish_avg3"), C.lag_wavg(lag, [0.5, 0.3, 0.2]).alias("finish_wavg3"), C.lag_min(lag).alias("finish_best3"), "quantity_z", "is_place", "is_win")
 
@@ -116,7 +128,7 @@ round((coalesce(a * 0.5::double, 0) + coalesce(b * 0.3::double, 0) + coalesce(c
 from m join r on m.rider = r.rider and date_trunc('month', m.held_date)::date = r.month join rs on m.rider = rs.rider and m.surface = rs.surface and date_trunc('month', m.held_date)::date = rs.month join h on m.runner = h.runner and m.held_date = h.held_date""")
 def feature_matrix(spark, sf):
     """D23 to D26."""
-    f = feature_matrix_of(settled(entries(spark, sf)))
+    f = feature_matrix_of(entries(spark, sf), parts(spark, sf))
     return r6(f.withColumn("quantity_z", F.round("quantity_z", 5)))
 
 
@@ -124,8 +136,6 @@ def feature_matrix(spark, sf):
 def inference_contract(spark, sf):
     """D26, AG5, FL2."""
     s = selected(spark, sf).withColumn("status", Q.market_status(["win_odds"], MAX_AGE))
-    from pyspark.sql import Window
-
     return s.select("user_id", "day", F.when(F.col("status") == "available", F.col("win_odds")).alias("win_price"), F.bool_or(F.col("status") == "available").over(Window.partitionBy("day")).alias("any_price"))
 
 

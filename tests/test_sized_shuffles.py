@@ -5,9 +5,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from contestlab.operators import evaluation as E
+from contestlab.operators import joins as J
 from contestlab.operators import marts as M
 from contestlab.operators import windows as W
 from contestlab.plans import base as P
+from contestlab.plans import features as FM
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +87,24 @@ def test_history_arrays_move_once(spark, monkeypatch):
         assert out.columns == ["id", "who", "end", "x_history", "history_mask"]
         assert {r.id: (r.who, r.x_history, r.history_mask) for r in out.collect()} == want and out.count() == 90
     assert one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_decayed_rows_equal_decayed_days(spark):
+    """Over many spans too, of which each takes on what the one before left."""
+    rows = [(i % 3, dt.date(2000, 1, 1) + dt.timedelta(days=(i * 37) % 5000), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, d date, y int")
+    for half in (1.0, 3.5, 180.0):
+        days = {(r.k, r.d): r.y_decayed for r in J.decayed_window(J.daily(df, ["k"], "d", ["y"]), ["k"], "d", ["y"], half).collect()}
+        got = J.decayed_rows(df, ["k"], "d", ["y"], half).collect()
+        assert len(got) == 600
+        for r in got:
+            want = days[r.k, r.d]
+            assert (r.y_decayed is None) == (want is None) and abs((want or 0.0) - (r.y_decayed or 0.0)) < 1e-9
+
+
+def test_feature_matrix_moves_rows_by_contest_rider_and_runner_alone(spark):
+    e = P.entries(spark, SF)
+    out = FM.feature_matrix_of(e, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") <= 4  # lines and contests by contest, then by rider and by runner
+    assert out.count() == e.count()
