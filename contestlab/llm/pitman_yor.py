@@ -9,11 +9,13 @@ Seating is sampled by Gibbs: a customer, chosen at random among a dish's, leaves
 Chinese-restaurant process given all others; when a table opens or closes, a customer joins or leaves the parent. Words are
 dealt out into buckets with their dishes in all restaurants, so that only a restaurant's totals (customers, tables) are
 shared: bounded vectors, summed after each round; while a round runs, a bucket sees its own changes at once and others' as
-they were. Dishes of a bucket are visited side by side. In a sweep, small dishes (below LARGE customers) have about as many visits
-as customers; all customers of a large dish stand up and sit down again as one block: the places in their order of arrival
-at which tables open are drawn gap by gap, then the tables' sizes, and the new seating is taken or refused by
-Metropolis-Hastings, which makes it an exact move. It costs as much as the dish has tables, however many customers sit there.
-The seating (the sizes of all tables) is written after each round and the next goes on from it; totals are always those of
+they were. Dishes of a bucket are visited side by side. Of a small
+dish (up to SMALL customers) only the number of tables is kept, since no probability depends on more: a sweep draws it anew by its
+exact law, all seatings with so many tables taken together. All customers of a larger dish stand up and sit down again as one
+block: the places in their order of arrival at which tables open are drawn gap by gap, then the tables' sizes, and the new seating
+is taken or refused by Metropolis-Hastings, which makes it an exact move. It costs as much as the dish has tables, however many
+customers sit there.
+The seating (numbers of tables, and the sizes of larger dishes' tables) is written after each round and the next goes on from it; totals are always those of
 the seating that is written, so that the predictive probabilities of a sample add up to one. The samples' probabilities are
 averaged.
 
@@ -23,6 +25,7 @@ contexts of their own (FREQUENT)."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import pickle
@@ -49,6 +52,8 @@ SHORT = 5
 BURN_IN, SWEEPS, ROUNDS, ROOT_SWEEPS = 1, 1, 2, 1
 #: Customers from which on a dish is seated anew as a block, and changes of a dish's customers that are made one at a time.
 LARGE, FEW = 6, 16
+#: Customers up to which a dish's tables are drawn at once by their exact law, the tables' sizes summed out.
+SMALL = 64
 SEED = 11
 #: Tokens that a task gathers before it deals them out, and distinct words whose hashes it keeps.
 CHUNK, KNOWN = 700_000, 300_000
@@ -632,6 +637,120 @@ class Seats:
         self.size[first] += goal - np.add.reduceat(self.size, first)
 
 
+@functools.cache
+def stirling(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """By n customers and t tables up to SMALL: logs of S(n, t), the weight of all seatings of one dish, and the chance that any
+    one customer of such a seating sits alone."""
+    log_s = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    log_s[0, 0] = log_s[1, 1] = 0.0
+    t = np.arange(1, SMALL + 1)
+    for n in range(1, SMALL):
+        log_s[n + 1, 1:] = np.logaddexp(log_s[n, :-1], log_s[n, 1:] + np.log(np.maximum(n - d * t, 1e-300)))
+    alone, some = np.zeros_like(log_s), np.isfinite(log_s[1:, 1:])
+    alone[1:, 1:][some] = np.exp(log_s[:-1, :-1][some] - log_s[1:, 1:][some])
+    return log_s, alone
+
+
+class Tables:
+    """Customers of dishes of which the numbers of tables are wanted. Of dishes of at most SMALL customers no more is known: all
+    seatings with so many tables are one state, which is drawn anew by its exact law. Of larger ones the tables' sizes are kept
+    (size, dish by dish), and they sit as in Seats."""
+
+    def __init__(self, rng: np.random.Generator, discount: float, n: np.ndarray, t: np.ndarray, size: np.ndarray, opening: Callable, moved: Callable, law: Callable):
+        self.rng, self.d, self.n, self.t, self.size, self.opening, self.moved, self.law = rng, discount, n.astype(np.int64), t.astype(np.int64), size.astype(np.int64), opening, moved, law
+        self.log_s, self.alone = stirling(discount)
+
+    def start(self) -> None:
+        """A first seating of the large dishes, instead of one table each."""
+        i = np.flatnonzero(self.n > SMALL)
+        if len(i):
+            self.moved(i, -1)
+            none = np.zeros(0, np.int64)
+            seats = Seats(self.rng, self.d, none, np.zeros(len(i), np.int64), self.opening, self.moved, self.law, i)
+            seats.start(self.n[i])
+            self._take(i, seats)
+
+    def _take(self, i: np.ndarray, seats: Seats) -> None:
+        """Dishes i, all large ones among them, as they are in seats."""
+        self.n[i], self.t[i] = seats.n, seats.t
+        self.size = seats.size[np.repeat(seats.n > SMALL, seats.t)]
+
+    def _seats(self, i: np.ndarray) -> Seats:
+        """Dishes i (rising), all large ones among them, with sizes of their tables; those of small ones are drawn by their law:
+        from the last customer to the first, each is the one who opened a table by the chance to sit alone."""
+        small = self.n[i] <= SMALL
+        n, t = self.n[i[small]], self.t[i[small]]
+        first, left, places = t.cumsum() - t, t.copy(), np.zeros(int(t.sum()), np.int64)
+        for m in range(int(n.max(initial=1)), 1, -1):
+            k = np.flatnonzero(n >= m)
+            k = k[self.rng.random(len(k)) < self.alone[m, left[k]]]
+            left[k] -= 1
+            places[first[k] + left[k]] = m - 1
+        some = np.repeat(small, self.t[i])
+        size = np.empty(len(some), np.int64)
+        size[~some] = self.size
+        if len(n):
+            size[some] = table_sizes(self.rng, self.d, n, t, places, np.ones_like(places))
+        return Seats(self.rng, self.d, size, self.t[i], self.opening, self.moved, self.law, i)
+
+    def sweep(self) -> None:
+        i = np.flatnonzero((self.n > 1) & (self.n <= SMALL))
+        half = self.rng.random(len(i)) < 0.5
+        self.draw(i[half])
+        self.draw(i[~half])
+        i = np.flatnonzero(self.n > SMALL)
+        if len(i):
+            seats = self._seats(i)
+            seats.sweep()
+            self._take(i, seats)
+
+    def draw(self, i: np.ndarray) -> None:
+        """Numbers of tables of small dishes i by their law, all else as it is: S(n, t) times the weights of the openings."""
+        law, n, t = self.law(i), self.n[i], self.t[i]
+        for below, most in itertools.pairwise((1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, SMALL)):
+            k = np.flatnonzero((n > below) & (n <= most))
+            if len(k):
+                log_w = self.log_s[n[k], 1 : most + 1]
+                log_w[:, 1:] += np.log(law.at(k[:, None], np.arange(1, most))).cumsum(axis=1)
+                w = np.exp(log_w - log_w.max(axis=1, keepdims=True)).cumsum(axis=1)
+                t[k] = 1 + (w <= self.rng.random((len(k), 1)) * w[:, -1:]).sum(axis=1)
+        self._become(i, t)
+
+    def _become(self, i: np.ndarray, t: np.ndarray) -> None:
+        by = t - self.t[i]
+        self.t[i] = t
+        self.moved(i[by != 0], by[by != 0])
+
+    def bring(self, wanted: np.ndarray) -> None:
+        """As Seats.bring(); of a small dish, the customer who leaves has sat alone by the share of such seatings."""
+        large = (self.n > SMALL) | (wanted > SMALL)
+        i = np.flatnonzero(large)
+        if (self.n[i] != wanted[i]).any():
+            seats = self._seats(i)
+            seats.bring(wanted[i])
+            self._take(i, seats)
+        live = np.flatnonzero(~large & (self.n != wanted))
+        while len(live):
+            leaves = self.n[live] > wanted[live]
+            i, j = live[leaves], live[~leaves]
+            t = self.t[i] - (self.rng.random(len(i)) < self.alone[self.n[i], self.t[i]])
+            self.n[i] -= 1
+            self._become(i, t)
+            new = self.opening(j)
+            t = self.t[j] + (self.rng.random(len(j)) * (new + self.n[j] - self.d * self.t[j]) < new)
+            self.n[j] += 1
+            self._become(j, t)
+            live = live[self.n[live] != wanted[live]]
+
+
+def _add(to: np.ndarray, at: np.ndarray, by: np.ndarray | int) -> None:
+    """to[at] += by, at places that may be the same."""
+    if len(at) > len(to) // 16:
+        to += np.bincount(at, np.broadcast_to(by, len(at)), minlength=len(to)).astype(to.dtype)
+    else:
+        np.add.at(to, at, np.broadcast_to(by, len(at)).astype(to.dtype))
+
+
 class Totals:
     """What every task knows of all: customers of contexts, tables of contexts, customers and tables of classes, customers and
     tables of the root, the vocabulary and the training tokens, and each frequent context's class."""
@@ -689,25 +808,27 @@ class Bucket:
         """Take up the seating of state, or a first one if it has none."""
         self.all = totals
         fresh = "t2" not in state
-        none = np.zeros(0, np.int64)
-        empty = lambda n: (np.zeros(n, np.int64), none)
-        t2, size2 = empty(len(self.low_count)) if fresh else _unfolded(self.low_count, state["t2"], state["size2"])
-        self.n1 = self.customers(1, np.ones(len(t2), np.int64) if fresh else t2)
-        t1, size1 = empty(len(self.n1)) if fresh else _unfolded(self.n1, state["t1"], state["size1"])
-        self.n0 = self.customers(0, np.ones(len(t1), np.int64) if fresh else t1)
-        t0, size0 = empty(len(self.n0)) if fresh else _unfolded(self.n0, state["t0"], state["size0"])
-        self.low = Seats(rng, DISCOUNT[2], size2, t2, self._opening2, self._moved2, self._law2)
-        self.high = Seats(rng, DISCOUNT[1], size1, t1, self._opening1, self._moved1, self._law1)
-        self.top = Seats(rng, DISCOUNT[0], size0, t0, self._opening0, self._moved0, self._law0)
-        if fresh:  # the totals count one table for each dish; each that opens now takes its place
-            for level, (seats, dishes) in ((2, (self.low, self.low_count)), (1, (self.high, self.n1)), (0, (self.top, self.n0))):
-                (self._moved2, self._moved1, self._moved0)[2 - level](np.arange(len(dishes)), -1)
-                seats.start(self.low_count if level == 2 else self.n1.copy() if level else self.n0.copy())
+
+        def made(level: int, n: np.ndarray, *law: Callable) -> Tables:
+            t, size = (np.ones(len(n), np.int64), np.zeros(0, np.int64)) if fresh else (_tables(n, state[f"t{level}"]), state[f"size{level}"])
+            return Tables(rng, DISCOUNT[level], n, t, size, *law)
+
+        self.low = made(2, self.low_count, self._opening2, self._moved2, self._law2)
+        self.n1 = self.customers(1, self.low.t)
+        self.high = made(1, self.n1, self._opening1, self._moved1, self._law1)
+        self.n0 = self.customers(0, self.high.t)
+        self.top = made(0, self.n0, self._opening0, self._moved0, self._law0)
+        if fresh:  # the totals count one table for each dish
+            self.low.start()
+            self.high.n = self.n1.copy()
+            self.high.start()
+            self.top.n = self.n0.copy()
+            self.top.start()
 
     def parent(self, dish: np.ndarray) -> np.ndarray:
         """Probability of dishes in their class's restaurant."""
         c, n, w = self.dish_class[dish], self.n1[dish], self.dish_word[dish]
-        t = np.minimum(np.maximum(self.high.t[dish], 1), n)  # one at least, as long as none has sat down yet
+        t = np.minimum(self.high.t[dish], n)
         d, theta, a = DISCOUNT[1], STRENGTH[1], self.all
         return (n - d * t + (theta + d * a.class_t[c]) * a.root(self.n0[w], np.maximum(self.top.t[w], 1))) / (theta + a.class_n[c])
 
@@ -740,13 +861,13 @@ class Bucket:
 
     def _moved2(self, cell: np.ndarray, by: int) -> None:
         dish = self.low_dish[cell]
-        np.add.at(self.all.context_t, self.low_context[cell], by)
-        np.add.at(self.n1, dish, by)
-        np.add.at(self.all.class_n, self.dish_class[dish], by)
+        _add(self.all.context_t, self.low_context[cell], by)
+        _add(self.n1, dish, by)
+        _add(self.all.class_n, self.dish_class[dish], by)
 
     def _moved1(self, dish: np.ndarray, by: int) -> None:
-        np.add.at(self.all.class_t, self.dish_class[dish], by)
-        np.add.at(self.n0, self.dish_word[dish], by)
+        _add(self.all.class_t, self.dish_class[dish], by)
+        _add(self.n0, self.dish_word[dish], by)
         self.all.root_n += float(np.sum(np.broadcast_to(by, len(dish))))
 
     def _moved0(self, word: np.ndarray, by: int) -> None:
@@ -762,21 +883,9 @@ class Bucket:
                 self.top.sweep()
 
     def state(self) -> dict[str, np.ndarray]:
-        """The seating: tables and their sizes, of dishes with more than one customer."""
-        out = {}
-        for level, s in ((2, self.low), (1, self.high), (0, self.top)):
-            many = s.n > 1
-            out |= {f"t{level}": s.t[many].astype(U), f"size{level}": s.size[np.repeat(many, s.t)].astype(U)}
-        return out
-
-
-def _unfolded(n: np.ndarray, t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of all dishes where only those of dishes with more than one customer are given."""
-    tables = np.ones(len(n), np.int64)
-    tables[n > 1] = t.astype(np.int64)
-    sizes = np.ones(int(tables.sum()), np.int64)
-    sizes[np.repeat(n > 1, tables)] = size.astype(np.int64)
-    return tables, sizes
+        """The seating: tables of dishes with more than one customer, and sizes of those of large dishes."""
+        levels = ((2, self.low), (1, self.high), (0, self.top))
+        return {f"t{k}": s.t[s.n > 1].astype(U) for k, s in levels} | {f"size{k}": s.size.astype(U) for k, s in levels}
 
 
 def seated(k: int, totals: Totals, classes: np.ndarray) -> Callable:

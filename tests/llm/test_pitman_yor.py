@@ -245,3 +245,40 @@ def test_query_columns(spark, tmp_path):
     assert out.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and out.count() == 22
     held = spark.range(60).where(F.crc32(F.col("id").cast("string")) % 10 == 0).toPandas().id.tolist()
     assert sorted(r.doc_id for r in out.where("held_out").collect()) == [i for i in held if i < 20 or i in (50, 51)]
+
+
+def tables(n, count, d, theta, p, first, seed=3):
+    """As dishes(), by numbers of tables alone."""
+    live = np.full(count, float(first))
+    s = P.Tables(np.random.default_rng(seed), d, np.full(count, n), np.full(count, first), np.zeros(0, int), lambda i: (theta + d * live[i]) * p, lambda i, by: np.add.at(live, i, by), alone(d, theta, p))
+    return s, live
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 12, 40, P.SMALL])
+def test_one_sweep_draws_small_dishes_by_their_law(n):
+    """The first sweep already follows the exact law, wherever it starts from."""
+    d, theta, p = 0.5, 1.0, 0.4
+    s, live = tables(n, 20_000, d, theta, p, n)
+    s.sweep()
+    assert abs(np.bincount(s.t, minlength=n + 1) / 20_000 - law_of_tables(n, d, theta, p)).sum() < 0.06
+    assert (live == s.t).all() and not len(s.size)
+
+
+def test_small_dishes_grow_and_shrink_by_the_law_of_one_customer():
+    """Also past SMALL, where tables get sizes, and back, where they lose them."""
+    d, theta, p, every = 0.5, 1.0, 0.4, np.arange(6000)
+    (s, live), (q, _) = tables(12, 6000, d, theta, p, 4), dishes(12, 6000, d, theta, p, 1, 9)
+    for _ in range(60):  # until the sizes follow the law, too
+        q.sweep()
+    s.n, s.t = q.n.copy(), q.t.copy()
+    live[:] = s.t
+    for goal in (20, 7, P.SMALL + 6, 300, 9, 0, 3):
+        s.bring(np.full(6000, goal))
+        while (by := goal - int(q.n[0])) != 0:
+            (q.sit if by > 0 else q.leave)(every)
+        t = [np.bincount(x.t, minlength=301) / 6000 for x in (s, q)]
+        assert abs(t[0] - t[1]).sum() < 0.13, goal
+        assert (live == s.t).all() and (s.n == goal).all() and len(s.size) == (s.t.sum() if goal > P.SMALL else 0)
+        if goal > P.SMALL:
+            sizes = [np.bincount(x.size, minlength=400) / 6000 for x in (s, q)]
+            assert abs(sizes[0] - sizes[1]).max() < 0.11, goal  # three standard errors of some 2.5 tables of one customer
