@@ -34,11 +34,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contestlab.llm.common import LOWER_BYTES, input_partitions, materialise, planes, read, tidy, unplanes
+from contestlab.llm.common import LOWER_BYTES, STEP, input_partitions, materialise, planes, read, tidy, unplanes
 
 #: Discounts and strengths of the root, the classes and the contexts.
 DISCOUNT, STRENGTH = (0.70, 0.75, 0.80), (10.0, 5.0, 2.0)
@@ -55,49 +57,53 @@ LARGE, FEW = 6, 16
 #: Customers up to which a dish's tables are drawn at once by their exact law, the tables' sizes summed out.
 SMALL = 64
 SEED = 11
-#: Tokens that a task gathers before it deals them out, and distinct words whose hashes it keeps.
-CHUNK, KNOWN = 700_000, 300_000
+#: Tokens that a task gathers before it deals them out.
+CHUNK = 700_000
 #: Log probabilities are sent as multiples of 2 ** -30.
 UNIT = 1 << 30
 START, END = b"\x00<start>", b"\x00<end>"
 U = np.uint64
 
 
-def word_hash(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w)
+word_hash = xxhash.xxh3_64_intdigest
 
 
 def class_of(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w if len(w) <= SHORT else b"\x01" + w[-3:], 1) % CLASSES
 
 
-class _Codes(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
-
-
 class Vocabulary:
-    """Code, hash and context of each distinct word of a task, worked out once; the first is the start. frequent: sorted
+    """Hash and context of each distinct word of a batch of documents, by its code: start, end, then the others. frequent: sorted
     hashes of the words that are contexts of their own; the others' contexts are FREQUENT + class."""
 
-    def __init__(self, frequent: np.ndarray) -> None:
-        self.frequent, self.code = frequent, _Codes()
-        self.hash, self.context = np.zeros(0, U), np.zeros(0, np.uint16)
-        self.codes([START])
-
-    def codes(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.code.__getitem__, tokens), np.uint32, len(tokens))
-
-    def learn(self) -> None:
-        """Hashes and contexts of the words that are new since the last time."""
-        new = list(itertools.islice(self.code, len(self.hash), None))
-        hashes = np.array(list(map(word_hash, new)), U)
-        at, known = _found(self.frequent, hashes)
-        contexts = np.where(known, at, FREQUENT + np.array(list(map(class_of, new)), np.int64)).astype(np.uint16)
-        self.hash, self.context = np.r_[self.hash, hashes], np.r_[self.context, contexts]
+    def __init__(self, words: pa.LargeStringArray, frequent: np.ndarray) -> None:
+        sizes = np.r_[len(START), len(END), pc.binary_length(words).to_numpy(zero_copy_only=False)]
+        data, ends = START + END + (words.buffers()[2].to_pybytes() if len(words) else b""), np.r_[0, sizes.cumsum()].astype(np.int64)
+        at = ends.tolist()
+        self.hash = np.fromiter(map(word_hash, map(data.__getitem__, map(slice, at[:-1], at[1:]))), U, len(ends) - 1)
+        place, known = _found(frequent, self.hash)
+        rest = np.flatnonzero(~known)
+        size, last = np.diff(ends)[rest], ends[rest + 1]
+        long, short = size > SHORT, np.flatnonzero(size <= SHORT)
+        classes, raw = np.zeros(len(rest), np.int64), np.frombuffer(data, np.uint8).astype(np.uint32)
+        z = last[long]
+        suffix, which = np.unique(raw[z - 3] << 16 | raw[z - 2] << 8 | raw[z - 1], return_inverse=True)
+        classes[long] = np.array([class_of(bytes(SHORT) + int(x).to_bytes(3)) for x in suffix], np.int64)[which]
+        classes[short] = [class_of(data[at[k] : at[k + 1]]) for k in rest[short].tolist()]
+        place[rest] = FREQUENT + classes
+        self.context = place.astype(np.uint16)
+
+
+def word_arrays(texts: pd.Series) -> Iterator[tuple[pa.LargeStringArray, np.ndarray]]:
+    """The words of some texts, as tokens_of() has them but without ends, and how many each text has, a few MB at a time."""
+    texts = pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum() // STEP
+    cuts = np.r_[firsts(size), len(size)]
+    for a, z in itertools.pairwise(cuts.tolist()):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[a:z]))
+        words, offsets = lists.values, lists.offsets.to_numpy()
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        yield words.filter(pa.array(some)), np.diff(np.r_[0, some.cumsum()][offsets])
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -152,43 +158,41 @@ def placed(rows: DataFrame, parts: int) -> DataFrame:
 # counting
 
 
-def chunks(batches: Iterator[pd.DataFrame], frequent: np.ndarray) -> Iterator[tuple[Vocabulary, list, list, list]]:
-    """Documents (id, training, text) in batches of about CHUNK tokens: vocabulary, codes, ids and flags."""
-    vocab, codes, ids, train, held = Vocabulary(frequent), [], [], [], 0
+def chunks(batches: Iterator[pd.DataFrame], frequent: np.ndarray, most: int = CHUNK) -> Iterator[tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents (id, text) in batches of about so many tokens: vocabulary, the tokens' codes, the documents' numbers of tokens,
+    ids."""
+    words, lengths, ids = [], [], []
+
+    def one() -> tuple:
+        coded, n, i = pa.concat_arrays(words).dictionary_encode(), np.concatenate(lengths) + 1, np.concatenate(ids)
+        for held in (words, lengths, ids):
+            held.clear()
+        codes, is_end = np.ones(int(n.sum()), np.uint32), np.zeros(int(n.sum()), bool)
+        is_end[n.cumsum() - 1] = True
+        codes[~is_end] = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + np.uint32(2)
+        return Vocabulary(coded.dictionary, frequent), codes, n, i
+
     for b in batches:
-        for i, t, text in zip(b["id"], b["training"], b["text"], strict=True):
-            codes.append(vocab.codes(tokens_of(text)))
-            ids.append(i)
-            train.append(t)
-            held += len(codes[-1])
-            if held > CHUNK:
-                vocab.learn()
-                yield vocab, codes, ids, train
-                vocab = Vocabulary(frequent) if len(vocab.code) > KNOWN else vocab
-                codes, ids, train, held = [], [], [], 0
-    if codes:
-        vocab.learn()
-        yield vocab, codes, ids, train
+        own, done = b["id"].to_numpy(np.int64), 0
+        for w, n in word_arrays(b["text"]):
+            words.append(w)
+            lengths.append(n)
+            ids.append(own[done : done + len(n)])
+            done += len(n)
+            if sum(len(x) for x in words) + sum(len(x) for x in lengths) > most:
+                yield one()
+    if lengths:
+        yield one()
 
 
 def frequent_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the FREQUENT most frequent words of the training rows (ties by hash), and their classes."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, n, held = Vocabulary(np.zeros(0, U)), np.zeros(0, np.int64), []
-        for b in batches:
-            for text in b["text"]:
-                held.append(vocab.codes(tokens_of(text)))
-                if len(held) >= 1000:
-                    n, held = _more(n, held, len(vocab.code)), []
-                    if len(vocab.code) > KNOWN:
-                        yield one(vocab, n)
-                        vocab, n = Vocabulary(np.zeros(0, U)), np.zeros(0, np.int64)
-        if held or len(n):
-            yield one(vocab, _more(n, held, len(vocab.code)))
+        for vocab, codes, _, _ in chunks(batches, np.zeros(0, U), 3 * CHUNK):
+            yield one(vocab, np.bincount(codes, minlength=len(vocab.hash)))
 
     def one(vocab: Vocabulary, n: np.ndarray) -> pd.DataFrame:
-        vocab.learn()
         used = np.flatnonzero(n)
         used = used[np.argsort(vocab.hash[used])]
         hashes, n, c = vocab.hash[used], n[used], vocab.context[used] - np.uint16(FREQUENT)
@@ -215,13 +219,6 @@ def frequent_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarra
     return words[order], classes
 
 
-def _more(n: np.ndarray, codes: list[np.ndarray], size: int) -> np.ndarray:
-    """Counts of codes, with those of some more texts."""
-    out = np.bincount(np.concatenate(codes), minlength=size) if codes else np.zeros(size, np.int64)
-    out[: len(n)] += n
-    return out
-
-
 def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words, n, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(words)
@@ -237,32 +234,30 @@ def dealt(rows: DataFrame, buckets: int, frequent: np.ndarray, offsets: np.ndarr
     numbers of tokens."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for vocab, codes, ids, _ in chunks(batches, frequent):
-            yield one(vocab, codes, ids)
+        for chunk in chunks(batches, frequent):
+            yield one(*chunk)
 
-    def one(vocab: Vocabulary, codes: list, ids: list) -> pd.DataFrame:
-        lengths = np.array([len(c) for c in codes])
-        word = np.concatenate(codes)
-        codes.clear()
+    def one(vocab: Vocabulary, word: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
         before = np.r_[np.uint32(0), word[:-1]]
         before[np.r_[0, lengths.cumsum()[:-1]]] = 0
         used = np.flatnonzero(np.bincount(word))
         used = used[np.argsort(vocab.hash[used])]
-        hashes, place = vocab.hash[used], np.zeros(len(vocab.code), U)
+        hashes, place = vocab.hash[used], np.zeros(len(vocab.hash), U)
         place[used] = np.arange(len(used), dtype=U)
         key = place[word] << U(16) | vocab.context[before]
         rows = []
         if offsets is None:
             key.sort()
         else:
-            order = np.argsort(key, kind="stable")
-            docs = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)[order]
-            key = key[order]
+            bits = U(len(ids).bit_length())  # a word's place and a document's number have less than 48 bits
+            key = key << bits | np.repeat(np.arange(len(ids), dtype=U), lengths)
+            key.sort()
+            docs = (key & ((U(1) << bits) - U(1))).astype(np.uint32)
+            key >>= bits
         at = firsts(key)
         cells, n = key[at], np.diff(np.r_[at, len(key)]).astype(np.uint32)
         if offsets is not None:
             ends = np.r_[0, n.cumsum(dtype=np.int64)]
-            ids = np.array(ids, np.int64)
             chunk = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
             rows.append((chunk % int(offsets[-1]), IDS, chunk, pack(ids=ids, n=lengths.astype(np.uint32))))
         word, context = (cells >> U(16)).astype(np.int64), (cells & U(0xFFFF)).astype(np.uint16)
