@@ -282,3 +282,31 @@ def test_small_dishes_grow_and_shrink_by_the_law_of_one_customer():
         if goal > P.SMALL:
             sizes = [np.bincount(x.size, minlength=400) / 6000 for x in (s, q)]
             assert abs(sizes[0] - sizes[1]).max() < 0.11, goal  # three standard errors of some 2.5 tables of one customer
+
+
+def test_rare_contexts_have_restaurants_of_their_own(spark):
+    """Words beyond the FREQUENT most frequent, which share a class: what follows one does not count for another."""
+    words, rng = [f"w{k}" for k in range(P.FREQUENT + 50)], random.Random(4)
+    rows = [(k, True, " ".join(words[k : k + 700] * 4)) for k in range(0, len(words), 700)]
+    for k in range(40):  # contexts that end alike, three times each
+        rows += [(10_000 + 3 * k + j, True, f"filler{k}xyz w{7 * k} w{rng.randrange(1000)}") for j in range(3)]
+    held = [(20_000 + k, False, t) for k, t in enumerate(("filler1xyz w7", "filler2xyz w7", "filler99xyz w7", "w9 filler1xyz"))]
+    df = spark.createDataFrame(rows + held, "doc_id long, training boolean, text string").repartition(4)
+    got = {r.doc_id: r.score for r in P.score(df, buckets=3).collect()}
+    assert got[20_000] > got[20_001] + 0.5
+    model = P.train(df.withColumnRenamed("doc_id", "id"), 1)
+    state, rare = P.unpack(bytes(model.states.first().data)), P.unpack(bytes(model.rare.first().data))
+    predictive = P.Predictive(state, model.samples, model.classes, rare["t"])
+    b, n = predictive.b, state["rare_n"]
+    assert model.samples[0].class_more.sum() > 0 and n.sum() == b.rare_count.sum() and (n < 20).all()
+    own = P.U(P.word_hash(b"filler1xyz") >> 16)
+    assert n[np.searchsorted(b.ids, own)] == 3 and 0 == n[np.searchsorted(b.ids, P.U(P.word_hash(b"filler99xyz") >> 16))]
+    for k, t in ((1, state["rt@1"]), (2, rare["t"])):
+        tables = P._tables(b.rare_count, state[f"r2@{k}"])
+        assert (np.bincount(b.rare_at, tables, minlength=len(n)) == t).all() and (tables <= b.rare_count).all()
+        assert (np.bincount(b.dish_class[b.cell_dish[len(b.low_count) :]], tables, minlength=P.CLASSES) == model.samples[k - 1].class_more).all()
+    words = np.r_[b.words, P.U(1)]
+    context = np.full(len(words), P.FREQUENT + P.class_of(b"filler1xyz"), np.uint16)
+    for i in (own, P.U(P.word_hash(b"filler2xyz") >> 16), P.U(P.word_hash(b"filler99xyz") >> 16)):
+        p, _ = predictive.probability(words, context, np.full(len(words), i, P.U))
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
