@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.columns import blend_price, logit_diff, smooth_rate
-from contestlab.operators.joins import best_in_window, complete_grid, decayed_history, slot_value
+from contestlab.operators.joins import best_in_window, decayed_history, slot_value
 from contestlab.operators.windows import by_period, pick_first, prefer_source, rank_in_group
 from contestlab.sources.tables import SMALL
 
@@ -229,14 +229,16 @@ def excess_z(df: DataFrame, keys: Sequence[str], date: str, value: str, n_period
     return out.withColumn("excess_z", F.when(n >= least, (s / n - F.col(value)) / sd)).drop("__p", "__n", "__s", "__q")
 
 
-def condition_history(df: DataFrame, entity: str, condition: str, levels: Sequence, date: str, label: str, half_life: float, years: int) -> DataFrame:
+def condition_history(df: DataFrame, entity: str, condition: str, levels: Sequence, date: str, label: str, half_life: float, years: int, parts: int | None = None) -> DataFrame:
     """entity, date and, for each level, the decayed starts and labels of earlier dates under it: every date of an entity
-    meets every level (0 where it did not start), is decayed by level, and the levels become columns."""
-    days = df.groupBy(entity, date, condition).agg(F.count("*").alias("starts"), F.sum(label).alias("hits"))
-    grid = complete_grid(df, [entity, date], condition, levels).join(days, [entity, date, condition], "left").fillna(0, ["starts", "hits"])
-    past = decayed_history(grid, [entity, condition], date, ["starts", "hits"], half_life, years)
-    pick = lambda v, x: F.max(F.when(F.col(condition) == x, F.col(f"{v}_decayed"))).alias(f"{v}_{x}")
-    return past.groupBy(entity, date).agg(*[pick(v, x) for x in levels for v in ("starts", "hits")])
+    meets every level (0 where it did not start). Rows are dealt out by entity once (to so many parts, if given), while they are
+    narrow; the levels are columns from the sums by date on, so that one decayed pass serves them all where an entity lies."""
+    rows = df.select(entity, date, condition, label)
+    dealt = rows.repartition(parts, entity) if parts else rows.repartition(entity)
+    under = {x: F.col(condition) == F.lit(x) for x in levels}
+    names = [f"{v}_{x}" for x in levels for v in ("starts", "hits")]
+    days = dealt.groupBy(entity, date).agg(*[f for x, c in under.items() for f in (F.count_if(c).alias(f"starts_{x}"), F.coalesce(F.sum(F.when(c, F.col(label))), F.lit(0)).alias(f"hits_{x}"))])
+    return decayed_history(days, [entity], date, names, half_life, years).withColumnsRenamed({f"{n}_decayed": n for n in names})
 
 
 def live_context(declared: DataFrame, updates: DataFrame, date: str, target, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Marts: odds of pairs, histories that stay where they lie."""
 
+import datetime as dt
 import math
 
+from contestlab.operators import marts as M
 from contestlab.plans import marts as PM
 
 
@@ -14,3 +16,22 @@ def test_pair_odds_are_rounded_as_sql_rounds(spark):
     price = {(i, j): (1 + by_no[i][3] * 2 + by_no[j][3]) * 0.8 / (by_no[i][2] / total * (by_no[j][2] / total) * 2) for i in by_no for j in by_no if i < j}
     assert got == {k: math.floor(x * 10 + 0.5) / 10 for k, x in price.items()}
     assert 51.849999999999994 in price.values() and 51.9 in got.values()
+
+
+def test_condition_histories_move_rows_once(spark):
+    """Dates without a start under a level, levels that are not asked for, and null levels and labels: as summed pair by pair."""
+    day = lambda i: dt.date(2015, 1, 1) + dt.timedelta(days=i)
+    rows = [(i % 7, day((i * 37) % 2400), ("A", "N", "X", None)[i % 4], None if i % 11 == 0 else i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "who int, d date, s string, y int")
+    out = M.condition_history(df, "who", "s", ["A", "N", "R"], "d", "y", 180, 3, 5)
+    assert out.columns == ["who", "d", "starts_A", "hits_A", "starts_N", "hits_N", "starts_R", "hits_R"]
+    got = {(r.who, r.d): r for r in out.collect()}
+    assert got.keys() == {r[:2] for r in rows}
+    for (who, d), r in got.items():
+        back = [x for x in rows if x[0] == who and x[1] < d and x[1] >= d.replace(year=d.year - 3, day=min(d.day, 28) if d.month == 2 else d.day)]
+        for level in "ANR":
+            w = [(0.5 ** ((d - x[1]).days / 180), x[3] or 0) for x in back if x[2] == level]
+            want = (sum(a for a, _ in w), sum(a * y for a, y in w)) if back else (None, None)
+            assert all((a is None) == (b is None) and abs((a or 0) - (b or 0)) < 1e-9 for a, b in zip((r[f"starts_{level}"], r[f"hits_{level}"]), want, strict=True))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
