@@ -121,3 +121,17 @@ def test_the_shared_row_moves_narrow_rows_alone(spark):
     assert by("contest_id") == 3  # riders', runners' and trainers' answers
     assert by("runner") == 2 and by("__e") == 2 and len(moves) <= 16
     assert out.count() == e.count()
+
+
+def test_kept_entries_are_a_file_a_part(spark, monkeypatch):
+    """Also where the session has more partitions, to which Spark would deal the lines out anew."""
+    monkeypatch.setattr(PM, "TASK_ROWS", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for session in ("50", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", session)
+            e, n = PM.kept_entries(spark, "/root/testdata/sf0.001")
+            assert n >= 12 and len(e.inputFiles()) <= n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
